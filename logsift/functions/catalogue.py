@@ -16,6 +16,15 @@ SEVERITY = [
     ("debug", r"\b(DEBUG|TRACE|VERBOSE)\b"),
 ]
 
+# Every match of a level's pattern holds one of these, in some case.
+SEVERITY_STEMS = {
+    "fatal": ["FATAL", "CRIT", "EMERG", "ALERT"],
+    "error": ["ERR"],
+    "warning": ["WARN"],
+    "info": ["INFO", "NOTICE"],
+    "debug": ["DEBUG", "TRACE", "VERBOSE"],
+}
+
 # Lines that belong to a stack trace, matched at line start.
 STACK = [
     r"^\s+at\s+",

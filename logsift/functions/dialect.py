@@ -39,10 +39,22 @@ def unicode_form(pattern: str, ignore_case: bool = False) -> str:
     return ("(?iUd)" if ignore_case else "(?Ud)") + spelled
 
 
-def per_script(text: Column, build: Callable[[Dialect], Column]) -> Column:
-    """``build`` with the short form on ASCII lines and the full form elsewhere."""
+def computed_once(value: Column, build: Callable[[Column], Column]) -> Column:
+    """``build(value)`` with ``value`` computed once, outside of generated code.
+
+    Functions with a lambda are evaluated by a call, so what is in ``build`` adds
+    no bytecode to the method Spark generates for the stage. The JVM does not
+    compile methods above 8,000 bytes of bytecode; the regexes of a whole
+    classification would exceed that several times over.
+    """
+    return F.get(F.transform(F.array(value), build), 0)
+
+
+def per_script(text: Column, build: Callable[[Column, Dialect], Column]) -> Column:
+    """``build`` with the short form on ASCII lines and, by a call, the full form elsewhere."""
     is_ascii = F.octet_length(text) == F.char_length(text)
-    return F.when(is_ascii, build(ascii_form)).otherwise(build(unicode_form))
+    full = computed_once(text, lambda t: build(t, unicode_form))
+    return F.when(is_ascii, build(text, ascii_form)).otherwise(full)
 
 
 def any_at_start(patterns: list[str]) -> str:

@@ -8,7 +8,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from logsift.functions import catalogue as cat
-from logsift.functions.dialect import WHITESPACE, Dialect, any_at_start, per_script, unicode_form
+from logsift.functions.dialect import (
+    WHITESPACE,
+    Dialect,
+    any_at_start,
+    ascii_form,
+    computed_once,
+    per_script,
+    unicode_form,
+)
 
 
 def strip_ansi(line: Column) -> Column:
@@ -24,13 +32,21 @@ def clean(line: Column) -> Column:
 
 
 def detect_severity(text: Column) -> Column:
-    """The first level, in catalogue order, that has a word anywhere in the line."""
-
-    def levels(form):
-        first, *rest = [(F.lit(lv), text.rlike(form(p, True))) for lv, p in cat.SEVERITY]
-        chain = F.when(first[1], first[0])
-        for level, hit in rest:
-            chain = chain.when(hit, level)
+    """The first level, in catalogue order, that has a word anywhere in the line.
+
+    On ASCII lines a plain search for the level's stems goes ahead of the regex,
+    which then runs for one level of a line instead of up to five.
+    """
+
+    def levels(t, form):
+        upper = F.upper(t)
+        chain = F
+        for level, pattern in cat.SEVERITY:
+            hit = t.rlike(form(pattern, True))
+            if form is ascii_form:
+                stems = [F.contains(upper, F.lit(s)) for s in cat.SEVERITY_STEMS[level]]
+                hit = reduce(Column.__or__, stems) & hit
+            chain = chain.when(hit, F.lit(level))
         return chain.otherwise(F.lit("unknown"))
 
     return per_script(text, levels)
@@ -49,25 +65,23 @@ def severity_of_rank(rank: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, reversed(cat.LEVELS))), rank + 1)
 
 
-def _replace_all(text: Column, patterns: list[str], by: str) -> Column:
-    return reduce(lambda t, p: F.regexp_replace(t, p, by), patterns, text)
-
-
 def _replace_timestamps(text: Column, form: Dialect, by: str) -> Column:
     """Replace all timestamps; the later patterns run only where a clock time is left."""
     iso, *others = map(form, cat.TIMESTAMP)
-    first = F.regexp_replace(text, iso, by)
-    return F.when(
-        first.rlike(form(cat.CLOCK)), _replace_all(first, others, by)
-    ).otherwise(first)
+
+    def rest(t):
+        more = reduce(lambda u, p: F.regexp_replace(u, p, by), others, t)
+        return F.when(t.rlike(form(cat.CLOCK)), more).otherwise(t)
+
+    return computed_once(F.regexp_replace(text, iso, by), rest)
 
 
 def extract_timestamp(text: Column) -> Column:
     """The text of the first timestamp pattern that matches, else null."""
 
-    def found(form):
-        iso, *others = [F.regexp_substr(text, F.lit(form(p))) for p in cat.TIMESTAMP]
-        return F.coalesce(iso, F.when(text.rlike(form(cat.CLOCK)), F.coalesce(*others)))
+    def found(t, form):
+        iso, *others = [F.regexp_substr(t, F.lit(form(p))) for p in cat.TIMESTAMP]
+        return F.coalesce(iso, F.when(t.rlike(form(cat.CLOCK)), F.coalesce(*others)))
 
     return per_script(text, found)
 
@@ -90,14 +104,14 @@ def is_exception_line(text: Column) -> Column:
 def template_key(text: Column) -> Column:
     """The line with its variable parts replaced by placeholders."""
 
-    def replaced(form):
+    def replaced(t, form):
         steps = [
             (form(cat.UUID, True), cat.MARK_UUID),
             (form(cat.ADDRESS, True), cat.MARK_ADDRESS),
             (form(cat.NUMBER), cat.MARK_NUMBER),
         ]
-        bare = _replace_timestamps(text, form, cat.MARK_TIMESTAMP)
-        return reduce(lambda t, step: F.regexp_replace(t, *step), steps, bare)
+        bare = _replace_timestamps(t, form, cat.MARK_TIMESTAMP)
+        return reduce(lambda u, step: F.regexp_replace(u, *step), steps, bare)
 
     return per_script(text, replaced)
 
@@ -105,9 +119,9 @@ def template_key(text: Column) -> Column:
 def display_text(text: Column) -> Column:
     """The line without timestamps, empty brackets and its first severity word."""
 
-    def shortened(form):
+    def shortened(t, form):
         bare = F.regexp_replace(
-            _replace_timestamps(text, form, ""), form(cat.EMPTY_BRACKETS), ""
+            _replace_timestamps(t, form, ""), form(cat.EMPTY_BRACKETS), ""
         )
         first_word = form(r"^([\x00-\x{10ffff}]*?)" + cat.SEVERITY_WORD, True)
         return F.trim(F.regexp_replace(bare, first_word, "$1"), F.lit(WHITESPACE))
