@@ -37,6 +37,7 @@ def summary_sections(metrics: DataFrame, templates: DataFrame, resolved: DataFra
     tag, first = F.upper("severity"), F.col("pos") == 1
     shown = fill(w.TEMPLATE, tag, display_text(F.col("sample")))
     trace = fill(w.TRACE, "trace_id", "header_line", "summary")
+    has_range = F.col("first_ts").isNotNull()
     left_over = F.col("n_traces") - cat.SUMMARY_TRACES
     return _union(
         [
@@ -48,7 +49,7 @@ def summary_sections(metrics: DataFrame, templates: DataFrame, resolved: DataFra
                     fill(w.TOTAL, "total_lines"),
                     fill(w.UNIQUE, "unique_lines", "reduction_pct"),
                     fill(w.NOISE, "noise_lines"),
-                    fill(w.TIME_RANGE, "first_ts", "last_ts"),
+                    F.when(has_range, fill(w.TIME_RANGE, "first_ts", "last_ts")),
                 ],
             ),
             rows(metrics, 2, F.lit(0), F.lit(w.BREAKDOWN)),
@@ -94,6 +95,7 @@ def digest_sections(metrics: DataFrame, templates: DataFrame, resolved: DataFram
     )
     template = fill(w.DIGEST_TEMPLATE, F.upper("severity"), "n", "sample")
     trace = fill(w.DIGEST_TRACE, "trace_id", "header_line", "summary")
+    has_range = F.col("first_ts").isNotNull()
     sampled = F.least("unclassified", F.lit(cat.DIGEST_UNKNOWN))
     return _union(
         [
@@ -102,7 +104,7 @@ def digest_sections(metrics: DataFrame, templates: DataFrame, resolved: DataFram
                 1,
                 [
                     fill(w.DIGEST_TOTALS, "total_lines", "unique_lines", "noise_lines"),
-                    fill(w.DIGEST_RANGE, "first_ts", "last_ts"),
+                    F.when(has_range, fill(w.DIGEST_RANGE, "first_ts", "last_ts")),
                     fill(w.DIGEST_LEVELS, F.concat(F.lit("{"), levels, F.lit("}"))),
                 ],
             ),

@@ -10,12 +10,8 @@ from pyspark.sql import functions as F
 
 
 def fill(wording: str, *values: Column | str) -> Column:
-    """``wording`` with its ``{}`` marks filled; null if a value is null."""
-    parts = wording.split("{}")
-    columns = [F.lit(parts[0])]
-    for value, part in zip(values, parts[1:], strict=True):
-        columns += [(F.col(value) if isinstance(value, str) else value).cast("string"), F.lit(part)]
-    return F.concat(*columns)
+    """``wording`` with its ``{}`` marks filled; the values must not be null."""
+    return F.format_string(wording.replace("%", "%%").replace("{}", "%s"), *values)
 
 
 def rows(df: DataFrame, section: int, pos: Column, text: Column) -> DataFrame:

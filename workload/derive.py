@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,52 +15,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _line_shapes() -> list[tuple[Column, list[Column]]]:
-    """Which lines an event writes, by event type."""
-    t = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
-    apache = F.date_format("ts", "EEE MMM dd HH:mm:ss yyyy")
-    digest = F.md5(F.col("event_id").cast("string"))
-    esc = F.chr(F.lit(27))
-    event, third = F.col("event_id"), F.col("event_id") % 3
-    kind, user = F.col("event_type"), F.col("user_id").cast("string")
-    cut = [F.substring(digest, p, n) for p, n in [(1, 8), (9, 4), (13, 4), (17, 4), (21, 12)]]
-
-    def s(*parts):
-        return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
-
-    return [
-        (kind == "view",
-         [s(t, " INFO  [api-gateway] GET /item/", (1000 + event % 9000).cast("string"), " 200")]),
-        (kind == "click",
-         [s(t, " DEBUG [cache] hit ptr=0x", cut[0]), s("---"), s("")]),
-        (kind == "signup",
-         [s("[", apache, "] ", esc, "[33m[warn]", esc, "[0m request ", F.concat_ws("-", *cut),
-            " token expired  ")]),
-        (kind == "purchase",
-         [s(t, " worker checkpoint user_", user), s("   ...")]),
-        (third == 0,
-         [s(t, " ERROR [db-pool] Failed to acquire (timeout=5000ms)"),
-          s("Traceback (most recent call last):"),
-          s('  File "db/pool.py", line 42, in query'),
-          s("    conn = pool.acquire()"),
-          s("    raise TimeoutError(msg)"),
-          s("TimeoutError: No connections available")]),
-        (third == 1,
-         [s(t, " ERROR [api] handler failed"),
-          s("    at com.example.A.f(A.java:42)"),
-          s("    at com.example.B.g(B.java:7)"),
-          s("Caused by: java.io.IOException: x"),
-          s("    ... 12 more"),
-          s(t, " FATAL [worker] Retry limit exceeded, job ", (10000 + event).cast("string"))]),
-        (F.lit(True),
-         [s(t, " ERROR [auth] denied for user_", user)]),
-    ]
-
-
-def _choose(pairs: list[tuple[Column, Column]]) -> Column:
-    (test, value), *rest = pairs
-    chain = reduce(lambda c, p: c.when(*p), rest[:-1], F.when(test, value))
-    return chain.otherwise(rest[-1][1])
+# Which lines an event writes: the first test that holds decides.
+_TIME = "date_format(ts, 'yyyy-MM-dd HH:mm:ss')"
+_APACHE = "date_format(ts, 'EEE MMM dd HH:mm:ss yyyy')"
+_HASH = "md5(CAST(event_id AS STRING))"
+_UUID = "concat_ws('-', " + ", ".join(
+    f"substr({_HASH}, {at}, {n})" for at, n in [(1, 8), (9, 4), (13, 4), (17, 4), (21, 12)]
+) + ")"
+_SHAPES = [
+    ("event_type = 'view'",
+     [f"concat({_TIME}, ' INFO  [api-gateway] GET /item/',"
+      " CAST(1000 + event_id % 9000 AS STRING), ' 200')"]),
+    ("event_type = 'click'",
+     [f"concat({_TIME}, ' DEBUG [cache] hit ptr=0x', substr({_HASH}, 1, 8))", "'---'", "''"]),
+    ("event_type = 'signup'",
+     [f"concat('[', {_APACHE}, '] ', chr(27), '[33m[warn]', chr(27), '[0m request ', {_UUID},"
+      " ' token expired  ')"]),
+    ("event_type = 'purchase'",
+     [f"concat({_TIME}, ' worker checkpoint user_', CAST(user_id AS STRING))", "'   ...'"]),
+    ("event_id % 3 = 0",
+     [f"concat({_TIME}, ' ERROR [db-pool] Failed to acquire (timeout=5000ms)')",
+      "'Traceback (most recent call last):'",
+      "'  File \"db/pool.py\", line 42, in query'",
+      "'    conn = pool.acquire()'",
+      "'    raise TimeoutError(msg)'",
+      "'TimeoutError: No connections available'"]),
+    ("event_id % 3 = 1",
+     [f"concat({_TIME}, ' ERROR [api] handler failed')",
+      "'    at com.example.A.f(A.java:42)'",
+      "'    at com.example.B.g(B.java:7)'",
+      "'Caused by: java.io.IOException: x'",
+      "'    ... 12 more'",
+      f"concat({_TIME}, ' FATAL [worker] Retry limit exceeded, job ',"
+      " CAST(10000 + event_id AS STRING))"]),
+    ("true",
+     [f"concat({_TIME}, ' ERROR [auth] denied for user_', CAST(user_id AS STRING))"]),
+]
+
+
+def _choose(value) -> Column:
+    tests = " ".join(f"WHEN {test} THEN {value(lines)}" for test, lines in _SHAPES)
+    return F.expr(f"CASE {tests} END")
 
 
 def log_lines(spark: SparkSession, sf_dir: str, chunk_events: int = CHUNK_EVENTS) -> DataFrame:
@@ -71,21 +64,21 @@ def log_lines(spark: SparkSession, sf_dir: str, chunk_events: int = CHUNK_EVENTS
     The narrow events are shuffled and numbered before they become text, and the
     lines keep the partitioning by ``(source, chunk)`` for the sequence operators.
     """
-    shapes = _line_shapes()
-    events = table(spark, sf_dir, "events").select(
-        F.concat(F.lit("svc-"), (F.col("user_id") % 8).cast("string")).alias("source"),
-        F.floor(F.col("event_id") / chunk_events).alias("chunk"),
+    events = table(spark, sf_dir, "events").selectExpr(
+        "concat('svc-', CAST(user_id % 8 AS STRING)) AS source",
+        f"event_id DIV {chunk_events} AS chunk",
         "event_id",
         "user_id",
         "event_type",
         "ts",
     )
-    n_lines = _choose([(test, F.lit(len(lines)).cast("bigint")) for test, lines in shapes])
-    placed = add_position(events, ["event_id"], n_lines, "lines_before")
-    texts = _choose([(test, F.array(*lines)) for test, lines in shapes])
-    return placed.select(
-        "source", "chunk", "lines_before", F.posexplode(texts).alias("p", "line")
-    ).select("source", "chunk", (F.col("lines_before") + F.col("p") + 1).alias("line_no"), "line")
+    n_lines = _choose(lambda lines: f"{len(lines)}L")
+    texts = _choose(lambda lines: f"array({', '.join(lines)})")
+    return (
+        add_position(events, ["event_id"], n_lines, "lines_before")
+        .select("source", "chunk", "lines_before", F.posexplode(texts).alias("p", "line"))
+        .selectExpr("source", "chunk", "lines_before + p + 1 AS line_no", "line")
+    )
 
 
 def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,60 +101,43 @@ def texts_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(source, reply)``: one reply per order, in all the forms a model answers in."""
-    key = F.col("o_orderkey")
-    number = key.cast("string")
-
-    def s(*parts):
-        return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
-
-    whole = s(
-        '{"primary_issue": "order ', number, ' is late", "error_signatures": [{"pattern": "late ',
-        F.col("o_orderpriority"), '", "category": "timeout", "count": ', (key % 90).cast("string"),
-        ', "first_seen_timestamp": "', F.date_format("o_orderdate", "yyyy-MM-dd"),
-        '", "affected_component": "cust-', F.col("o_custkey").cast("string"),
-        '"}, {"pattern": "status ', F.col("o_orderstatus"),
-        '"}], "root_cause": "priority ', F.col("o_orderpriority"),
-        '", "timeline": [{"timestamp": "', F.date_format("o_orderdate", "yyyy-MM-dd"),
-        '", "event": "placed"}, {"event": "late"}], "attention_needed": ["order ', number,
-        '", "customer"], "noise_assessment": "low"}',
-    )
-    partial = s(
-        '{"primary_issue": null, "root_cause": "see ', number,
-        '", "error_signatures": [{"category": "crash", "count": "', number, '"}],',
-        ' "timeline": [{"timestamp": null, "event": null}], "extra": [1, 2]}',
-    )
-    form = key % 8
-    reply = (
-        F.when(form == 0, s("```json\n", whole, "\n```"))
-        .when(form == 1, s("```", whole, "```"))
-        .when(form == 2, s("no analysis for order ", number))
-        .when(form == 3, s("[", whole, "]"))
-        .when(form == 4, F.lit("{}"))
-        .when(form == 5, s("  \n", whole, "\n\t"))
-        .when(form == 6, partial)
-        .otherwise(whole)
-    )
-    return table(spark, sf_dir, "orders").select(
-        s("order-", number).alias("source"), reply.alias("reply")
+    date = "date_format(o_orderdate, 'yyyy-MM-dd')"
+    whole = f"""concat(
+        '{{"primary_issue": "order ', o_orderkey, ' is late", "error_signatures": [',
+        '{{"pattern": "late ', o_orderpriority, '", "category": "timeout", "count": ',
+        o_orderkey % 90, ', "first_seen_timestamp": "', {date},
+        '", "affected_component": "cust-', o_custkey, '"}}, {{"pattern": "status ', o_orderstatus,
+        '"}}], "root_cause": "priority ', o_orderpriority,
+        '", "timeline": [{{"timestamp": "', {date},
+        '", "event": "placed"}}, {{"event": "late"}}], "attention_needed": ["order ', o_orderkey,
+        '", "customer"], "noise_assessment": "low"}}')"""
+    partial = """concat(
+        '{"primary_issue": null, "root_cause": "see ', o_orderkey,
+        '", "error_signatures": [{"category": "crash", "count": "', o_orderkey,
+        '"}], "timeline": [{"timestamp": null, "event": null}], "extra": [1, 2]}')"""
+    reply = f"""CASE o_orderkey % 8
+        WHEN 0 THEN concat('```json', chr(10), {whole}, chr(10), '```')
+        WHEN 1 THEN concat('```', {whole}, '```')
+        WHEN 2 THEN concat('no analysis for order ', o_orderkey)
+        WHEN 3 THEN concat('[', {whole}, ']')
+        WHEN 4 THEN '{{}}'
+        WHEN 5 THEN concat('  ', chr(10), {whole}, chr(10), chr(9))
+        WHEN 6 THEN {partial}
+        ELSE {whole} END AS reply"""
+    return table(spark, sf_dir, "orders").selectExpr(
+        "concat('order-', o_orderkey) AS source", reply
     )
 
 
 def service_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(source, reply)`` for six of the eight services, from counts over all events."""
-    service = (F.col("user_id") % 8).cast("string")
-    errors = F.count_if(F.col("event_type") == "error").cast("string")
+    reply = """concat('{"primary_issue": "', errors, ' errors", "root_cause": "pool of ', service,
+        '", "error_signatures": [{"pattern": "error", "count": ', errors,
+        '}], "attention_needed": ["svc-', service, '"]}') AS reply"""
     return (
         table(spark, sf_dir, "events")
-        .groupBy(service.alias("service"))
-        .agg(errors.alias("errors"))
-        .filter(F.col("service") < "6")
-        .select(
-            F.concat(F.lit("svc-"), F.col("service")).alias("source"),
-            F.concat(
-                F.lit('{"primary_issue": "'), "errors",
-                F.lit(' errors", "root_cause": "pool of '), "service",
-                F.lit('", "error_signatures": [{"pattern": "error", "count": '), "errors",
-                F.lit('}], "attention_needed": ["svc-'), "service", F.lit('"]}'),
-            ).alias("reply"),
-        )
-    )
+        .groupBy(F.expr("user_id % 8 AS service"))
+        .agg(F.expr("count_if(event_type = 'error') AS errors"))
+        .filter("service < 6")
+        .selectExpr("concat('svc-', service) AS source", reply)
+    )
