@@ -6,14 +6,12 @@ where the reply is the text that came back for a digest.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logsift.functions.dialect import WHITESPACE
 from logsift.plans import wording as w
-from logsift.plans.sections import fill, headed, join_sections, listed, rows
+from logsift.plans.sections import fill
 
 # Fixed value: the fields of a reply. Counts stay text, as a reply may hold any number.
 REPLY_SCHEMA = (
@@ -35,9 +33,18 @@ def _unfenced(reply: Column) -> Column:
 
 
 def _checked(replies: DataFrame) -> DataFrame:
-    shape = F.schema_of_variant(F.try_parse_json("raw_json"))
+    """Mark the replies that are one JSON object.
+
+    The strict parser of variants decides. It stops at the end of the first
+    value, so the reply is parsed as the only item of an array: anything behind
+    the object then makes the text invalid or gives a second item.
+    """
+    text = F.col("raw_json")
+    items = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    second = F.try_variant_get(items, "$[1]", "variant")
+    is_object = F.startswith(text, F.lit("{")) & items.isNotNull() & second.isNull()
     return replies.withColumn("raw_json", _unfenced(F.col("reply"))).withColumn(
-        "is_object", F.coalesce(F.startswith(shape, F.lit("OBJECT")), F.lit(False))
+        "is_object", F.coalesce(is_object, F.lit(False))
     )
 
 
@@ -106,31 +113,31 @@ def attention_lines(analyses: DataFrame) -> DataFrame:
     )
 
 
-def semantic_sections(analyses: DataFrame) -> DataFrame:
-    """Section rows of the semantic report."""
-    first = F.col("pos") == 1
-    signature = fill(w.SIGNATURE, "pattern", "category", "affected_component", "count")
-    event = fill(w.EVENT, "timestamp", "event")
-    item = fill(w.ATTENTION_ITEM, "item")
-    parts = [
-        listed(
-            analyses,
-            1,
-            [F.lit(w.SEMANTIC), fill(w.PRIMARY, "primary_issue"), fill(w.CAUSE, "root_cause")],
-        ),
-        rows(error_signatures(analyses), 2, F.col("pos"),
-             headed(first, F.lit(w.SIGNATURES), signature)),
-        rows(timeline(analyses), 3, F.col("pos"), headed(first, F.lit(w.TIMELINE), event)),
-        rows(attention_lines(analyses), 4, F.col("pos"),
-             headed(first, F.lit(w.ATTENTION), item)),
-        listed(analyses, 5, [fill(w.NOISE_NOTE, "noise_assessment")]),
-    ]
-    return reduce(DataFrame.unionByName, parts)
-
-
 def semantic_report(analyses: DataFrame) -> DataFrame:
-    """``(source, semantic)``: one text per analysis."""
-    return join_sections(semantic_sections(analyses), "semantic")
+    """``(source, semantic)``: one text per analysis, built within its row."""
+
+    def shown(name, default="?"):
+        return lambda item: F.coalesce(item[name], F.lit(default))
+
+    def section(items, header, line):
+        body = F.concat(F.array(F.lit(header)), F.transform(items, line))
+        return F.when(F.size(items) > 0, body).otherwise(F.array().cast("array<string>"))
+
+    pattern, event = shown("pattern"), shown("event")
+    category, component = shown("category", "unknown"), shown("affected_component", "unknown")
+    count, time = shown("count", "1"), shown("timestamp")
+    lines = F.concat(
+        F.array(F.lit(w.SEMANTIC), fill(w.PRIMARY, "primary_issue"), fill(w.CAUSE, "root_cause")),
+        section(
+            "error_signatures",
+            w.SIGNATURES,
+            lambda s: fill(w.SIGNATURE, pattern(s), category(s), component(s), count(s)),
+        ),
+        section("timeline", w.TIMELINE, lambda e: fill(w.EVENT, time(e), event(e))),
+        section("attention_needed", w.ATTENTION, lambda item: fill(w.ATTENTION_ITEM, item)),
+        F.array(fill(w.NOISE_NOTE, "noise_assessment")),
+    )
+    return analyses.select("source", F.array_join(lines, "\n").alias("semantic"))
 
 
 def get_analysis(analyses: DataFrame, source: str) -> DataFrame:

@@ -28,6 +28,11 @@ def replies(spark):
         "bare": "```\n" + json.dumps(WHOLE) + "\n```",
         "prose": "I could not find anything.",
         "list": json.dumps([WHOLE]),
+        "python": str(WHOLE),
+        "chatty": json.dumps(WHOLE) + " Hope this helps!",
+        "twice": "{}{}",
+        "two": "{}, {}",
+        "cut": json.dumps(WHOLE)[:-9],
         "empty": "{}",
         "missing": None,
     }
@@ -43,8 +48,11 @@ def test_parsing(replies):
     empty = got["empty"]
     assert (empty.primary_issue, empty.root_cause, empty.noise_assessment) == ("Unknown",) * 3
     assert empty.error_signatures == empty.timeline == empty.attention_needed == []
+    replies_without_analysis = {
+        "bare", "prose", "list", "python", "chatty", "twice", "two", "cut", "missing",
+    }
     bad = {r.source for r in semantic.bad_replies(replies).collect()}
-    assert bad == {"bare", "prose", "list", "missing"}
+    assert bad == replies_without_analysis
 
 
 def test_tables(replies):
