@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logsift.functions.dialect import WHITESPACE
+from logsift.functions.dialect import WHITESPACE, computed_once
 from logsift.plans import wording as w
 from logsift.plans.sections import fill
 
@@ -25,26 +25,43 @@ REPLY_SCHEMA = (
 )
 
 
+# What may enclose a reply.
+OPENING, CLOSING = "```json", "```"
+
+
 def _unfenced(reply: Column) -> Column:
     """The reply without white space, a leading json fence and a trailing fence."""
     blank = F.lit(WHITESPACE)
-    opened = F.regexp_replace(F.trim(reply, blank), r"\A```json", "")
-    return F.trim(F.regexp_replace(opened, r"```\z", ""), blank)
 
+    def without_opening(t):
+        rest = F.substr(t, F.lit(len(OPENING) + 1))
+        return F.when(F.startswith(t, F.lit(OPENING)), rest).otherwise(t)
+
+    def without_closing(t):
+        rest = F.left(t, F.length(t) - len(CLOSING))
+        return F.when(F.endswith(t, F.lit(CLOSING)), rest).otherwise(t)
+
+    opened = computed_once(F.trim(reply, blank), without_opening)
+    return F.trim(computed_once(opened, without_closing), blank)
 
-def _checked(replies: DataFrame) -> DataFrame:
-    """Mark the replies that are one JSON object.
+
+def _is_object(text: Column) -> Column:
+    """Whether the text is one JSON object.
 
     The strict parser of variants decides. It stops at the end of the first
-    value, so the reply is parsed as the only item of an array: anything behind
-    the object then makes the text invalid or gives a second item.
+    value, so the text is parsed as the only item of an array: anything behind
+    the object then makes it invalid or gives a second item.
     """
-    text = F.col("raw_json")
     items = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    second = F.try_variant_get(items, "$[1]", "variant")
-    is_object = F.startswith(text, F.lit("{")) & items.isNotNull() & second.isNull()
+    alone = computed_once(
+        items, lambda v: v.isNotNull() & F.try_variant_get(v, "$[1]", "variant").isNull()
+    )
+    return F.coalesce(F.startswith(text, F.lit("{")) & alone, F.lit(False))
+
+
+def _checked(replies: DataFrame) -> DataFrame:
     return replies.withColumn("raw_json", _unfenced(F.col("reply"))).withColumn(
-        "is_object", F.coalesce(is_object, F.lit(False))
+        "is_object", computed_once(F.col("raw_json"), _is_object)
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from logsift.operators.numbering import add_position
 
 # Events per numbering chunk; one chunk of one source is at most 6 times as many lines.
-CHUNK_EVENTS = 65_536
+CHUNK_EVENTS = 32_768
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
