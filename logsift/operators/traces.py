@@ -55,6 +55,7 @@ def trace_pieces(
 
     is_s = F.when(kind != "I", kind == "S")
     is_open = F.col("is_open")
+    line = F.struct((F.col("within") % part_lines).alias("i"), "line_no", "text")
     may_join = kind.isin("I", "X", "E") & F.coalesce(is_open, F.lit(True))
     return (
         with_chunk(classify(lines), chunk_lines)
@@ -80,26 +81,22 @@ def trace_pieces(
             {
                 "ord": F.coalesce(F.count_if("starts").over(so_far), F.lit(0)),
                 "n_starts": F.count_if("starts").over(whole),
-                "start_row": F.last(
-                    F.when(F.col("starts"), F.col("row")), ignorenulls=True
+                "start": F.last(
+                    F.when(F.col("starts"), F.struct("row", "line_no")), ignorenulls=True
                 ).over(so_far),
                 "member": (kind == "S") | may_join,
             }
         )
         .filter(F.col("member") | (F.col("row") == 1))
-        .withColumn("within", F.col("row") - F.coalesce(F.col("start_row"), F.lit(1)))
+        .withColumn("within", F.col("row") - F.coalesce(F.col("start.row"), F.lit(1)))
         .groupBy(
             "source", "chunk", "ord", F.floor(F.col("within") / part_lines).alias("part")
         )
         .agg(
             F.count_if("member").alias("n"),
-            F.min("line_no").alias("first_line"),
+            F.first("start.line_no").alias("start"),
             F.max(F.when(F.col("member"), F.col("severity"))).alias("severity"),
-            F.array_sort(
-                F.collect_list(
-                    F.when(F.col("member"), F.struct("line_no", "text"))
-                )
-            ).alias("lines"),
+            F.array_sort(F.collect_list(F.when(F.col("member"), line))).alias("lines"),
             F.first("n_starts").alias("n_starts"),
             F.first("ends_open").alias("ends_open"),
             F.coalesce(F.first("begins_s"), F.lit(False)).alias("begins_s"),
@@ -119,11 +116,18 @@ def with_every_source(pieces: DataFrame, sources: DataFrame) -> DataFrame:
     return pieces.unionByName(missing.select("source", *columns))
 
 
-def resolve(pieces: DataFrame, part_lines: int = PART_LINES) -> DataFrame:
-    """Join pieces to traces across chunks.
+def ends_only(pieces: DataFrame) -> DataFrame:
+    """The pieces with no more lines than a trace summary can show."""
+    near_end = F.filter("lines", lambda at: (at["i"] < 2) | (at["i"] >= F.col("n") - 2))
+    return pieces.withColumn("lines", near_end)
 
-    One row per piece: ``source, trace_id, header_line, before, n, severity,
-    lines``; ``before`` counts the trace's lines ahead of this piece.
+
+def chunk_states(pieces: DataFrame) -> DataFrame:
+    """One row per chunk: the trace carried into it and the traces started before.
+
+    ``carry`` tells whether a trace is open at its start, ``carry_header`` and
+    ``carry_lines`` describe that trace, ``ids_before`` counts the traces
+    started in earlier chunks and ``new`` those started here.
     """
 
     def lines_in(test):
@@ -137,9 +141,7 @@ def resolve(pieces: DataFrame, part_lines: int = PART_LINES) -> DataFrame:
         lines_in(ordinal == 0).alias("n_lead"),
         lines_in(ordinal == 1).alias("n_first"),
         lines_in(ordinal == F.col("n_starts")).alias("n_last"),
-        F.max(
-            F.when((ordinal == F.col("n_starts")) & (F.col("part") == 0), F.col("first_line"))
-        ).alias("last_start"),
+        F.max("start").alias("last_start"),
     )
 
     order = Window.partitionBy("source").orderBy("chunk")
@@ -151,15 +153,13 @@ def resolve(pieces: DataFrame, part_lines: int = PART_LINES) -> DataFrame:
         "new", F.col("n_starts") - (F.col("carry") & F.col("begins_s")).cast("long")
     )
     # Lines that this chunk adds to the trace that is the last one after it.
-    gain = F.when(F.col("new") > 0, F.col("n_last")).otherwise(
-        F.when(F.col("carry"), F.col("n_lead") + F.when(F.col("begins_s"), F.col("n_first"))
-               .otherwise(0)).otherwise(0)
-    )
+    continued = F.col("n_lead") + F.when(F.col("begins_s"), F.col("n_first")).otherwise(0)
+    gain = F.when(F.col("new") > 0, F.col("n_last")).when(F.col("carry"), continued).otherwise(0)
     summed = carried.withColumn("gain", gain).withColumn(
         "sum_before", F.coalesce(F.sum("gain").over(earlier), F.lit(0))
     )
     opened = F.when(F.col("new") > 0, F.struct("last_start", "sum_before"))
-    states = summed.withColumns(
+    return summed.withColumns(
         {
             "ids_before": F.coalesce(F.sum("new").over(earlier), F.lit(0)),
             "opened": F.last(opened, ignorenulls=True).over(earlier),
@@ -169,20 +169,33 @@ def resolve(pieces: DataFrame, part_lines: int = PART_LINES) -> DataFrame:
         "chunk",
         "carry",
         "n_lead",
+        "new",
         "ids_before",
         F.col("opened.last_start").alias("carry_header"),
         (F.col("sum_before") - F.col("opened.sum_before")).alias("carry_lines"),
     )
 
+
+def resolve(
+    pieces: DataFrame, part_lines: int = PART_LINES, first: int | None = None
+) -> DataFrame:
+    """Join pieces to traces across chunks, perhaps only the ``first`` ones of each source.
+
+    One row per piece: ``source, trace_id, header_line, before, n, severity,
+    lines``; ``before`` counts the trace's lines ahead of this piece.
+    """
+    states = chunk_states(pieces).drop("new")
+    if first is not None:
+        # Few chunks hold the first traces; the others need not be joined.
+        states = states.filter(F.col("ids_before") <= first)
+    ordinal = F.col("ord")
     lead = (ordinal == 0) | ((ordinal == 1) & F.col("begins_s"))
     goes_on = F.col("carry") & lead
     shift = (F.col("carry") & F.col("begins_s")).cast("long")
-    heads = F.when(F.col("part") == 0, F.col("first_line"))
     in_piece = F.col("part") * part_lines
-    start = F.max(heads).over(Window.partitionBy("source", "chunk", "ord"))
-    return (
+    ahead = F.when(ordinal == 1, F.col("n_lead")).otherwise(0)
+    resolved = (
         pieces.filter(F.col("n") > 0)
-        .withColumn("start", start)
         .join(states, ["source", "chunk"])
         .filter((ordinal > 0) | F.col("carry"))
         .select(
@@ -191,11 +204,7 @@ def resolve(pieces: DataFrame, part_lines: int = PART_LINES) -> DataFrame:
             .otherwise(F.col("ids_before") + ordinal - shift)
             .alias("trace_id"),
             F.when(goes_on, F.col("carry_header")).otherwise(F.col("start")).alias("header_line"),
-            F.when(
-                goes_on,
-                F.col("carry_lines") + in_piece
-                + F.when(ordinal == 1, F.col("n_lead")).otherwise(0),
-            )
+            F.when(goes_on, F.col("carry_lines") + in_piece + ahead)
             .otherwise(in_piece)
             .alias("before"),
             "n",
@@ -203,6 +212,7 @@ def resolve(pieces: DataFrame, part_lines: int = PART_LINES) -> DataFrame:
             "lines",
         )
     )
+    return resolved if first is None else resolved.filter(F.col("trace_id") <= first)
 
 
 def resolved_pieces(
@@ -218,12 +228,12 @@ def resolved_pieces(
 def trace_lines(resolved: DataFrame) -> DataFrame:
     """Every member line: ``(source, trace_id, header_line, pos, line_no, line)``."""
     return resolved.select(
-        "source", "trace_id", "header_line", "before", F.posexplode("lines").alias("i", "at")
+        "source", "trace_id", "header_line", "before", F.explode("lines").alias("at")
     ).select(
         "source",
         "trace_id",
         "header_line",
-        (F.col("before") + F.col("i") + 1).alias("pos"),
+        (F.col("before") + F.col("at.i") + 1).alias("pos"),
         F.col("at.line_no").alias("line_no"),
         F.col("at.text").alias("line"),
     )
@@ -266,12 +276,11 @@ def trace_summaries(resolved: DataFrame) -> DataFrame:
     """
     trace = Window.partitionBy("source", "trace_id")
     total = F.col("n_lines")
-    numbered = F.transform(
-        F.col("lines"),
-        lambda at, i: F.struct((F.col("before") + i + 1).alias("pos"), at["text"].alias("line")),
-    )
     # Known within a piece: only its first and last two lines can be shown.
-    ends = F.filter(numbered, lambda at, i: (i < 2) | (i >= F.col("n") - 2))
+    ends = F.transform(
+        F.filter("lines", lambda at: (at["i"] < 2) | (at["i"] >= F.col("n") - 2)),
+        lambda at: F.struct((F.col("before") + at["i"] + 1).alias("pos"), at["text"].alias("line")),
+    )
     shown_ends = F.filter(
         F.col("ends"), lambda at: (total <= 4) | (at["pos"] <= 2) | (at["pos"] > total - 2)
     )
@@ -303,11 +312,17 @@ def trace_summaries(resolved: DataFrame) -> DataFrame:
     )
 
 
-def first_traces(resolved: DataFrame, k: int) -> DataFrame:
+def first_traces(pieces: DataFrame, k: int) -> DataFrame:
     """Summaries of the first ``k`` traces of each source; ids count from 1 without gaps."""
-    return trace_summaries(resolved.filter(F.col("trace_id") <= k))
+    return trace_summaries(resolve(ends_only(pieces), first=k))
 
 
-def trace_counts(resolved: DataFrame) -> DataFrame:
+def trace_counts(pieces: DataFrame) -> DataFrame:
     """``(source, n_traces)`` of the sources that have traces."""
-    return resolved.groupBy("source").agg(F.max("trace_id").alias("n_traces"))
+    total = F.max(F.col("ids_before") + F.col("new"))
+    return (
+        chunk_states(pieces)
+        .groupBy("source")
+        .agg(total.alias("n_traces"))
+        .filter(F.col("n_traces") > 0)
+    )

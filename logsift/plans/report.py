@@ -24,15 +24,14 @@ def _times(always: bool = False) -> Column:
     return shown if always else F.when(F.col("n") > 1, shown).otherwise("")
 
 
-def _traces_with_counts(resolved: DataFrame, k: int) -> DataFrame:
-    return tr.first_traces(resolved, k).join(tr.trace_counts(resolved), "source")
+def _traces_with_counts(pieces: DataFrame, k: int) -> DataFrame:
+    return tr.first_traces(pieces, k).join(tr.trace_counts(pieces), "source")
 
 
-def summary_sections(metrics: DataFrame, templates: DataFrame, resolved: DataFrame) -> DataFrame:
+def summary_sections(metrics: DataFrame, templates: DataFrame, pieces: DataFrame) -> DataFrame:
     """Section rows of the summary report.
 
-    ``metrics`` and ``templates`` come from line groups, ``resolved`` from trace
-    pieces.
+    ``metrics`` and ``templates`` come from line groups, traces from their pieces.
     """
     tag, first = F.upper("severity"), F.col("pos") == 1
     shown = fill(w.TEMPLATE, tag, display_text(F.col("sample")))
@@ -57,13 +56,13 @@ def summary_sections(metrics: DataFrame, templates: DataFrame, resolved: DataFra
                 tp.severity_breakdown(metrics), 2, F.col("pos"), fill(w.BREAKDOWN_LEVEL, tag, "n")
             ),
             rows(
-                _traces_with_counts(resolved, cat.SUMMARY_TRACES),
+                _traces_with_counts(pieces, cat.SUMMARY_TRACES),
                 3,
                 F.col("trace_id"),
                 headed(F.col("trace_id") == 1, fill(w.TRACES, "n_traces"), trace),
             ),
             rows(
-                tr.trace_counts(resolved).filter(left_over > 0),
+                tr.trace_counts(pieces).filter(left_over > 0),
                 3,
                 F.lit(cat.SUMMARY_TRACES + 1),
                 fill(w.MORE_TRACES, left_over),
@@ -84,7 +83,7 @@ def summary_sections(metrics: DataFrame, templates: DataFrame, resolved: DataFra
     )
 
 
-def digest_sections(metrics: DataFrame, templates: DataFrame, resolved: DataFrame) -> DataFrame:
+def digest_sections(metrics: DataFrame, templates: DataFrame, pieces: DataFrame) -> DataFrame:
     """Section rows of the condensed text that an external analysis reads."""
     levels = F.concat_ws(
         ", ",
@@ -115,7 +114,7 @@ def digest_sections(metrics: DataFrame, templates: DataFrame, resolved: DataFram
                 tp.important_templates(templates, cat.DIGEST_TEMPLATES), 2, F.col("pos"), template
             ),
             rows(
-                _traces_with_counts(resolved, cat.DIGEST_TRACES),
+                _traces_with_counts(pieces, cat.DIGEST_TRACES),
                 3,
                 F.col("trace_id"),
                 headed(F.col("trace_id") == 1, fill(w.DIGEST_TRACES, "n_traces"), trace),
@@ -133,14 +132,14 @@ def digest_sections(metrics: DataFrame, templates: DataFrame, resolved: DataFram
     )
 
 
-def summary_report(metrics: DataFrame, templates: DataFrame, resolved: DataFrame) -> DataFrame:
+def summary_report(metrics: DataFrame, templates: DataFrame, pieces: DataFrame) -> DataFrame:
     """``(source, summary)``."""
-    return join_sections(summary_sections(metrics, templates, resolved), "summary")
+    return join_sections(summary_sections(metrics, templates, pieces), "summary")
 
 
-def analysis_digest(metrics: DataFrame, templates: DataFrame, resolved: DataFrame) -> DataFrame:
+def analysis_digest(metrics: DataFrame, templates: DataFrame, pieces: DataFrame) -> DataFrame:
     """``(source, digest)``."""
-    return join_sections(digest_sections(metrics, templates, resolved), "digest")
+    return join_sections(digest_sections(metrics, templates, pieces), "digest")
 
 
 def ingest_report(

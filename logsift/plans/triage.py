@@ -83,7 +83,7 @@ class Triage:
 
     def _reports(self, groups: DataFrame, pieces: DataFrame) -> DataFrame:
         metrics = tp.metrics_of(groups)
-        summaries = report.summary_report(metrics, tp.templates_of(groups), tr.resolve(pieces))
+        summaries = report.summary_report(metrics, tp.templates_of(groups), pieces)
         analyses = self._analyses()
         texts = None if analyses is None else semantic.semantic_report(analyses)
         return report.ingest_report(summaries, metrics, texts)
@@ -96,7 +96,7 @@ class Triage:
         """``(source, digest)`` of every stored source."""
         groups, pieces = self.store.read("groups"), self.store.read("pieces")
         return report.analysis_digest(
-            tp.metrics_of(groups), tp.templates_of(groups), tr.resolve(pieces)
+            tp.metrics_of(groups), tp.templates_of(groups), pieces
         )
 
     # -- drill-down --------------------------------------------------------

@@ -10,7 +10,7 @@ from logsift.plans.staging import parquet_stage, shared_folder
 
 def _tables(lines):
     groups = tp.line_groups(lines)
-    return tp.metrics_of(groups), tp.templates_of(groups), tr.resolved_pieces(lines)
+    return tp.metrics_of(groups), tp.templates_of(groups), tr.trace_pieces(lines)
 
 
 @pytest.fixture
@@ -58,8 +58,8 @@ def test_digest_of_a_quiet_log(lines_of):
 
 
 def test_ingest_report_without_semantic_part(lines_of):
-    metrics, templates, resolved = _tables(lines_of(log="ERROR x"))
-    summaries = report.summary_report(metrics, templates, resolved)
+    metrics, templates, pieces = _tables(lines_of(log="ERROR x"))
+    summaries = report.summary_report(metrics, templates, pieces)
     text = report.ingest_report(summaries, metrics).first().report
     assert "unavailable" not in text
     assert text.endswith("📋 **Session**: `log` (1 lines stored)")

@@ -57,6 +57,12 @@ def test_equal_to_a_walk_over_the_lines(spark, chunk, part):
             header, len(texts), severity, plain.trace_summary(texts),
         )
 
+    short = tr.trace_summaries(tr.resolve(tr.ends_only(pieces), part)).collect()
+    assert sorted(short) == sorted(summaries.values())
+    if part == tr.PART_LINES:
+        first = tr.first_traces(pieces, 2).collect()
+        assert sorted(first) == sorted(r for k, r in summaries.items() if k[1] <= 2)
+
     members = tr.trace_lines(resolved).orderBy("source", "trace_id", "pos").collect()
     by_trace = {}
     for r in members:
@@ -69,7 +75,7 @@ def test_equal_to_a_walk_over_the_lines(spark, chunk, part):
         whole.setdefault((r.source, r.trace_id), []).extend(r.lines)
     assert whole == {k: t[1] for k, t in expected.items()}
 
-    counts = {r.source: r.n_traces for r in tr.trace_counts(resolved).collect()}
+    counts = {r.source: r.n_traces for r in tr.trace_counts(pieces).collect()}
     assert counts == {
         s: n for s, lines in logs.items() if (n := len(plain.traces(lines)))
     }

@@ -52,9 +52,17 @@ def _exceptions(lines: DataFrame) -> DataFrame:
     return found.select("source", "line_no", "cleaned")
 
 
-def _resolved(lines: DataFrame) -> DataFrame:
+def _pieces(lines: DataFrame) -> DataFrame:
     """Trace pieces are read twice, so they are written once."""
-    return tr.resolved_pieces(lines, stage=parquet_stage(lines.sparkSession))
+    return parquet_stage(lines.sparkSession)(tr.trace_pieces(lines), "pieces")
+
+
+def _resolved(lines: DataFrame) -> DataFrame:
+    return tr.resolve(_pieces(lines))
+
+
+def _summaries(lines: DataFrame) -> DataFrame:
+    return tr.trace_summaries(tr.resolve(tr.ends_only(_pieces(lines))))
 
 
 def _stack_traces(lines: DataFrame) -> DataFrame:
@@ -66,7 +74,7 @@ def _report_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     """Metrics, templates and traces from one written table of groups and one of pieces."""
     lines, stage = derive.log_lines(spark, sf_dir), parquet_stage(spark)
     groups = stage(tp.line_groups(lines), "groups")
-    return tp.metrics_of(groups), tp.templates_of(groups), tr.resolved_pieces(lines, stage=stage)
+    return tp.metrics_of(groups), tp.templates_of(groups), _pieces(lines)
 
 
 def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,9 +82,9 @@ def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    metrics, templates, resolved = _report_tables(spark, sf_dir)
+    metrics, templates, pieces = _report_tables(spark, sf_dir)
     analyses = semantic.parse_analyses(derive.service_replies(spark, sf_dir))
-    summaries = report.summary_report(metrics, templates, resolved)
+    summaries = report.summary_report(metrics, templates, pieces)
     return report.ingest_report(summaries, metrics, semantic.semantic_report(analyses))
 
 
@@ -87,9 +95,9 @@ def _list_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _top_traces(lines: DataFrame) -> DataFrame:
-    resolved = _resolved(lines)
-    first = tr.first_traces(resolved, cat.SUMMARY_TRACES)
-    return first.join(tr.trace_counts(resolved), "source").select(
+    pieces = _pieces(lines)
+    first = tr.first_traces(pieces, cat.SUMMARY_TRACES)
+    return first.join(tr.trace_counts(pieces), "source").select(
         "source", "trace_id", "header_line", "summary", "n_traces"
     )
 
@@ -149,12 +157,12 @@ QUERIES: dict[str, Query] = {
     "stack_traces": on_lines(_stack_traces),
     "trace_text": on_lines(lambda ls: tr.trace_text(_resolved(ls), PART_LINES)),
     "trace_severity": on_lines(
-        lambda ls: tr.trace_summaries(_resolved(ls)).select(
+        lambda ls: _summaries(ls).select(
             "source", "trace_id", "header_line", "n_lines", "severity"
         )
     ),
     "trace_summary": on_lines(
-        lambda ls: tr.trace_summaries(_resolved(ls)).select("source", "trace_id", "summary")
+        lambda ls: _summaries(ls).select("source", "trace_id", "summary")
     ),
     # templates and metrics
     "dedup_templates": on_lines(tp.dedup_templates),
