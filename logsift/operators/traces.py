@@ -12,8 +12,6 @@ single trace may be.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,13 +21,6 @@ from logsift.operators.lines import CHUNK_LINES, classify, with_chunk
 # Lines of a trace held in one array value.
 PART_LINES = 1_000
 
-Stage = Callable[[DataFrame, str], DataFrame]
-
-
-def _no_stage(df: DataFrame, name: str) -> DataFrame:
-    return df
-
-
 def trace_pieces(
     lines: DataFrame, chunk_lines: int = CHUNK_LINES, part_lines: int = PART_LINES
 ) -> DataFrame:
@@ -216,13 +207,11 @@ def resolve(
 
 
 def resolved_pieces(
-    lines: DataFrame,
-    chunk_lines: int = CHUNK_LINES,
-    part_lines: int = PART_LINES,
-    stage: Stage = _no_stage,
+    lines: DataFrame, chunk_lines: int = CHUNK_LINES, part_lines: int = PART_LINES
 ) -> DataFrame:
-    """``resolve`` reads the pieces twice; ``stage`` may write them out in between."""
-    return resolve(stage(trace_pieces(lines, chunk_lines, part_lines), "pieces"), part_lines)
+    """``resolve`` straight from lines; it reads the pieces twice, so large ones are better
+    written out first (see ``plans/staging.py``)."""
+    return resolve(trace_pieces(lines, chunk_lines, part_lines), part_lines)
 
 
 def trace_lines(resolved: DataFrame) -> DataFrame:

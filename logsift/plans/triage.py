@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,17 +57,21 @@ class Triage:
         return self.ingest_lines(lines)
 
     def ingest_lines(self, lines: DataFrame) -> DataFrame:
-        """Store ``(source, chunk, line_no, line)`` of any number of sources."""
-        stored = self.store.write(annotate(lines), "lines")
-        new = lines.select("source").distinct()
-        stored = stored.join(new, "source", "left_semi")
-        groups = self.store.write(tp.line_groups(stored), "groups")
-        pieces = self.store.write(
-            tr.with_every_source(tr.trace_pieces(stored), new), "pieces"
-        )
-        return self._reports(
-            groups.join(new, "source", "left_semi"), pieces.join(new, "source", "left_semi")
+        """Store ``(source, chunk, line_no, line)`` of any number of sources.
+
+        The lines are read once. What was just written is found again by its
+        batch mark, on which Parquet skips the files of other batches.
+        """
+        batch = uuid.uuid4().hex
+        mark, is_new = F.lit(batch).alias("batch"), F.col("batch") == batch
+        stored = self.store.write(annotate(lines).select("*", mark), "lines").filter(is_new)
+        groups = self.store.write(tp.line_groups(stored).select("*", mark), "groups")
+        groups = groups.filter(is_new)
+        pieces = tr.with_every_source(
+            tr.trace_pieces(stored), groups.select("source").distinct()
         )
+        pieces = self.store.write(pieces.select("*", mark), "pieces").filter(is_new)
+        return self._reports(groups, pieces)
 
     def add_replies(self, replies: DataFrame) -> DataFrame:
         """Store the analyses in ``(source, reply)``; returns the replies that hold none."""
@@ -76,8 +83,8 @@ class Triage:
     def _analyses(self) -> DataFrame | None:
         try:
             return self.store.read("analyses")
-        except Exception as missing:  # noqa: BLE001
-            if "PATH_NOT_FOUND" in str(missing):
+        except AnalysisException as missing:
+            if missing.getCondition() == "PATH_NOT_FOUND":
                 return None
             raise
 

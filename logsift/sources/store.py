@@ -49,10 +49,7 @@ class Store:
         ]
         return self.spark.read.schema(", ".join(fields)).parquet(path)
 
-    def sources(self) -> list[str]:
-        """The stored labels."""
+    def sources(self, most: int = 1_000) -> list[str]:
+        """The stored labels in order; of very many, the first ``most``."""
         found = self.read("groups").select("source").distinct().orderBy("source")
-        return [row.source for row in found.collect()]
-
-    def replace_analyses(self, analyses: DataFrame, table: str = "analyses") -> DataFrame:
-        return self.write(analyses.withColumn("source", F.col("source").cast("string")), table)
+        return [row.source for row in found.limit(most).collect()]

@@ -160,3 +160,19 @@ def test_user_pattern(spark, apply, pattern):
         except re.error:
             found = lambda s: pattern.lower() in s.lower()
     assert got == [bool(found(line)) for line in lines]
+
+
+def test_classification_of_a_stream(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from logsift.operators.lines import classify
+
+    (tmp_path / "a.log").write_text("ERROR x\n\nplain\n")
+    lines = spark.readStream.format("text").load(str(tmp_path)).select(F.col("value").alias("line"))
+    query = classify(lines).writeStream.format("memory").queryName("classified").start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    rows = spark.table("classified").select("cleaned", "severity").collect()
+    assert sorted(map(tuple, rows)) == [("ERROR x", "error"), ("plain", "unknown")]
