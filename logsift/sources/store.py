@@ -8,7 +8,6 @@ the row groups of a file cover narrow ranges of line numbers.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from logsift.functions import catalogue as cat
 
