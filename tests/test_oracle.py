@@ -4,8 +4,10 @@ import os
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from tests.compare import duck_rows, spark_rows, tables
+from workload.oracle import ORACLE
+from workload.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -18,13 +20,13 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert queries().keys() == oracle_sql().keys()
+    assert QUERIES.keys() == ORACLE.keys()
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_sql(spark, duck, name):
-    types, rows = spark_rows(queries()[name](spark, SF_DIR))
-    sql_types, sql_rows = duck_rows(duck, oracle_sql()[name])
+    types, rows = spark_rows(QUERIES[name](spark, SF_DIR))
+    sql_types, sql_rows = duck_rows(duck, ORACLE[name])
     assert types == sql_types
     assert rows == sql_rows
     assert rows
