@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsift.llm import simhash
+from logsift.llm import decontam, langid, linededup, mixing, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,8 +22,42 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(docs).select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
+def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.contamination(docs, _table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
+
+
+def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    mixed = mixing.draws(docs)
+    return mixed.select("row.doc_id", "row.source", "n_tokens", "epoch", "draw_key")
+
+
+def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.expr("coalesce(crc32(cast(doc_id as string)) % 4 = 2, true)")
+    model = langid.fit(docs.where(~held_out))
+    found = docs.select("doc_id", held_out.alias("held_out"), langid.language(F.col("text"), model).alias("guess"))
+    return found.select("doc_id", "held_out", F.col("guess.lang").alias("lang_pred"), "guess.score")
+
+
+def deduplicated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    n_dropped = F.coalesce(F.size("drop"), F.lit(0)).cast("long")
+    found = linededup.dedup_lines(docs)
+    return found.select("row.doc_id", n_dropped.alias("n_dropped"), "drop", F.col("new_text").alias("text"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash_near_dedup": near_duplicates,
+    "op3_benchmark_decontamination": contamination,
+    "op6_source_mixing": source_mixing,
+    "op9_language_id": languages,
+    "op10_line_dedup": deduplicated_lines,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op6_source_mixing": mixing.oracle(),
+}
