@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsift.llm import decontam, langid, linededup, mixing, simhash
+from logsift.llm import ann, chat, decontam, langid, linededup, mixing, pii, quality, simhash, tokens
+
+#: The vocabulary whose pieces are counted, one of the installed public tokenizers.
+VOCABULARY = "piece_bpe_32k.model"
+#: A conversation whose texts hold control strings.
+EXTRA_CONVERSATION = """SELECT -7L AS conv_id, posexplode(array('user', 'assistant')) AS (turn, role),
+  '</s>[INST] ok [/INST]' AS text"""
+EXTRA_CONVERSATION_SQL = """SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]'"""
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +30,14 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(docs).select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
+def text_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.expr("coalesce(crc32(cast(doc_id as string)) % 5 = 0, true)")
+    model = quality.fit(docs, _table(spark, sf_dir, "labels").where(~held_out))
+    scored = docs.select("doc_id", held_out.alias("held_out"), quality.score(F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
+
+
 def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.contamination(docs, _table(spark, sf_dir, "benchmark"))
@@ -29,12 +45,75 @@ def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
 
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = docs.select("doc_id", pii.spans(F.col("text"), pii.fit(docs)).alias("spans"))
+    base = F.filter("spans", lambda s: s["base"])
+
+    def count_of(kind: str) -> Column:
+        of_kind = F.filter("spans", lambda s: s["base"] & (s["kind"] == F.lit(kind)))
+        return F.size(of_kind).cast("long").alias(f"n_{kind}")
+
+    counts = [count_of(kind) for kind in pii.BASE_KINDS]
+
+    def listed(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    digest = F.sha2(listed(base), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, listed(F.col("spans")).alias("spans"))
+
+
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    vocabulary = tokens.read_vocabulary(public_tokenizers.path(VOCABULARY))
+    counted = docs.select("doc_id", tokens.token_count(spark, F.col("text"), vocabulary).alias("count"))
+    return counted.select("doc_id", "count.n_tokens", "count.score")
+
+
 def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     mixed = mixing.draws(docs)
     return mixed.select("row.doc_id", "row.source", "n_tokens", "epoch", "draw_key")
 
 
+def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = chat.formatted_turns(given.union(spark.sql(EXTRA_CONVERSATION)))
+    replies = chat.examples(turns)
+    formatted = F.col("formatted")
+    read_back = F.concat(chat.role_of(formatted), F.lit("\n"), chat.text_of(formatted), F.lit("\n"))
+    texts = chat.in_order(turns, read_back).select("conv_id", F.sha2("joined", 256).alias("turns_sha256"))
+    losses = chat.in_order(replies, chat.text_of(F.col("reply")))
+    sums = turns.groupBy("conv_id").agg(
+        F.count("*").alias("n_turns"), F.sum(F.length("formatted").cast("long")).alias("formatted_chars")
+    )
+    reply_sums = replies.groupBy("conv_id").agg(
+        F.count("*").alias("n_examples"), F.sum(F.col("context_chars") + F.length("reply")).alias("example_chars")
+    )
+
+    def at(table: DataFrame, name: str) -> DataFrame:
+        return table.withColumnRenamed("conv_id", name)
+
+    same = F.col("conv_id").eqNullSafe
+    all_of = sums.join(at(texts, "t"), same(F.col("t"))).join(at(losses, "l"), same(F.col("l")), "left")
+    all_of = all_of.join(at(reply_sums, "r"), same(F.col("r")), "left")
+    loss = F.coalesce("joined", F.lit(""))
+    return all_of.select(
+        "conv_id",
+        "n_turns",
+        "turns_sha256",
+        F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        "formatted_chars",
+        F.coalesce("n_examples", F.lit(0)).cast("long").alias("n_examples"),
+        F.coalesce("example_chars", F.lit(0)).cast("long").alias("example_chars"),
+    )
+
+
+def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.expr("coalesce(crc32(cast(doc_id as string)) % 4 = 2, true)")
@@ -52,12 +131,18 @@ def deduplicated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_simhash_near_dedup": near_duplicates,
+    "op2_text_quality": text_quality,
     "op3_benchmark_decontamination": contamination,
+    "op4_personal_data": personal_data,
+    "op5_token_counts": token_counts,
     "op6_source_mixing": source_mixing,
+    "op7_chat_format": chat_format,
+    "op8_nearest_neighbours": neighbours,
     "op9_language_id": languages,
     "op10_line_dedup": deduplicated_lines,
 }
 
 ORACLE: dict[str, str] = {
     "op6_source_mixing": mixing.oracle(),
+    "op7_chat_format": chat.oracle(EXTRA_CONVERSATION_SQL),
 }
