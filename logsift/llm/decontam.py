@@ -9,9 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from logsift.llm.scratch import Scratch
+
 WINDOW_WORDS = 10
-#: Words of benchmark text that one pass over the documents searches for.
-PASS_WORDS = 1_000_000
+#: Words of benchmark text that one pass over the documents searches for; a task holds
+#: about half a kilobyte for each.
+PASS_WORDS = 200_000
 #: An item is cut into pieces that start this many words apart.
 PIECE_WORDS = 50_000
 
@@ -156,7 +159,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, text: Column, pass_words: int =
     ids as strings, sorted. Null and empty texts have no words. An item without an id
     counts under the empty string, items that repeat an id count once. An empty benchmark
     finds nothing. The benchmark is searched in parts of bounded size, each in one pass that
-    moves no rows and carries on what earlier parts found.
+    shuffles nothing and carries on what earlier parts found; between two passes the rows are
+    written, so that a task holds one part.
     """
     none = F.struct(
         F.lit(0).cast("long").alias("n_words"),
@@ -164,11 +168,15 @@ def hits(docs: DataFrame, benchmark: DataFrame, text: Column, pass_words: int =
         F.array().cast("array<string>").alias("items"),
     )
     binary = F.coalesce(text, F.lit("")).cast("binary")
-    found = none
-    for pieces in _passes(benchmark.select("item_id", "text"), pass_words):
+    scratch = Scratch(docs.sparkSession)
+    rows = docs
+    for k, pieces in enumerate(_passes(benchmark.select("item_id", "text"), pass_words)):
+        if k:
+            rows = scratch.table(rows, f"pass-{k}")
+            scratch.forget(f"pass-{k - 1}")
         shared = docs.sparkSession.sparkContext.broadcast(pieces)
-        found = _scan(shared)(binary, found)
-    return docs.withColumn("hits", found)
+        rows = rows.withColumn("hits", _scan(shared)(binary, F.col("hits") if k else none))
+    return rows
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, pass_words: int = PASS_WORDS) -> DataFrame:

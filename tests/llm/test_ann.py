@@ -1,0 +1,82 @@
+from __future__ import annotations
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from logsift.llm import ann, queries
+
+SF_DIR = "/root/testdata/sf0.01"
+
+
+def table(spark, ids, rows):
+    data = [(i, None if r is None else [None if x is None else float(x) for x in r], "q") for i, r in zip(ids, rows)]
+    return spark.createDataFrame(data, "vec_id long, embedding array<float>, code string")
+
+
+def brute_force(ids, rows, query_ids, k):
+    best = {}
+    for q in query_ids:
+        scores = rows.astype(float) @ rows[ids == q][0].astype(float)
+        order = np.lexsort((ids, -scores))
+        best[q] = [ids[j] for j in order if ids[j] != q][:k]
+    return best
+
+
+def test_hadamard_is_the_matrix():
+    matrix = np.array([[1]])
+    while len(matrix) < 16:
+        matrix = np.block([[matrix, matrix], [matrix, -matrix]])
+    rows = np.random.default_rng(0).normal(size=(5, 16))
+    assert np.allclose(ann._hadamard(rows), rows @ matrix)
+
+
+def test_first_probe_is_the_own_bucket():
+    rows = np.random.default_rng(1).normal(size=(50, 20))
+    hashing = ann.Hashing(20, float(np.linalg.norm(rows, axis=1).max()), lifted=False)
+    assert (hashing.ranking(rows)[:, :, 0] == hashing.buckets(rows)).all()
+
+
+@pytest.mark.parametrize("chunk", [7, 2048])
+def test_with_all_probes_the_result_is_exact(spark, chunk):
+    rng = np.random.default_rng(2)
+    rows = rng.normal(size=(160, 6)).astype(np.float32) * rng.uniform(0.5, 3, (160, 1)).astype(np.float32)
+    rows[40:80] = rows[40]  # copies: ties go to the smaller id
+    ids = rng.permutation(1000)[:160]
+    found = ann.search(table(spark, ids.tolist(), rows.tolist()), F.col("vec_id") % 5 == 0, k=9, recall=1.0, chunk=chunk)
+    queries_of = [i for i in ids if i % 5 == 0]
+    want = brute_force(ids, rows, queries_of, 9)
+    got = {}
+    for r in sorted(found.collect(), key=lambda r: (r.query_id, r["rank"])):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+        assert r["rank"] == len(got[r.query_id])
+        a, b = rows[ids == r.query_id][0].astype(float), rows[ids == r.vec_id][0].astype(float)
+        assert r.score == ann.exact_products(a[None], b[None])[0]
+    hits = sum(len(set(want[q]) & set(got.get(q, []))) for q in want)
+    assert got.keys() <= want.keys() and hits / sum(map(len, want.values())) > 0.97
+    same = [q for q in want if 40 <= np.flatnonzero(ids == q)[0] < 80]
+    assert all(got[q] == want[q] for q in same)
+
+
+def test_odd_vectors(spark):
+    rows = [[1, 0], [0, 1], None, [0, 0], [None, 1], [float("nan"), 1], [float("inf"), 1], [1, 2, 3], [], [1, 1], [1, 1]]
+    ids = [0, 20, 40, 60, 80, 100, 120, 140, 160, 5, 5]
+    data = table(spark, ids, rows).union(table(spark, [None], [[1, 1]]))
+    found = ann.search(data, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()
+    assert [tuple(r) for r in found] == [(0, 1, 5, 1.0), (0, 2, 20, 0.0), (20, 1, 5, 1.0), (20, 2, 0, 0.0)]
+
+
+@pytest.mark.parametrize("rows", [[], [[1, 2]], [None, [0, 0]]])
+def test_tables_without_pairs(spark, rows):
+    found = ann.search(table(spark, range(0, 20 * len(rows), 20), rows), F.col("vec_id") % 20 == 0)
+    assert found.columns == ["query_id", "rank", "vec_id", "score"] and found.count() == 0
+
+
+def test_recall_of_the_query(spark):
+    vectors = spark.read.parquet(f"{SF_DIR}/embeddings.parquet").toPandas()
+    rows, ids = np.stack(vectors.embedding), vectors.vec_id.to_numpy()
+    want = brute_force(ids, rows, [i for i in ids if i % 20 == 0], 20)
+    found = queries.neighbours(spark, SF_DIR).collect()
+    hits = sum(r.vec_id in want[r.query_id] for r in found)
+    assert hits / sum(map(len, want.values())) >= 0.9
+    assert {r.query_id for r in found} == want.keys()

@@ -1,0 +1,117 @@
+from __future__ import annotations
+
+import hashlib
+import math
+import random
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from logsift.llm import mixing
+
+WORDS = {"a": [30, 50, 1, 9] * 6, "b": [5, 7, 3, 2] * 3, "c": [4], None: [8, 8, 8]}
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows, i = [], 0
+    for source, sizes in WORDS.items():
+        for n in sizes:
+            rows.append((i, " w" * n, source, "k", 5))
+            i += 1
+    rows += [(i, "", "a", "k", 5), (i + 1, None, "b", "k", 5)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, epoch string, cut long")
+
+
+TOTALS = {s: sum(n) for s, n in WORDS.items()}
+
+
+def weights(alpha):
+    z = sum(n**alpha for n in TOTALS.values())
+    return {s: n**alpha / z for s, n in TOTALS.items()}
+
+
+def totals_of(docs):
+    sizes = docs.select("source", mixing.token_count(F.col("text")).alias("n")).where("n > 0")
+    return sizes.groupBy("source").agg(F.sum("n").alias("tokens"), F.count("*").alias("docs"))
+
+
+def test_exponent_meets_the_entropy(docs):
+    entropy = lambda a: -sum(w * math.log(w) for w in weights(a).values())
+    low, high = entropy(1.0), entropy(0.0)
+    for target in (low + 0.1, (low + high) / 2):
+        alpha = mixing.exponent(totals_of(docs), target_entropy=target)
+        assert entropy(alpha) >= target > entropy(alpha + 2.0**-20)
+    assert mixing.exponent(totals_of(docs), target_entropy=high + 1) == 0.0
+    assert mixing.exponent(totals_of(docs), target_entropy=low - 1) == 1.0
+
+
+@pytest.mark.parametrize("budget", [None, 700])
+def test_exponent_meets_the_limit(docs, budget):
+    def most(a):
+        total = budget or max(n / w for n, w in zip(TOTALS.values(), weights(a).values()))
+        return max(total * weights(a)[s] / n for s, n in TOTALS.items())
+
+    alpha = mixing.exponent(totals_of(docs), limit=3.0, budget=budget)
+    assert most(alpha) <= 3.0 + 1e-9 and (alpha == 0 or most(alpha - 2.0**-20) > 3.0)
+    assert mixing.exponent(totals_of(docs), limit=1e9, budget=budget) == 0.0
+
+
+def plain_draws(docs, alpha, budget):
+    """Fills every source's quota by walking its permutations document by document."""
+    rows = [(r.doc_id, r.source, len((r.text or "").split())) for r in docs.collect()]
+    drawn = Counter()
+    for source, n in TOTALS.items():
+        scale = budget / sum(m**alpha for m in TOTALS.values()) if budget else max(m ** (1 - alpha) for m in TOTALS.values())
+        quota, epoch = round(n**alpha * scale), 0
+        mine = [(i, size) for i, s, size in rows if s == source and size]
+        while quota > 0:
+            order = sorted(mine, key=lambda d: hashlib.md5(f"17:{epoch}:{d[0]}".encode()).hexdigest())
+            for i, size in order:
+                if size > quota:
+                    quota = 0
+                    break
+                quota -= size
+                drawn[i, epoch] += 1
+            epoch += 1
+    return drawn
+
+
+@pytest.mark.parametrize("block", [1, 10_000])
+@pytest.mark.parametrize("budget", [None, 300, 900])
+def test_draws_equal_a_walk(docs, budget, block, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_DOCS", block)
+    alpha = mixing.exponent(totals_of(docs), limit=3.0, budget=budget)
+    got = Counter((r.row.doc_id, r.epoch) for r in mixing.draws(docs, limit=3.0, budget=budget).collect())
+    assert got == plain_draws(docs, alpha, budget)
+    if budget is None:
+        assert {i for i, _ in got} == set(range(sum(map(len, WORDS.values()))))
+
+
+def test_epochs_are_different_permutations(docs):
+    keys = defaultdict(dict)
+    for r in mixing.draws(docs, limit=50.0).collect():
+        keys[r.epoch][r.row.doc_id] = r.draw_key
+    shared = [i for i in keys[0] if i in keys[1]]
+    assert sorted(shared, key=keys[0].get) != sorted(shared, key=keys[1].get)
+
+
+def test_odd_rows_and_empty_table(spark, documents, odd_rows):
+    rows = mixing.draws(documents(odd_rows)).collect()
+    assert Counter(r.row.doc_id for r in rows if r.epoch == 0) == Counter([4, 5, 5, None, 6, 7])
+    assert mixing.draws(documents([])).count() == 0
+
+
+def test_hot_source(spark):
+    rng = random.Random(6)
+    rows = [(i, "w " * rng.randint(1, 30), "hot" if i % 3 else f"s{i % 30}", 0) for i in range(3_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    drawn = mixing.draws(docs, budget=30_000, limit=100.0)
+    by_source = {r.source: r.n for r in drawn.groupBy("row.source").agg(F.sum("n_tokens").alias("n")).collect()}
+    totals = docs.select("source", mixing.token_count(F.col("text")).alias("tokens")).groupBy("source")
+    alpha = mixing.exponent(totals.agg(F.sum("tokens").alias("tokens")), limit=100.0, budget=30_000)
+    z = sum(r.n**alpha for r in totals.agg(F.sum("tokens").alias("n")).collect())
+    for r in totals.agg(F.sum("tokens").alias("n")).collect():
+        want = 30_000 * r.n**alpha / z
+        assert want - 31 <= by_source[r.source] <= want + 1

@@ -1,0 +1,117 @@
+from __future__ import annotations
+
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+
+from logsift.llm import components, queries, simhash
+from logsift.llm.scratch import Scratch
+
+SF_DIR = "/root/testdata/sf0.001"
+
+
+def plain_print(text: str | None) -> int:
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall("[^\x20\x09-\x0d]+", lower)
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    hashes = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def plain_components(nodes, linked):
+    parent = {n: n for n in nodes}
+
+    def root(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    for a in nodes:
+        for b in nodes:
+            if a < b and linked(a, b):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    return {n: root(n) for n in nodes}
+
+
+@pytest.mark.parametrize("text", [None, "", "A b", "a B C d e f\x0bg", "x " * 500, "é ß É " * 9])
+def test_fingerprint(text):
+    got = simhash.fingerprint_bits(None if text is None else text.encode())
+    assert got % (1 << 64) == plain_print(text)
+
+
+def test_manhattan_distance_is_a_lower_bound():
+    rng = np.random.default_rng(0)
+    a, b = rng.integers(0, 2**63, (2, 1000), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    low = np.bitwise_count(simhash.unary_counts(a) ^ simhash.unary_counts(b))
+    assert (low <= np.bitwise_count(a ^ b)).all()
+    counts = lambda x: [(int(x) >> 2 * s & 3).bit_count() for s in range(32)]
+    assert low[0] == sum(abs(p - q) for p, q in zip(counts(a[0]), counts(b[0])))
+
+
+@pytest.mark.parametrize("chunk", [4, 512])
+def test_links_join_what_brute_force_joins(spark, chunk):
+    """Clusters that hang together by chains, some of which fill whole cells."""
+    rng = random.Random(1)
+    prints = set()
+    for _ in range(40):
+        at = rng.getrandbits(64)
+        for _ in range(rng.randint(1, 25)):
+            prints.add(at)
+            for _ in range(rng.randint(1, 4)):
+                at ^= 1 << rng.randrange(64)
+    values = sorted(prints)
+    signed = [(v - (1 << 64) if v >> 63 else v, i) for i, v in enumerate(values)]
+    table = spark.createDataFrame(signed, "fp long, id long")
+    links = simhash.links(table, chunk=chunk).distinct().collect()
+    assert all((values[a] ^ values[b]).bit_count() <= 3 for a, b in links)
+    ids = range(len(values))
+    got = plain_components(ids, lambda a, b, s={tuple(sorted(x)) for x in links}: (a, b) in s)
+    assert got == plain_components(ids, lambda a, b: (values[a] ^ values[b]).bit_count() <= 3)
+
+
+def test_components_of_paths_stars_and_loops(spark):
+    rng = random.Random(2)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(300, 340)] + [(5, 5), (None, 3), (340, 9)]
+    rng.shuffle(edges)
+    table = spark.createDataFrame(edges, "a long, b long")
+    rows = components.components(table, Scratch(spark)).collect()
+    got = {r.node: r.component for r in rows}
+    want = {i: 100 for i in range(101, 161)} | {i: 7 for i in range(300, 340)} | {340: 9}
+    assert got == want and len(rows) == len(got)
+
+
+def test_odd_rows(spark, documents, odd_rows):
+    rows = simhash.near_duplicates(documents(odd_rows)).collect()
+    assert Counter(r.doc_id for r in rows) == Counter(i for i, _ in odd_rows)
+    by_id = {r.doc_id: r for r in rows if r.doc_id is not None}
+    assert [by_id[i].component_id for i in (1, 2, 3)] == [1, 1, 1] and by_id[2].fp == 0
+    assert by_id[5].component_id == 5
+    assert {r.component_id for r in rows if r.doc_id is None and r.fp == 0} == {1}
+
+
+def test_keep_first(spark, documents, odd_rows):
+    docs = documents(odd_rows)
+    kept = simhash.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert Counter(r.doc_id for r in kept.collect()) == Counter([1, 4, 5, 6, 7, None, None])
+
+
+def test_empty_table(spark, documents):
+    assert simhash.near_duplicates(documents([])).count() == 0
+    assert simhash.keep_first(documents([])).count() == 0
+
+
+def test_query_equals_brute_force(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text").collect()
+    prints = {d.doc_id: plain_print(d.text) for d in docs}
+    rows = queries.near_duplicates(spark, SF_DIR).collect()
+    assert {r.doc_id: r.fingerprint for r in rows} == {i: f"{p:016x}" for i, p in prints.items()}
+    want = plain_components(sorted(prints), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 3)
+    assert {r.doc_id: r.component_id for r in rows} == want and len(rows) == len(docs)
