@@ -140,12 +140,14 @@ def dropped_lines(docs: DataFrame, min_words: int = MIN_BLOCK_WORDS) -> DataFram
     doc_id count as one document. Blank lines are passed over.
     """
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    held = Scratch(docs.sparkSession).table(rows.mapInArrow(_lines, _LINES), "lines")
+    scratch = Scratch(docs.sparkSession)
+    held = scratch.table(rows.mapInArrow(_lines, _LINES), "lines")
     firsts = held.groupBy("line").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     firsts = firsts.where("first < last").select(F.col("line").alias("key"), "first")
     is_first = (F.col("line") == F.col("key")) & (F.col("doc_id") == F.col("first"))
     holders = held.join(firsts, is_first).select("key", "first", F.col("at").alias("first_at"))
-    holders = holders.dropDuplicates(["key"])
+    # Written, the holders are a plain side of the next join, so that Spark splits hot lines.
+    holders = scratch.table(holders.dropDuplicates(["key"]), "holders")
     laters = held.join(holders, F.col("line") == F.col("key")).where("doc_id > first")
     per_doc = laters.groupBy("doc_id").agg(F.collect_list(F.struct("first", "words", "at", "first_at")).alias("x"))
     drop = _blocks(min_words)(F.col("x.first"), F.col("x.words"), F.col("x.at"), F.col("x.first_at"))
