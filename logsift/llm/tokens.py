@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Segments whose counts a task keeps.
-KEPT_SEGMENTS = 200_000
+KEPT_SEGMENTS = 300_000
 #: What an unknown character scores below the lowest piece.
 UNKNOWN_PENALTY = 10.0
 SPACE = "▁"
@@ -61,6 +61,7 @@ class Counter:
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         self.unknown = min(vocabulary.pieces.values(), default=0.0) - UNKNOWN_PENALTY
+        self.single = {p for p in vocabulary.pieces if len(p) == 1}
         self.cut = self._borders()
         self.known: dict[str, tuple[float, int]] = {}
 
@@ -97,6 +98,23 @@ class Counter:
         Of pieces that end at one place, the one that starts first wins a tie. A character
         that is no piece by itself can also stand alone, as unknown.
         """
+        if not self.single.issuperset(segment):
+            return self._best_with_unknown(segment)
+        # Matches come by their end, the longest first, and every place ends one.
+        scores, counts = [0.0], [0]
+        at, top, count = 0, float("-inf"), 0
+        for last, (length, score) in self.automaton.iter(segment):
+            if last != at:
+                scores.append(top)
+                counts.append(count)
+                at, top = last, float("-inf")
+            start = last + 1 - length
+            reached = scores[start] + score
+            if reached > top:
+                top, count = reached, counts[start] + 1
+        return top, count
+
+    def _best_with_unknown(self, segment: str) -> tuple[float, int]:
         ends = defaultdict(list)
         for last, match in self.automaton.iter(segment):
             ends[last + 1].append(match)
@@ -105,9 +123,9 @@ class Counter:
         for end in range(1, len(segment) + 1):
             char = segment[end - 1]
             top, count, is_unknown = float("-inf"), 0, False
-            matches = sorted(ends.get(end, ()), reverse=True)
-            if char not in self.vocabulary.pieces:
-                matches.append((1, None))
+            matches = ends.get(end, [])
+            if char not in self.single:
+                matches = [*matches, (1, None)]
             for length, score in matches:
                 start = end - length
                 reached = scores[start] + (self.unknown if score is None else score)
