@@ -123,7 +123,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
         share = F.when(F.col("quality") == quality, F.lit(min(1.0, fit_docs / n) * (1 << 30))).otherwise(share)
     drawn = known.withColumn("draw", draw).where(F.col("draw") < share)
     texts = docs.where("text <> ''").select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text"))
-    sample = texts.join(drawn, F.col("id") == F.col("doc_id")).select("doc_id", "quality", "draw", "text")
+    # About 2 * fit_docs rows of three numbers at any size of the corpus, so no text is moved.
+    sample = texts.join(F.broadcast(drawn), F.col("id") == F.col("doc_id"))
+    sample = sample.select("doc_id", "quality", "draw", "text")
     sample = Scratch(docs.sparkSession).table(sample, "labelled")
     number = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.ceil(F.length("text") / CHUNK_BYTES))
     chunk = F.substring("text", (number * CHUNK_BYTES + 1).cast("int"), F.lit(CHUNK_BYTES))
