@@ -62,16 +62,53 @@ def any_at_start(patterns: list[str]) -> str:
     return "^(?:" + "|".join(p[1:] for p in patterns) + ")"
 
 
-# Spellings that Java reads differently although it accepts them: a bracket or
-# "&&" inside a class, \v, and \0-style escapes.
-_READ_DIFFERENTLY = re.compile(r"\[\^?\]?[^\]]*(?:\[|&&)|\\v|\\0")
+def java_form(pattern: str) -> str:
+    """A valid pattern in Java's spelling.
+
+    Inside a class Java takes ``[`` and ``&&`` for set operations, so both are escaped;
+    ``\v`` and octal escapes name other characters there; group names may hold letters and
+    digits only and are numbered instead.
+    """
+    names: dict[str, str] = {}
+    out, at, in_class, first = [], 0, False, False
+    while at < len(pattern):
+        rest = pattern[at:]
+        if octal := re.match(r"\\0[0-7]{0,2}", rest):
+            out.append(f"\\x{int(octal[0][1:], 8):02x}")
+            at, first = at + octal.end(), False
+        elif rest.startswith("\\"):
+            pair = rest[:2]
+            out.append({r"\v": r"\x0b", r"\Z": r"\z"}.get(pair, pair))
+            at, first = at + 2, False
+        elif in_class:
+            char = rest[0]
+            closes = char == "]" and not first
+            out.append("\\" + char if char in "[&" or (char == "]" and first) else char)
+            in_class, at, first = not closes, at + 1, False
+        elif rest.startswith("["):
+            opening = "[^" if rest.startswith("[^") else "["
+            out.append(opening)
+            in_class, at, first = True, at + len(opening), True
+        elif upto := re.match(r"\{,(?=\d+\})", rest):
+            out.append("{0,")
+            at += upto.end()
+        elif group := re.match(r"\(\?P<(\w+)>", rest):
+            out.append(f"(?<{names.setdefault(group[1], f'g{len(names)}')}>")
+            at += group.end()
+        elif group := re.match(r"\(\?P=(\w+)\)", rest):
+            out.append(f"\\k<{names.get(group[1], group[1])}>")
+            at += group.end()
+        else:
+            out.append(rest[0])
+            at += 1
+    return "".join(out)
 
 
 def user_match(spark: SparkSession, text: Column, pattern: str) -> Column:
     """Whether a user's pattern is found in ``text``, ignoring case.
 
-    A pattern that is no valid regex is searched for as plain text. A valid one
-    that Java cannot take with the same meaning runs in Arrow batches.
+    A pattern that is no valid regex is searched for as plain text. What Java lacks, such as
+    conditionals, runs in Arrow batches.
     """
     try:
         with warnings.catch_warnings():
@@ -80,10 +117,8 @@ def user_match(spark: SparkSession, text: Column, pattern: str) -> Column:
     except re.error:
         return F.contains(F.lower(text), F.lit(pattern.lower()))
 
-    java = re.sub(r"\(\?P<(\w+)>", r"(?<\1>", pattern)
-    java = re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", java)
-    java = "(?iUd)" + java.replace(r"\Z", r"\z")
-    if not _READ_DIFFERENTLY.search(pattern) and _java_accepts(spark, java):
+    java = "(?iUd)" + java_form(pattern)
+    if _java_accepts(spark, java):
         return text.rlike(java)
 
     @F.pandas_udf("boolean")
@@ -94,9 +129,8 @@ def user_match(spark: SparkSession, text: Column, pattern: str) -> Column:
 
 
 def _java_accepts(spark: SparkSession, pattern: str) -> bool:
-    """Try the pattern on a constant; Catalyst folds it, so no job runs."""
     try:
-        spark.range(1).select(F.lit("").rlike(pattern)).collect()
+        spark._jvm.java.util.regex.Pattern.compile(pattern)
         return True
     except PySparkException:
         return False

@@ -12,6 +12,10 @@ from logsift.plans import wording as w
 from logsift.plans.sections import fill
 
 
+#: Line numbers of a run, the grain at which windows around hits prune lines.
+RUN_LINES = 1_000
+
+
 def _check_range(name: str, value: int, low: int, high: int | None = None) -> None:
     if value < low or (high is not None and value > high):
         limit = f"at least {low}" if high is None else f"between {low} and {high}"
@@ -76,7 +80,10 @@ def lines_around_hits(
     """``lines_around`` for a table of ``(source, line_no)`` hits.
 
     Each hit becomes the line numbers it asks for, so the join is on
-    ``(source, line_no)``: no key is hot and no row pair is tested in vain.
+    ``(source, line_no)``: no key is hot and no row pair is tested in vain. Lines far
+    from all hits are left out first, by runs of ``RUN_LINES`` line numbers: the
+    distinct runs near hits are the smallest table there is, and once Spark
+    broadcasts it, only text near hits is moved by the join.
     """
     _check_range("context", context, 0, cat.DRILL_CONTEXT_MAX)
     center = F.col("center")
@@ -91,7 +98,13 @@ def lines_around_hits(
             ),
         )
     )
-    return lines.join(wanted, ["source", "line_no"]).select(
+    def run(name: str) -> Column:
+        return F.expr(f"{name} div {RUN_LINES}")
+
+    runs = wanted.select(F.col("source").alias("of"), run("line_no").alias("run")).distinct()
+    in_run = (F.col("source") == F.col("of")) & (run("line_no") == F.col("run"))
+    near = lines.join(runs, in_run, "left_semi")
+    return near.join(wanted, ["source", "line_no"]).select(
         "source", "center", "line_no", "line", (F.col("line_no") == center).alias("is_center")
     )
 

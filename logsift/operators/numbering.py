@@ -24,15 +24,8 @@ def add_position(rows: DataFrame, order: list[str], weight: Column, name: str) -
         Window.unboundedPreceding, -1
     )
     placed = rows.withColumn("_within", F.coalesce(F.sum(weight).over(within), F.lit(0)))
-    # A left join: a chunk that another read of the same input did not see must
-    # fail loudly (see sources/files.py), not drop its lines.
-    base = F.coalesce(
-        F.col("_base"),
-        F.raise_error(F.lit("input was split differently between two reads; "
-                            "set spark.sql.files.minPartitionNum to a fixed value")).cast("bigint"),
-    )
     return (
-        placed.join(bases, ["source", "chunk"], "left")
-        .withColumn(name, base + F.col("_within"))
+        placed.join(bases, ["source", "chunk"])
+        .withColumn(name, F.col("_base") + F.col("_within"))
         .drop("_base", "_within")
     )

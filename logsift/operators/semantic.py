@@ -13,16 +13,12 @@ from logsift.functions.dialect import WHITESPACE, computed_once
 from logsift.plans import wording as w
 from logsift.plans.sections import fill
 
-# Fixed value: the fields of a reply. Counts stay text, as a reply may hold any number.
-REPLY_SCHEMA = (
-    "primary_issue STRING, "
-    "error_signatures ARRAY<STRUCT<pattern: STRING, category: STRING, count: STRING, "
-    "first_seen_timestamp: STRING, affected_component: STRING>>, "
-    "root_cause STRING, "
-    "timeline ARRAY<STRUCT<timestamp: STRING, event: STRING>>, "
-    "attention_needed ARRAY<STRING>, "
-    "noise_assessment STRING"
-)
+# The fields of a reply's items. Counts stay text, as a reply may hold any number.
+SIGNATURE = ("pattern", "category", "count", "first_seen_timestamp", "affected_component")
+EVENT = ("timestamp", "event")
+
+#: Bytes from which a JSON text may be too large for a variant.
+LARGE = 1 << 24
 
 
 # What may enclose a reply.
@@ -45,56 +41,105 @@ def _unfenced(reply: Column) -> Column:
     return F.trim(computed_once(opened, without_closing), blank)
 
 
-def _is_object(text: Column) -> Column:
-    """Whether the text is one JSON object.
+def _object(text: Column) -> Column:
+    """The JSON object that the text is, as a variant, or null.
 
     The strict parser of variants decides. It stops at the end of the first
     value, so the text is parsed as the only item of an array: anything behind
     the object then makes it invalid or gives a second item.
     """
     items = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    alone = computed_once(
-        items, lambda v: v.isNotNull() & F.try_variant_get(v, "$[1]", "variant").isNull()
-    )
-    return F.coalesce(F.startswith(text, F.lit("{")) & alone, F.lit(False))
 
+    def alone(v):
+        item = F.try_variant_get(v, "$[0]", "variant")
+        single = F.try_variant_get(v, "$[1]", "variant").isNull()
+        return F.when(F.startswith(text, F.lit("{")) & single, item)
+
+    return computed_once(items, alone)
 
-def _checked(replies: DataFrame) -> DataFrame:
+
+def _parsed(replies: DataFrame) -> DataFrame:
+    """Adds ``raw_json`` and ``object``, the one parse that everything is taken from."""
     return replies.withColumn("raw_json", _unfenced(F.col("reply"))).withColumn(
-        "is_object", computed_once(F.col("raw_json"), _is_object)
+        "object", _object(F.col("raw_json"))
     )
 
 
+def _text(item: Column, path: str = "$") -> Column:
+    return F.try_variant_get(item, path, "string")
+
+
+def _is_map(item: Column) -> Column:
+    return F.startswith(F.schema_of_variant(item), F.lit("OBJECT"))
+
+
 def parse_analyses(replies: DataFrame) -> DataFrame:
-    """Replies that are JSON objects, as columns with defaults for what is missing."""
-    got = F.from_json("raw_json", REPLY_SCHEMA)
+    """Replies that are JSON objects, as columns with defaults for what is missing.
+
+    A field that isn't of the kind asked for counts as missing. Items are taken one by one:
+    a signature or event that is no object, and a null among the lines for review, stand
+    in ``dropped`` as ``field: item``; the other items are kept.
+    """
 
     def text(name):
-        return F.coalesce(F.col(f"got.{name}"), F.lit("Unknown")).alias(name)
+        return F.coalesce(_text(F.col("object"), f"$.{name}"), F.lit("Unknown")).alias(name)
+
+    def listed(name):
+        items = F.try_variant_get("object", f"$.{name}", "array<variant>")
+        return F.coalesce(items, F.array().cast("array<variant>"))
 
-    def items(name):
-        return F.coalesce(F.col(f"got.{name}"), F.array()).alias(name)
+    def maps(name, fields):
+        kept = F.filter(listed(name), _is_map)
+        return F.transform(kept, lambda x: F.struct(*[_text(x, f"$.{n}").alias(n) for n in fields])).alias(name)
+
+    def others(name, test):
+        shown = F.transform(
+            F.filter(listed(name), lambda x: ~test(x)),
+            lambda x: F.concat(F.lit(f"{name}: "), F.coalesce(_text(x), F.lit("null"))),
+        )
+        return shown
 
+    attention = F.filter(F.transform(listed("attention_needed"), lambda x: _text(x)), lambda x: x.isNotNull())
+    dropped = F.concat(
+        others("error_signatures", _is_map),
+        others("timeline", _is_map),
+        others("attention_needed", lambda x: _text(x).isNotNull()),
+    )
     return (
-        _checked(replies)
-        .filter("is_object")
-        .select("source", "raw_json", got.alias("got"))
+        _parsed(replies)
+        .filter(F.col("object").isNotNull())
         .select(
             "source",
             text("primary_issue"),
-            items("error_signatures"),
+            maps("error_signatures", SIGNATURE),
             text("root_cause"),
-            items("timeline"),
-            items("attention_needed"),
+            maps("timeline", EVENT),
+            attention.alias("attention_needed"),
             text("noise_assessment"),
+            dropped.alias("dropped"),
             "raw_json",
         )
     )
 
 
 def bad_replies(replies: DataFrame) -> DataFrame:
-    """``(source, reply)`` of the replies that give no analysis."""
-    return _checked(replies).filter(~F.col("is_object")).select("source", "reply")
+    """``(source, reply, reason)`` of the replies that give no analysis.
+
+    The reason is ``no reply``, ``not JSON``, ``not an object``, ``repeated key`` or ``too
+    large``. Numbers that JSON lacks, such as NaN, make a reply not JSON.
+    """
+    raw = F.col("raw_json")
+    keys = F.json_object_keys(raw)
+    repeated = F.coalesce(F.size(F.array_distinct(keys)) < F.size(keys), F.lit(False))
+    reason = (
+        F.when(raw.isNull(), "no reply")
+        .when(repeated, "repeated key")
+        .when(F.octet_length(raw) >= LARGE, "too large")
+        .when(F.startswith(raw, F.lit("{")) | F.try_parse_json(raw).isNull(), "not JSON")
+        .otherwise("not an object")
+    )
+    bad = _parsed(replies).filter(F.col("object").isNull())
+    return bad.select("source", "reply", reason.alias("reason"))
 
 
 def error_signatures(analyses: DataFrame) -> DataFrame:

@@ -2,7 +2,10 @@
 
 ``line_groups`` is the one aggregation over all lines: it combines on the map
 side, and its key holds the template, so a source of any size spreads over the
-cluster. Templates and source metrics are both read from its (smaller) result.
+cluster. Its buffer holds numbers only, so it hashes and sorts no lines. Templates
+and source metrics are both read from its (smaller) result; the texts they show are
+fetched afterwards by line number. Whatever fetches texts reads ``lines`` twice:
+annotate and store them first, so that no pattern runs again.
 """
 
 from __future__ import annotations
@@ -36,32 +39,35 @@ def line_groups(lines: DataFrame) -> DataFrame:
             F.count("*").alias("n"),
             F.min("line_no").alias("first_line"),
             F.max(tx.severity_rank(F.col("severity"))).alias("rank"),
-            F.min_by("cleaned", "line_no").alias("sample"),
             *counts,
             F.min(ts_line).alias("first_ts_line"),
-            F.min_by("ts_text", ts_line).alias("first_ts"),
             F.max(ts_line).alias("last_ts_line"),
-            F.max_by("ts_text", ts_line).alias("last_ts"),
         )
     )
 
 
 def templates_of(groups: DataFrame) -> DataFrame:
-    """``(source, template, sample, n, severity, first_line)`` from line groups."""
+    """``(source, template, n, severity, first_line)`` from line groups."""
     return groups.filter(F.col("kind") == "text").select(
         "source",
         "template",
-        "sample",
         "n",
         tx.severity_of_rank(F.col("rank")).alias("severity"),
         "first_line",
     )
 
 
+def with_samples(templates: DataFrame, lines: DataFrame) -> DataFrame:
+    """Add ``sample``, the cleaned text of the first line, to chosen templates."""
+    texts = annotate(lines).select("source", F.col("line_no").alias("first_line"), "cleaned")
+    return templates.join(texts, ["source", "first_line"]).withColumnRenamed("cleaned", "sample")
+
+
 def metrics_of(groups: DataFrame) -> DataFrame:
     """One row per source from line groups; sources that are all noise are kept.
 
-    ``important`` and ``unclassified`` count templates by level.
+    ``important`` and ``unclassified`` count templates by level; ``first_ts_line`` and
+    ``last_ts_line`` are the lines of the first and the last timestamp.
     """
     is_text = F.col("kind") == "text"
     total, unique = F.col("total_lines"), F.col("unique_lines")
@@ -75,14 +81,25 @@ def metrics_of(groups: DataFrame) -> DataFrame:
             ),
             F.count_if(is_text & (F.col("rank") >= cat.RANK["warning"])).alias("important"),
             F.count_if(is_text & (F.col("rank") == cat.RANK["unknown"])).alias("unclassified"),
-            F.min_by("first_ts", "first_ts_line").alias("first_ts"),
-            F.max_by("last_ts", "last_ts_line").alias("last_ts"),
+            F.min("first_ts_line").alias("first_ts_line"),
+            F.max("last_ts_line").alias("last_ts_line"),
             *[F.sum(f"n_{level}").alias(f"n_{level}") for level in cat.LEVELS],
         )
         .withColumn("reduction_pct", reduction_percent(total, unique))
     )
 
 
+def with_time_range(per_source: DataFrame, lines: DataFrame) -> DataFrame:
+    """Replace ``first_ts_line, last_ts_line`` by the texts ``first_ts, last_ts``."""
+    ends = [F.struct(F.lit(n).alias("end"), F.col(f"{n}_ts_line").alias("line_no")) for n in ("first", "last")]
+    wanted = per_source.select("source", F.inline(F.array(*ends))).where("line_no is not null")
+    seen = annotate(lines).where("ts_text is not null").select("source", "line_no", "ts_text")
+    found = wanted.join(seen, ["source", "line_no"]).groupBy("source")
+    texts = F.map_from_entries(F.collect_list(F.struct("end", "ts_text")))
+    found = found.agg(texts.alias("ts")).select("source", F.col("ts.first").alias("first_ts"), F.col("ts.last").alias("last_ts"))
+    return per_source.drop("first_ts_line", "last_ts_line").join(found, "source", "left")
+
+
 def reduction_percent(total: Column, unique: Column) -> Column:
     """Share of lines removed in percent, one decimal, halves up; 0 for an empty log.
 
@@ -92,12 +109,14 @@ def reduction_percent(total: Column, unique: Column) -> Column:
     return F.when(total == 0, F.lit(0.0)).otherwise(tenths / F.lit(10.0))
 
 
-def dedup_templates(lines: DataFrame) -> DataFrame:
-    return templates_of(line_groups(lines))
+def dedup_templates(lines: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """All templates with their samples; ``groups`` are line groups that exist already."""
+    return with_samples(templates_of(line_groups(lines) if groups is None else groups), lines)
 
 
-def source_metrics(lines: DataFrame) -> DataFrame:
-    return metrics_of(line_groups(lines))
+def source_metrics(lines: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """``metrics_of`` with ``first_ts, last_ts``; ``groups`` as in ``dedup_templates``."""
+    return with_time_range(metrics_of(line_groups(lines) if groups is None else groups), lines)
 
 
 def severity_counts(lines: DataFrame) -> DataFrame:
@@ -117,14 +136,12 @@ def timestamps_seen(lines: DataFrame) -> DataFrame:
 def time_range(lines: DataFrame) -> DataFrame:
     """First and last timestamp of a source in line order; null where it has none."""
     ts_line = F.when(F.col("ts_text").isNotNull(), F.col("line_no"))
-    return (
+    ends = (
         classify(lines)
         .groupBy("source")
-        .agg(
-            F.min_by("ts_text", ts_line).alias("first_ts"),
-            F.max_by("ts_text", ts_line).alias("last_ts"),
-        )
+        .agg(F.min(ts_line).alias("first_ts_line"), F.max(ts_line).alias("last_ts_line"))
     )
+    return with_time_range(ends, lines)
 
 
 def severity_breakdown(metrics: DataFrame) -> DataFrame:

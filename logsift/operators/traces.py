@@ -21,6 +21,7 @@ from logsift.operators.lines import CHUNK_LINES, classify, with_chunk
 # Lines of a trace held in one array value.
 PART_LINES = 1_000
 
+
 def trace_pieces(
     lines: DataFrame, chunk_lines: int = CHUNK_LINES, part_lines: int = PART_LINES
 ) -> DataFrame:
@@ -168,14 +169,18 @@ def chunk_states(pieces: DataFrame) -> DataFrame:
 
 
 def resolve(
-    pieces: DataFrame, part_lines: int = PART_LINES, first: int | None = None
+    pieces: DataFrame,
+    part_lines: int = PART_LINES,
+    first: int | None = None,
+    states: DataFrame | None = None,
 ) -> DataFrame:
     """Join pieces to traces across chunks, perhaps only the ``first`` ones of each source.
 
     One row per piece: ``source, trace_id, header_line, before, n, severity,
-    lines``; ``before`` counts the trace's lines ahead of this piece.
+    lines``; ``before`` counts the trace's lines ahead of this piece. ``states`` are the
+    ``chunk_states`` of the pieces, if they exist already.
     """
-    states = chunk_states(pieces).drop("new")
+    states = (chunk_states(pieces) if states is None else states).drop("new")
     if first is not None:
         # Few chunks hold the first traces; the others need not be joined.
         states = states.filter(F.col("ids_before") <= first)
@@ -228,70 +233,76 @@ def trace_lines(resolved: DataFrame) -> DataFrame:
     )
 
 
+def _totals(resolved: DataFrame) -> DataFrame:
+    """``(source, trace_id, header_line, n_lines, fatal)``, combined before the shuffle."""
+    return resolved.groupBy("source", "trace_id", "header_line").agg(
+        F.sum("n").alias("n_lines"),
+        F.max(F.when(F.col("severity") == "fatal", 1).otherwise(0)).alias("fatal"),
+    )
+
+
 def stack_traces(resolved: DataFrame, part_lines: int = PART_LINES) -> DataFrame:
-    """Whole traces: ``(source, trace_id, header_line, part, n_lines, lines)``.
+    """Whole traces: ``(source, trace_id, header_line, part, n_parts, part_lines, n_lines, lines)``.
 
     A trace longer than ``part_lines`` continues in rows with ``part`` 1, 2, ...;
-    ``n_lines`` counts the lines of the row.
+    ``n_lines`` and ``n_parts`` are those of the whole trace, ``part_lines`` counts the
+    lines of the row.
     """
+    key = ["source", "trace_id", "header_line"]
     part = F.floor((F.col("pos") - 1) / part_lines).alias("part")
-    return (
+    parts = (
         trace_lines(resolved)
-        .groupBy("source", "trace_id", "header_line", part)
+        .groupBy(*key, part)
         .agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("members"))
-        .select(
-            "source",
-            "trace_id",
-            "header_line",
-            "part",
-            F.size("members").cast("bigint").alias("n_lines"),
-            F.col("members.line").alias("lines"),
-        )
+    )
+    return parts.join(_totals(resolved).select(*key, "n_lines"), key).select(
+        *key,
+        "part",
+        F.ceil(F.col("n_lines") / part_lines).alias("n_parts"),
+        F.size("members").cast("bigint").alias("part_lines"),
+        "n_lines",
+        F.col("members.line").alias("lines"),
     )
 
 
 def trace_text(resolved: DataFrame, part_lines: int = PART_LINES) -> DataFrame:
     """The text of each trace, in parts as ``stack_traces``."""
-    return stack_traces(resolved, part_lines).select(
-        "source", "trace_id", "header_line", "part", F.array_join("lines", "\n").alias("text")
-    )
+    shown = stack_traces(resolved, part_lines)
+    return shown.withColumn("text", F.array_join("lines", "\n")).drop("lines")
 
 
 def trace_summaries(resolved: DataFrame) -> DataFrame:
     """One row per trace: ``source, trace_id, header_line, n_lines, severity, summary``.
 
-    Up to four lines are shown whole; of longer traces the first two and the last
-    two. Pieces hand on only those lines, so no array grows with a trace.
+    Up to four lines are shown whole; of longer traces the first two and the last two. The
+    totals of a trace are summed before the shuffle, and only pieces at its ends hand on
+    lines, so neither rows nor arrays of one key grow with a trace.
     """
-    trace = Window.partitionBy("source", "trace_id")
+    key = ["source", "trace_id", "header_line"]
     total = F.col("n_lines")
+    totals = _totals(resolved)
     # Known within a piece: only its first and last two lines can be shown.
     ends = F.transform(
         F.filter("lines", lambda at: (at["i"] < 2) | (at["i"] >= F.col("n") - 2)),
         lambda at: F.struct((F.col("before") + at["i"] + 1).alias("pos"), at["text"].alias("line")),
     )
+    at_an_end = (F.col("before") < 4) | (F.col("before") + F.col("n") > total - 2)
     shown_ends = F.filter(
         F.col("ends"), lambda at: (total <= 4) | (at["pos"] <= 2) | (at["pos"] > total - 2)
     )
     shown = F.col("shown.line")
     cut = F.format_string("  ... (%d frames omitted)", total - 4)
     return (
-        resolved.select("source", "trace_id", "header_line", "n", "severity", ends.alias("ends"))
-        .withColumn("n_lines", F.sum("n").over(trace))
-        .withColumn("ends", shown_ends)
-        .groupBy("source", "trace_id", "header_line", "n_lines")
-        .agg(
-            F.coalesce(F.max("severity"), F.lit("error")).alias("severity"),
-            F.array_sort(
-                F.flatten(F.collect_list(F.when(F.size("ends") > 0, F.col("ends"))))
-            ).alias("shown"),
-        )
+        resolved.select(*key, "n", "before", ends.alias("ends"))
+        .join(totals, key)
+        .filter(at_an_end)
+        .select(*key, "n_lines", "fatal", F.explode(shown_ends).alias("at"))
+        .groupBy(*key, "n_lines", "fatal")
+        .agg(F.array_sort(F.collect_list("at")).alias("shown"))
         .select(
-            "source",
-            "trace_id",
-            "header_line",
+            *key,
             "n_lines",
-            "severity",
+            F.when(F.col("fatal") == 1, "fatal").otherwise("error").alias("severity"),
             F.when(total <= 4, F.array_join(shown, "\n"))
             .otherwise(
                 F.concat_ws("\n", F.slice(shown, 1, 2), cut, F.slice(shown, -2, 2))
@@ -301,17 +312,14 @@ def trace_summaries(resolved: DataFrame) -> DataFrame:
     )
 
 
-def first_traces(pieces: DataFrame, k: int) -> DataFrame:
+def first_traces(pieces: DataFrame, k: int, states: DataFrame | None = None) -> DataFrame:
     """Summaries of the first ``k`` traces of each source; ids count from 1 without gaps."""
-    return trace_summaries(resolve(ends_only(pieces), first=k))
+    return trace_summaries(resolve(ends_only(pieces), first=k, states=states))
 
 
-def trace_counts(pieces: DataFrame) -> DataFrame:
-    """``(source, n_traces)`` of the sources that have traces."""
+def trace_counts(states: DataFrame) -> DataFrame:
+    """``(source, n_traces)`` of the sources that have traces, from ``chunk_states``."""
     total = F.max(F.col("ids_before") + F.col("new"))
     return (
-        chunk_states(pieces)
-        .groupBy("source")
-        .agg(total.alias("n_traces"))
-        .filter(F.col("n_traces") > 0)
+        states.groupBy("source").agg(total.alias("n_traces")).filter(F.col("n_traces") > 0)
     )

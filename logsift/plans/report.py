@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -12,7 +13,8 @@ from logsift.functions.text import display_text
 from logsift.operators import templates as tp
 from logsift.operators import traces as tr
 from logsift.plans import wording as w
-from logsift.plans.sections import fill, headed, join_sections, listed, rows
+from logsift.plans.sections import fill, headed, join_sections, rows
+from logsift.plans.staging import Stage
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -24,66 +26,104 @@ def _times(always: bool = False) -> Column:
     return shown if always else F.when(F.col("n") > 1, shown).otherwise("")
 
 
-def _traces_with_counts(pieces: DataFrame, k: int) -> DataFrame:
-    return tr.first_traces(pieces, k).join(tr.trace_counts(pieces), "source")
+@dataclass(frozen=True)
+class LogTables:
+    """What reports read; every table but ``lines`` is small against the log.
 
+    Annotated ``lines`` are only joined to the few line numbers that a report shows.
+    """
+
+    lines: DataFrame
+    metrics: DataFrame
+    templates: DataFrame
+    pieces: DataFrame
+    states: DataFrame
 
-def summary_sections(metrics: DataFrame, templates: DataFrame, pieces: DataFrame) -> DataFrame:
-    """Section rows of the summary report.
 
-    ``metrics`` and ``templates`` come from line groups, traces from their pieces.
+def tables_of(lines: DataFrame, groups: DataFrame, pieces: DataFrame, stage: Stage) -> LogTables:
+    """Report tables from stored annotated lines, their groups and the ends of their pieces.
+
+    Metrics with their time range and chunk states are read by several sections and are
+    written once.
     """
-    tag, first = F.upper("severity"), F.col("pos") == 1
-    shown = fill(w.TEMPLATE, tag, display_text(F.col("sample")))
-    trace = fill(w.TRACE, "trace_id", "header_line", "summary")
+    metrics = tp.with_time_range(tp.metrics_of(groups), lines)
+    states = tr.chunk_states(pieces)
+    return LogTables(
+        lines, stage(metrics, "metrics"), tp.templates_of(groups), pieces, stage(states, "states")
+    )
+
+
+def _shown_templates(tables: LogTables, chosen: dict[int, DataFrame]) -> DataFrame:
+    """Chosen templates of each section, with their samples, which one join fetches."""
+    tagged = [df.withColumn("section", F.lit(k)) for k, df in chosen.items()]
+    return tp.with_samples(_union(tagged), tables.lines)
+
+
+def _facts(tables: LogTables, texts: list[tuple[int, int, Column]]) -> DataFrame:
+    """Section rows that hang on a source's counts alone, in one pass over them."""
+
+    def number(value: int, name: str) -> Column:
+        return F.lit(value).cast("bigint").alias(name)
+
+    at = [
+        F.struct(number(section, "section"), number(pos, "pos"), text.alias("text"))
+        for section, pos, text in texts
+    ]
+    counts = tr.trace_counts(tables.states)
+    facts = tables.metrics.join(counts, "source", "left")
+    return facts.select("source", F.inline(F.array(*at))).filter(F.col("text").isNotNull())
+
+
+def _trace_rows(tables: LogTables, k: int, text: Column) -> DataFrame:
+    first = tr.first_traces(tables.pieces, k, tables.states)
+    return rows(first, 3, F.col("trace_id"), text)
+
+
+def _levels() -> list[Column]:
+    return [
+        F.when(F.col(f"n_{lv}") > 0, fill(w.BREAKDOWN_LEVEL, F.lit(lv.upper()), f"n_{lv}"))
+        for lv in cat.LEVELS
+    ]
+
+
+def summary_sections(tables: LogTables) -> DataFrame:
+    """Section rows of the summary report."""
     has_range = F.col("first_ts").isNotNull()
     left_over = F.col("n_traces") - cat.SUMMARY_TRACES
-    return _union(
+    facts = _facts(
+        tables,
         [
-            listed(
-                metrics,
-                1,
-                [
-                    F.lit(w.SUMMARY),
-                    fill(w.TOTAL, "total_lines"),
-                    fill(w.UNIQUE, "unique_lines", "reduction_pct"),
-                    fill(w.NOISE, "noise_lines"),
-                    F.when(has_range, fill(w.TIME_RANGE, "first_ts", "last_ts")),
-                ],
-            ),
-            rows(metrics, 2, F.lit(0), F.lit(w.BREAKDOWN)),
-            rows(
-                tp.severity_breakdown(metrics), 2, F.col("pos"), fill(w.BREAKDOWN_LEVEL, tag, "n")
-            ),
-            rows(
-                _traces_with_counts(pieces, cat.SUMMARY_TRACES),
-                3,
-                F.col("trace_id"),
-                headed(F.col("trace_id") == 1, fill(w.TRACES, "n_traces"), trace),
-            ),
-            rows(
-                tr.trace_counts(pieces).filter(left_over > 0),
-                3,
-                F.lit(cat.SUMMARY_TRACES + 1),
-                fill(w.MORE_TRACES, left_over),
-            ),
-            rows(
-                tp.important_templates(templates),
-                4,
-                F.col("pos"),
-                headed(first, F.lit(w.IMPORTANT), F.concat(shown, _times())),
-            ),
-            rows(
-                tp.high_frequency_templates(templates),
-                5,
-                F.col("pos"),
-                headed(first, F.lit(w.FREQUENT), F.concat(shown, _times(always=True))),
-            ),
-        ]
+            (1, 0, F.lit(w.SUMMARY)),
+            (1, 1, fill(w.TOTAL, "total_lines")),
+            (1, 2, fill(w.UNIQUE, "unique_lines", "reduction_pct")),
+            (1, 3, fill(w.NOISE, "noise_lines")),
+            (1, 4, F.when(has_range, fill(w.TIME_RANGE, "first_ts", "last_ts"))),
+            (2, 0, F.lit(w.BREAKDOWN)),
+            *((2, pos, text) for pos, text in enumerate(_levels(), 1)),
+            (3, 0, F.when(F.col("n_traces") > 0, fill(w.TRACES, "n_traces"))),
+            # Behind the traces that are shown.
+            (3, cat.SUMMARY_TRACES + 1, F.when(left_over > 0, fill(w.MORE_TRACES, left_over))),
+            (4, 0, F.when(F.col("important") > 0, F.lit(w.IMPORTANT))),
+        ],
+    )
+    found = _shown_templates(
+        tables,
+        {
+            4: tp.important_templates(tables.templates),
+            5: tp.high_frequency_templates(tables.templates),
+        },
     )
+    shown = fill(w.TEMPLATE, F.upper("severity"), display_text(F.col("sample")))
+    text = F.concat(shown, F.when(F.col("section") == 4, _times()).otherwise(_times(always=True)))
+    frequent = (F.col("section") == 5) & (F.col("pos") == 1)
+    texts = found.select(
+        "source", F.col("section").cast("bigint"), "pos", headed(frequent, F.lit(w.FREQUENT), text).alias("text")
+    )
+    trace = fill(w.TRACE, "trace_id", "header_line", "summary")
+    return _union([facts, _trace_rows(tables, cat.SUMMARY_TRACES, trace), texts])
 
 
-def digest_sections(metrics: DataFrame, templates: DataFrame, pieces: DataFrame) -> DataFrame:
+def digest_sections(tables: LogTables) -> DataFrame:
     """Section rows of the condensed text that an external analysis reads."""
     levels = F.concat_ws(
         ", ",
@@ -92,54 +132,41 @@ def digest_sections(metrics: DataFrame, templates: DataFrame, pieces: DataFrame)
             for lv in cat.LEVELS
         ],
     )
-    template = fill(w.DIGEST_TEMPLATE, F.upper("severity"), "n", "sample")
-    trace = fill(w.DIGEST_TRACE, "trace_id", "header_line", "summary")
     has_range = F.col("first_ts").isNotNull()
     sampled = F.least("unclassified", F.lit(cat.DIGEST_UNKNOWN))
-    return _union(
+    facts = _facts(
+        tables,
         [
-            listed(
-                metrics,
-                1,
-                [
-                    fill(w.DIGEST_TOTALS, "total_lines", "unique_lines", "noise_lines"),
-                    F.when(has_range, fill(w.DIGEST_RANGE, "first_ts", "last_ts")),
-                    fill(w.DIGEST_LEVELS, F.concat(F.lit("{"), levels, F.lit("}"))),
-                ],
-            ),
-            rows(
-                metrics.filter("important > 0"), 2, F.lit(0), fill(w.DIGEST_IMPORTANT, "important")
-            ),
-            rows(
-                tp.important_templates(templates, cat.DIGEST_TEMPLATES), 2, F.col("pos"), template
-            ),
-            rows(
-                _traces_with_counts(pieces, cat.DIGEST_TRACES),
-                3,
-                F.col("trace_id"),
-                headed(F.col("trace_id") == 1, fill(w.DIGEST_TRACES, "n_traces"), trace),
-            ),
-            rows(
-                metrics.filter("unclassified > 0"), 4, F.lit(0), fill(w.DIGEST_UNKNOWN, sampled)
-            ),
-            rows(
-                tp.unknown_templates(templates),
-                4,
-                F.col("pos"),
-                F.concat(F.col("sample"), _times()),
-            ),
-        ]
+            (1, 0, fill(w.DIGEST_TOTALS, "total_lines", "unique_lines", "noise_lines")),
+            (1, 1, F.when(has_range, fill(w.DIGEST_RANGE, "first_ts", "last_ts"))),
+            (1, 2, fill(w.DIGEST_LEVELS, F.concat(F.lit("{"), levels, F.lit("}")))),
+            (2, 0, F.when(F.col("important") > 0, fill(w.DIGEST_IMPORTANT, "important"))),
+            (3, 0, F.when(F.col("n_traces") > 0, fill(w.DIGEST_TRACES, "n_traces"))),
+            (4, 0, F.when(F.col("unclassified") > 0, fill(w.DIGEST_UNKNOWN, sampled))),
+        ],
+    )
+    found = _shown_templates(
+        tables,
+        {
+            2: tp.important_templates(tables.templates, cat.DIGEST_TEMPLATES),
+            4: tp.unknown_templates(tables.templates),
+        },
     )
+    important = fill(w.DIGEST_TEMPLATE, F.upper("severity"), "n", "sample")
+    text = F.when(F.col("section") == 2, important).otherwise(F.concat("sample", _times()))
+    texts = found.select("source", F.col("section").cast("bigint"), "pos", text.alias("text"))
+    trace = fill(w.DIGEST_TRACE, "trace_id", "header_line", "summary")
+    return _union([facts, _trace_rows(tables, cat.DIGEST_TRACES, trace), texts])
 
 
-def summary_report(metrics: DataFrame, templates: DataFrame, pieces: DataFrame) -> DataFrame:
+def summary_report(tables: LogTables) -> DataFrame:
     """``(source, summary)``."""
-    return join_sections(summary_sections(metrics, templates, pieces), "summary")
+    return join_sections(summary_sections(tables), "summary")
 
 
-def analysis_digest(metrics: DataFrame, templates: DataFrame, pieces: DataFrame) -> DataFrame:
+def analysis_digest(tables: LogTables) -> DataFrame:
     """``(source, digest)``."""
-    return join_sections(digest_sections(metrics, templates, pieces), "digest")
+    return join_sections(digest_sections(tables), "digest")
 
 
 def ingest_report(
@@ -150,7 +177,7 @@ def ingest_report(
     """``(source, report)``: summary, semantic part and footer.
 
     ``semantic`` holds ``(source, semantic)`` texts; sources without one get a
-    note. None means that no semantic analysis was asked for.
+    note. None means that no analysis was asked for.
     """
     joined = summaries.join(metrics.select("source", "total_lines"), "source")
     parts = [F.col("summary")]

@@ -24,12 +24,6 @@ def rows(df: DataFrame, section: int, pos: Column, text: Column) -> DataFrame:
     ).filter(F.col("text").isNotNull())
 
 
-def listed(df: DataFrame, section: int, texts: list[Column]) -> DataFrame:
-    """One section row per text, for each row of ``df``."""
-    exploded = df.select("source", F.posexplode(F.array(*texts)).alias("pos", "text"))
-    return rows(exploded, section, F.col("pos") + 1, F.col("text"))
-
-
 def headed(first: Column, header: Column, text: Column) -> Column:
     """The text, with the section's header ahead of the first one."""
     return F.when(first, F.concat(header, F.lit("\n"), text)).otherwise(text)

@@ -27,11 +27,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def parquet_stage(spark: SparkSession) -> Stage:
-    """Writes a table to the shared folder and reads it back, which cuts its lineage."""
+    """Writes a table to the shared folder and reads it back, which cuts its lineage.
+
+    Plans over the result know its size. The folder is removed when the driver's JVM ends,
+    as a lazy result may read it until then.
+    """
+    root = f"{shared_folder(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(path)
 
     def stage(df: DataFrame, name: str) -> DataFrame:
-        path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
+        at = f"{root}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(at)
+        return spark.read.schema(df.schema).parquet(at)
 
     return stage

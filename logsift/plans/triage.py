@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
+import json
+import os
+from functools import cached_property
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logsift.functions import catalogue as cat
 from logsift.operators import drill, semantic
@@ -15,6 +17,7 @@ from logsift.operators import traces as tr
 from logsift.operators.lines import annotate
 from logsift.plans import report
 from logsift.plans import wording as w
+from logsift.plans.staging import parquet_stage
 from logsift.sources.files import read_log_files
 from logsift.sources.store import Store, check_label
 from logsift.sources.text_column import is_blank, lines_from_text
@@ -23,14 +26,30 @@ from logsift.sources.text_column import is_blank, lines_from_text
 class Triage:
     """Stored logs of many sources and the reports on them.
 
-    Ingest writes annotated lines, line groups and trace pieces; everything else
-    reads those tables, so no regex of the classification runs twice.
+    Ingest writes annotated lines, line groups and the ends of trace pieces; everything
+    else reads those tables, so no regex of the classification runs twice.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.store = Store(spark, root)
 
+    @cached_property
+    def _schemas(self) -> dict[str, T.StructType]:
+        """Schemas of the stored tables, also where nothing is stored yet."""
+        raw = "source string, chunk bigint, line_no bigint, line string"
+        lines = annotate(self.spark.createDataFrame([], raw))
+        replies = self.spark.createDataFrame([], "source string, reply string")
+        return {
+            "lines": lines.schema,
+            "groups": tp.line_groups(lines).schema,
+            "pieces": tr.ends_only(tr.trace_pieces(lines)).schema,
+            "analyses": semantic.parse_analyses(replies).schema.add("of_batch", T.LongType()),
+        }
+
+    def _stored(self, table: str, label: str | None = None) -> DataFrame:
+        return self.store.read(table, self._schemas[table], label).drop("bucket")
+
     # -- ingest ------------------------------------------------------------
 
     def ingest(
@@ -38,84 +57,113 @@ class Triage:
         log_text: str | None = None,
         file_path: str | list[str] | None = None,
         label: str = "default",
+        enable_semantic: bool = True,
     ) -> DataFrame:
         """Store one log under a label and return its report ``(source, report)``.
 
-        A text wins over a path. A list of paths, a folder or a glob is stored
-        per file, under the files' addresses.
+        A text wins over a path. A list of paths, a folder or a glob is stored per file,
+        under the files' addresses. A new log has no analysis yet; ``enable_semantic``
+        makes the report say so.
         """
         check_label(label)
         if log_text:
             if not log_text.strip():
                 raise ValueError("Log input is empty.")
             texts = self.spark.createDataFrame([(label, log_text)], "source string, text string")
-            return self.ingest_lines(lines_from_text(texts))
-        many = not isinstance(file_path, str) or any(c in file_path for c in "*?[{")
+            return self.ingest_lines(lines_from_text(texts), enable_semantic)
+        many = not isinstance(file_path, str) or (
+            any(c in file_path for c in "*?[{") or os.path.isdir(os.path.expanduser(file_path))
+        )
         lines = read_log_files(self.spark, file_path, None if many else label)
         if not many and lines.filter(~is_blank(F.col("line"))).isEmpty():
             raise ValueError("Log input is empty.")
-        return self.ingest_lines(lines)
+        return self.ingest_lines(lines, enable_semantic)
 
-    def ingest_lines(self, lines: DataFrame) -> DataFrame:
+    def ingest_lines(self, lines: DataFrame, enable_semantic: bool = True) -> DataFrame:
         """Store ``(source, chunk, line_no, line)`` of any number of sources.
 
-        The lines are read once. What was just written is found again by its
-        batch mark, on which Parquet skips the files of other batches.
+        The lines are read once. Readers see the new tables when the last step has put down
+        their batch; the analyses of the old log no longer count then.
         """
-        batch = uuid.uuid4().hex
-        mark, is_new = F.lit(batch).alias("batch"), F.col("batch") == batch
-        stored = self.store.write(annotate(lines).select("*", mark), "lines").filter(is_new)
-        groups = self.store.write(tp.line_groups(stored).select("*", mark), "groups")
-        groups = groups.filter(is_new)
-        pieces = tr.with_every_source(
-            tr.trace_pieces(stored), groups.select("source").distinct()
-        )
-        pieces = self.store.write(pieces.select("*", mark), "pieces").filter(is_new)
-        return self._reports(groups, pieces)
+        batch = self.store.new_batch()
+        stored = self.store.write(annotate(lines), "lines", batch)
+        groups = self.store.write(tp.line_groups(stored), "groups", batch)
+        pieces = self.store.write(tr.ends_only(tr.trace_pieces(stored)), "pieces", batch)
+        self.store.publish(groups, batch)
+        return self._reports(stored, groups, pieces, None, enable_semantic)
 
     def add_replies(self, replies: DataFrame) -> DataFrame:
-        """Store the analyses in ``(source, reply)``; returns the replies that hold none."""
-        self.store.write(semantic.parse_analyses(replies), "analyses")
-        return semantic.bad_replies(replies)
+        """Store the analyses in ``(source, reply)``; returns ``(source, reply, reason)`` of
+        the replies that hold none.
+
+        An analysis belongs to the log that is stored now. A reply without one takes the
+        place of an earlier analysis, too. Replies on sources that are not stored are bad.
+        """
+        of = self.store.current().withColumnRenamed("batch", "of_batch")
+        known = replies.join(of, "source", "left").select("source", "reply", "of_batch")
+        bad = semantic.bad_replies(known.where("of_batch is not null"))
+        strange = known.where("of_batch is null").select(
+            "source", "reply", F.lit("unknown source").alias("reason")
+        )
+        good = semantic.parse_analyses(replies).join(of, "source")
+        gone = bad.join(of, "source").select("source", "of_batch")
+        rows = good.unionByName(gone, allowMissingColumns=True)
+        self.store.write(rows, "analyses", self.store.new_batch())
+        return bad.unionByName(strange)
 
     # -- reports -----------------------------------------------------------
 
-    def _analyses(self) -> DataFrame | None:
-        try:
-            return self.store.read("analyses")
-        except AnalysisException as missing:
-            if missing.getCondition() == "PATH_NOT_FOUND":
-                return None
-            raise
-
-    def _reports(self, groups: DataFrame, pieces: DataFrame) -> DataFrame:
-        metrics = tp.metrics_of(groups)
-        summaries = report.summary_report(metrics, tp.templates_of(groups), pieces)
-        analyses = self._analyses()
-        texts = None if analyses is None else semantic.semantic_report(analyses)
-        return report.ingest_report(summaries, metrics, texts)
+    def _analyses(self, label: str | None = None) -> DataFrame:
+        """The last analysis of each source, if it was made for the log stored now."""
+        rows = self.store._read("analyses", self._schemas["analyses"])
+        of = self.store.current(label).withColumnRenamed("batch", "of_batch")
+        rows = rows.join(of, ["source", "of_batch"])
+        last = rows.groupBy("source").agg(F.max("batch").alias("batch"))
+        kept = rows.join(last, ["source", "batch"]).where("raw_json is not null")
+        return kept.drop("batch", "bucket", "of_batch")
+
+    def _reports(
+        self,
+        lines: DataFrame,
+        groups: DataFrame,
+        pieces: DataFrame,
+        analyses: DataFrame | None,
+        enable_semantic: bool = True,
+    ) -> DataFrame:
+        tables = report.tables_of(lines, groups, pieces, parquet_stage(self.spark))
+        texts = None
+        if enable_semantic:
+            texts = self.spark.createDataFrame([], "source string, semantic string")
+        if analyses is not None:
+            texts = semantic.semantic_report(analyses)
+        return report.ingest_report(report.summary_report(tables), tables.metrics, texts)
 
     def reports(self) -> DataFrame:
         """``(source, report)`` of every stored source."""
-        return self._reports(self.store.read("groups"), self.store.read("pieces"))
+        names = ("lines", "groups", "pieces")
+        return self._reports(*(self._stored(n) for n in names), self._analyses())
 
     def digests(self) -> DataFrame:
         """``(source, digest)`` of every stored source."""
-        groups, pieces = self.store.read("groups"), self.store.read("pieces")
-        return report.analysis_digest(
-            tp.metrics_of(groups), tp.templates_of(groups), pieces
-        )
+        names = ("lines", "groups", "pieces")
+        tables = report.tables_of(*(self._stored(n) for n in names), parquet_stage(self.spark))
+        return report.analysis_digest(tables)
 
     # -- drill-down --------------------------------------------------------
 
     def _known(self, label: str) -> DataFrame:
-        """The stored lines of a label; reads only that label's folder."""
-        lines = self.store.read("lines").filter(F.col("source") == label)
+        """The stored lines of a label; reads only that label's bucket."""
+        lines = self._stored("lines", label)
         if lines.isEmpty():
-            known = ", ".join(self.store.sources()) or "(none)"
-            raise KeyError(w.UNKNOWN_SOURCE.format(label, known))
+            raise KeyError(self._unknown(label))
         return lines
 
+    def _unknown(self, label: str) -> str:
+        """Names some of the stored labels and says how many there are."""
+        labels = self.store.current().select("source")
+        shown = [r.source for r in labels.orderBy("source").limit(w.LABELS_SHOWN).collect()]
+        return w.UNKNOWN_SOURCE.format(label, labels.count(), ", ".join(shown) or "(none)")
+
     def get_lines(
         self,
         label: str = "default",
@@ -153,12 +201,24 @@ class Triage:
     # -- analyses and listing ----------------------------------------------
 
     def get_analysis(self, label: str = "default") -> str:
-        """The stored analysis of a label as JSON text, or a note that there is none."""
+        """The stored analysis of a label as indented JSON, or a note that there is none."""
         self._known(label)
-        analyses = self._analyses()
-        row = None if analyses is None else semantic.get_analysis(analyses, label).first()
-        return row.raw_json if row else w.NO_STORED_ANALYSIS
+        row = semantic.get_analysis(self._analyses(label), label).first()
+        return json.dumps(json.loads(row.raw_json), indent=2) if row else w.NO_STORED_ANALYSIS
 
     def list_sources(self) -> DataFrame:
         """``(source, total_lines, unique_lines, errors, has_semantic)``."""
-        return report.list_sources(tp.metrics_of(self.store.read("groups")), self._analyses())
+        return report.list_sources(tp.metrics_of(self._stored("groups")), self._analyses())
+
+    def listing(self) -> DataFrame:
+        """``(source, text)``: one line of the listing for each stored source."""
+        return report.listing(self.list_sources())
+
+    def listing_text(self, most: int = 1_000) -> str:
+        """The listing as text; of more than ``most`` sources it shows these and says so."""
+        total = self.store.current().count()
+        if not total:
+            return w.NO_SOURCES
+        rows = self.listing().orderBy("source").limit(most).collect()
+        cut = [w.MORE_SOURCES.format(total - most)] if total > most else []
+        return "\n".join([w.SOURCES, "", *(r.text for r in rows), *cut])

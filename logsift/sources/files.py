@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logsift.functions import catalogue as cat
-from logsift.operators.numbering import add_position
+from logsift.operators.lines import with_chunk
 
 
 def read_log_files(
@@ -19,8 +19,8 @@ def read_log_files(
     ``source`` is the file's address, or ``label``, which needs a single file.
     Bytes that are no UTF-8 become U+FFFD. Large files are read in blocks; lines
     are numbered within their block and shifted by the lines of earlier blocks,
-    so no file is sorted as a whole. ``chunk`` is the block's offset, and the
-    result stays partitioned by ``(source, chunk)``.
+    so no text is shuffled or sorted. ``chunk`` follows from the line number, also
+    in a compressed file, which is a single block.
     """
     paths = [paths] if isinstance(paths, str) else list(paths or [])
     if not paths:
@@ -42,12 +42,39 @@ def read_log_files(
         spark.read.text([os.path.expanduser(p) for p in paths])
         .select(
             source.alias("source"),
-            F.col("_metadata.file_block_start").alias("chunk"),
+            F.col("_metadata.file_block_start").alias("block"),
             F.explode(inner).alias("line"),
         )
         # Within one block this grows in file order.
         .withColumn("seq", F.monotonically_increasing_id())
     )
-    return add_position(lines, ["seq"], F.lit(1), "before").select(
-        "source", "chunk", (F.col("before") + 1).alias("line_no"), "line"
+    return with_chunk(_numbered(lines)).select("source", "chunk", "line_no", "line")
+
+
+def _numbered(lines: DataFrame) -> DataFrame:
+    """``(source, line_no, line)`` from lines with their block and a number that grows in it.
+
+    A block sits in one task in order, so a line's place is its distance to the block's
+    first number, and only one row per block is moved. Both come from a read of their own;
+    if the files were split differently in between, the numbers don't fit and the job fails
+    with a message instead of losing lines.
+    """
+    blocks = lines.groupBy("source", "block").agg(
+        F.min("seq").alias("low"), F.max("seq").alias("high"), F.count("*").alias("n")
+    )
+    before = Window.partitionBy("source").orderBy("block").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    blocks = blocks.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    fits = (F.col("high") - F.col("low") + 1 == F.col("n")) & F.col("seq").between(
+        F.col("low"), F.col("high")
+    )
+    failure = F.raise_error(
+        F.lit("input was split differently between two reads; "
+              "set spark.sql.files.minPartitionNum to a fixed value")
+    ).cast("bigint")
+    line_no = F.when(fits, F.col("base") + F.col("seq") - F.col("low") + 1).otherwise(failure)
+    # A left join: a block that the other read did not see must fail, not drop its lines.
+    return lines.join(blocks, ["source", "block"], "left").select(
+        "source", line_no.alias("line_no"), "line"
     )

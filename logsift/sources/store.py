@@ -1,16 +1,24 @@
-"""Labelled store: one Parquet table per kind, partitioned by source.
+"""Labelled store: one Parquet table per kind, spread over a fixed number of folders.
 
-Writing a source again replaces it. Lines arrive partitioned by ``(source,
-chunk)`` and sorted, so a large source becomes many files, a small one few, and
-the row groups of a file cover narrow ranges of line numbers.
+Sources share buckets by a hash of their label, so the number of folders hangs on
+neither sources nor ingests. Every row carries the batch it was written in; the small
+table of batches, written last, tells which batch of a source counts. Ingesting a
+source again thus replaces all of its tables at once. Files of replaced batches stay
+on disk; Parquet's statistics skip them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import time
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logsift.functions import catalogue as cat
 
+BUCKETS = 64
+
 
 def check_label(label: str) -> str:
     if not label or len(label) > cat.LABEL_CHARS:
@@ -18,6 +26,15 @@ def check_label(label: str) -> str:
     return label
 
 
+def _bucket(source: Column) -> Column:
+    return F.pmod(F.xxhash64(source), F.lit(BUCKETS)).cast("int")
+
+
+_BATCHES = T.StructType(
+    [T.StructField("source", T.StringType()), T.StructField("batch", T.LongType())]
+)
+
+
 class Store:
     """Tables below one folder that all executors can reach."""
 
@@ -25,30 +42,53 @@ class Store:
         self.spark = spark
         self.root = root.rstrip("/")
 
-    def write(self, df: DataFrame, table: str) -> DataFrame:
-        """Replace the sources that occur in ``df`` and give back what was written."""
-        path = f"{self.root}/{table}"
-        (
-            df.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("source")
-            .parquet(path)
-        )
-        return self._read(path, df)
-
-    def read(self, table: str) -> DataFrame:
-        """A stored table; sources stay text even where they look like numbers."""
-        path = f"{self.root}/{table}"
-        return self._read(path, self.spark.read.parquet(path))
-
-    def _read(self, path: str, like: DataFrame) -> DataFrame:
-        fields = [
-            f"`{f.name}` {'string' if f.name == 'source' else f.dataType.simpleString()}"
-            for f in like.schema.fields
-        ]
-        return self.spark.read.schema(", ".join(fields)).parquet(path)
-
-    def sources(self, most: int = 1_000) -> list[str]:
-        """The stored labels in order; of very many, the first ``most``."""
-        found = self.read("groups").select("source").distinct().orderBy("source")
-        return [row.source for row in found.limit(most).collect()]
+    @staticmethod
+    def new_batch() -> int:
+        """A mark that is larger than those of earlier batches."""
+        return time.time_ns()
+
+    def write(self, df: DataFrame, table: str, batch: int) -> DataFrame:
+        """Add the rows of a batch and give them back as stored."""
+        marked = df.withColumns({"batch": F.lit(batch), "bucket": _bucket(F.col("source"))})
+        marked.write.mode("append").partitionBy("bucket").parquet(f"{self.root}/{table}")
+        return self._read(table, df.schema).where(F.col("batch") == batch).drop("batch")
+
+    def publish(self, sources: DataFrame, batch: int) -> None:
+        """From now on this batch is the one that counts for these sources."""
+        self.write(sources.select("source").distinct(), "batches", batch)
+
+    def current(self, label: str | None = None) -> DataFrame:
+        """``(source, batch)``: the batch that counts, of one or of all sources."""
+        batches = self._read("batches", _BATCHES)
+        if label is not None:
+            batches = self._of(batches, label)
+        return batches.groupBy("source").agg(F.max("batch").alias("batch"))
+
+    def read(self, table: str, schema: T.StructType, label: str | None = None) -> DataFrame:
+        """The rows that count, of one source or of all; none if nothing is stored.
+
+        One source reads only its bucket, and of that only its batch.
+        """
+        rows = self._read(table, schema)
+        if label is None:
+            return rows.join(self.current(), ["source", "batch"]).drop("batch")
+        found = self.current(label).first()
+        batch = found.batch if found else -1
+        return self._of(rows, label).where(F.col("batch") == batch).drop("batch")
+
+    @staticmethod
+    def _of(rows: DataFrame, label: str) -> DataFrame:
+        number = rows.sparkSession.range(1).select(_bucket(F.lit(label))).first()[0]
+        return rows.where((F.col("bucket") == number) & (F.col("source") == label))
+
+    def _read(self, table: str, schema: T.StructType) -> DataFrame:
+        """A table as written, with its batches; an empty one if it was never written."""
+        fields = [f for f in schema.fields if f.name not in ("batch", "bucket")]
+        fields += [T.StructField("batch", T.LongType()), T.StructField("bucket", T.IntegerType())]
+        whole = T.StructType(fields)
+        at = f"{self.root}/{table}"
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
+        files = path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        if not files.exists(path):
+            return self.spark.createDataFrame([], whole)
+        return self.spark.read.schema(whole).parquet(at)

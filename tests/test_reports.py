@@ -4,13 +4,16 @@ import pytest
 
 from logsift.operators import templates as tp
 from logsift.operators import traces as tr
+from logsift.operators.lines import annotate
 from logsift.plans import report
 from logsift.plans.staging import parquet_stage, shared_folder
 
 
 def _tables(lines):
-    groups = tp.line_groups(lines)
-    return tp.metrics_of(groups), tp.templates_of(groups), tr.trace_pieces(lines)
+    stage = parquet_stage(lines.sparkSession)
+    lines = stage(annotate(lines), "lines")
+    pieces = tr.ends_only(tr.trace_pieces(lines))
+    return report.tables_of(lines, tp.line_groups(lines), pieces, stage)
 
 
 @pytest.fixture
@@ -26,7 +29,7 @@ def big(lines_of):
 
 
 def test_summary_is_bounded(big):
-    text = report.summary_report(*_tables(big)).first().summary
+    text = report.summary_report(_tables(big)).first().summary
     assert text.count("- [ERROR]") == 50
     assert "- [ERROR] : aaa" in text and "- [ERROR] : afa" not in text
     assert text.count("- [INFO]") == 20
@@ -36,7 +39,7 @@ def test_summary_is_bounded(big):
 
 
 def test_digest_is_bounded(big):
-    text = report.analysis_digest(*_tables(big)).first().digest
+    text = report.analysis_digest(_tables(big)).first().digest
     assert text.startswith("Total lines: 354, Unique: 211, Noise removed: 0\n\nSeverity counts: {")
     assert '{"error": 150, "info": 162, "unknown": 42}' in text
     assert text.count("[ERROR ×1] ERROR: ") == 100
@@ -49,7 +52,7 @@ def test_digest_is_bounded(big):
 
 def test_digest_of_a_quiet_log(lines_of):
     lines = lines_of(log="2024-01-15T10:00:00 INFO a\n2024-01-15T10:00:30 INFO a")
-    text = report.analysis_digest(*_tables(lines)).first().digest
+    text = report.analysis_digest(_tables(lines)).first().digest
     assert text == (
         "Total lines: 2, Unique: 1, Noise removed: 0\n"
         "Time range: 2024-01-15T10:00:00 → 2024-01-15T10:00:30\n"
@@ -58,12 +61,12 @@ def test_digest_of_a_quiet_log(lines_of):
 
 
 def test_ingest_report_without_semantic_part(lines_of):
-    metrics, templates, pieces = _tables(lines_of(log="ERROR x"))
-    summaries = report.summary_report(metrics, templates, pieces)
-    text = report.ingest_report(summaries, metrics).first().report
-    assert "unavailable" not in text
-    assert text.endswith("📋 **Session**: `log` (1 lines stored)")
-    (line,) = report.listing(report.list_sources(metrics)).collect()
+    tables = _tables(lines_of(log="ERROR x"))
+    summaries = report.summary_report(tables)
+    text = report.ingest_report(summaries, tables.metrics).first().report
+    assert "No analysis" not in text
+    assert text.endswith("📋 **Source**: `log` (1 lines stored)")
+    (line,) = report.listing(report.list_sources(tables.metrics)).collect()
     assert line.text == "- **log**: 1 lines, 1 unique, 1 errors, semantic=✗"
 
 
@@ -71,3 +74,16 @@ def test_stage_writes_to_the_shared_folder(spark):
     staged = parquet_stage(spark)(spark.range(3).toDF("n"), "numbers")
     assert staged.count() == 3
     assert all(shared_folder(spark) in f for f in staged.inputFiles())
+
+
+def test_patterns_run_once_per_report(spark):
+    """All sections read lines that were annotated and written before."""
+    from workload.queries import QUERIES
+
+    for name in ("summary_report", "analysis_digest", "ingest_report"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution()
+        text = plan.optimizedPlan().toString()
+        assert "Traceback" not in text and "events" not in text.replace("user_id", "")
+        exchanges = plan.executedPlan().toString().count("Exchange hashpartitioning")
+        # Replies and their join come on top in the ingest report.
+        assert exchanges <= (8 if name == "ingest_report" else 6)

@@ -35,24 +35,33 @@ def replies(spark):
         "cut": json.dumps(WHOLE)[:-9],
         "empty": "{}",
         "missing": None,
+        "repeated": '{"root_cause": "a", "root_cause": "b"}',
+        "nan": '{"root_cause": NaN}',
+        "some": '{"timeline": [{"event": "x"}, 3, null], "attention_needed": [null, "y", 7],'
+        ' "error_signatures": "none", "root_cause": {"k": 1}}',
     }
     return spark.createDataFrame(list(rows.items()), "source string, reply string")
 
 
 def test_parsing(replies):
     got = {r.source: r for r in semantic.parse_analyses(replies).collect()}
-    assert got.keys() == {"plain", "fenced", "empty"}
+    assert got.keys() == {"plain", "fenced", "empty", "some"}
+    some = got["some"]
+    assert [(e.timestamp, e.event) for e in some.timeline] == [(None, "x")]
+    assert some.attention_needed == ["y", "7"] and some.error_signatures == []
+    assert some.dropped == ["timeline: 3", "timeline: null", "attention_needed: null"]
+    assert some.root_cause == '{"k":1}' and got["plain"].dropped == []
     assert got["plain"].primary_issue == got["fenced"].primary_issue == "pool exhausted"
     assert [s["count"] for s in got["fenced"].error_signatures] == ["3", "2.5"]
     assert json.loads(got["fenced"].raw_json) == WHOLE
     empty = got["empty"]
     assert (empty.primary_issue, empty.root_cause, empty.noise_assessment) == ("Unknown",) * 3
     assert empty.error_signatures == empty.timeline == empty.attention_needed == []
-    replies_without_analysis = {
-        "bare", "prose", "list", "python", "chatty", "twice", "two", "cut", "missing",
+    bad = {r.source: r.reason for r in semantic.bad_replies(replies).collect()}
+    not_json = ["bare", "prose", "python", "chatty", "twice", "two", "cut", "nan"]
+    assert bad == dict.fromkeys(not_json, "not JSON") | {
+        "list": "not an object", "missing": "no reply", "repeated": "repeated key",
     }
-    bad = {r.source for r in semantic.bad_replies(replies).collect()}
-    assert bad == replies_without_analysis
 
 
 def test_tables(replies):

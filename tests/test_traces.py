@@ -71,11 +71,13 @@ def test_equal_to_a_walk_over_the_lines(spark, chunk, part):
 
     whole = {}
     for r in tr.stack_traces(resolved, part).orderBy("source", "trace_id", "part").collect():
-        assert r.n_lines == len(r.lines) <= part
+        assert r.part_lines == len(r.lines) <= part
+        total = len(expected[r.source, r.trace_id][1])
+        assert (r.n_lines, r.n_parts) == (total, -(-total // part))
         whole.setdefault((r.source, r.trace_id), []).extend(r.lines)
     assert whole == {k: t[1] for k, t in expected.items()}
 
-    counts = {r.source: r.n_traces for r in tr.trace_counts(pieces).collect()}
+    counts = {r.source: r.n_traces for r in tr.trace_counts(tr.chunk_states(pieces)).collect()}
     assert counts == {
         s: n for s, lines in logs.items() if (n := len(plain.traces(lines)))
     }
@@ -99,6 +101,13 @@ def test_one_trace_over_many_chunks_stays_in_parts(spark):
     )
     parts = tr.trace_text(resolved, 1_000).orderBy("part").collect()
     assert [p.part for p in parts] == [0, 1, 2, 3, 4]
+    assert {(p.n_parts, p.part_lines, p.n_lines) for p in parts} == {(5, 1_000, 5_000)}
+    uneven = tr.trace_text(resolved, 2_300).orderBy("part").collect()
+    assert [(p.n_parts, p.part_lines, p.n_lines) for p in uneven] == [
+        (3, 2_300, 5_000), (3, 2_300, 5_000), (3, 400, 5_000),
+    ]
+    plan = tr.trace_summaries(resolved)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan.replace("partitionBy", "") or "trace_id" not in plan.split("Window")[1][:200]
     assert "\n".join(p.text for p in parts) == "\n".join(f"    at f{i}" for i in range(1, 5_001))
 
 

@@ -115,7 +115,10 @@ def order_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         '{"primary_issue": null, "root_cause": "see ', o_orderkey,
         '", "error_signatures": [{"category": "crash", "count": "', o_orderkey,
         '"}], "timeline": [{"timestamp": null, "event": null}], "extra": [1, 2]}')"""
-    reply = f"""CASE o_orderkey % 8
+    some_items = """concat(
+        '{"timeline": [{"event": "placed"}, 3, null, "x"], "attention_needed": [null, "order ',
+        o_orderkey, '", 7], "error_signatures": ["no object", {"pattern": "late"}]}')"""
+    reply = f"""CASE o_orderkey % 11
         WHEN 0 THEN concat('```json', chr(10), {whole}, chr(10), '```')
         WHEN 1 THEN concat('```', {whole}, '```')
         WHEN 2 THEN concat('no analysis for order ', o_orderkey)
@@ -123,6 +126,9 @@ def order_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         WHEN 4 THEN '{{}}'
         WHEN 5 THEN concat('  ', chr(10), {whole}, chr(10), chr(9))
         WHEN 6 THEN {partial}
+        WHEN 7 THEN {some_items}
+        WHEN 8 THEN '{{"root_cause": "a", "root_cause": "b"}}'
+        WHEN 9 THEN '{{"primary_issue": NaN}}'
         ELSE {whole} END AS reply"""
     return table(spark, sf_dir, "orders").selectExpr(
         "concat('order-', o_orderkey) AS source", reply

@@ -69,6 +69,13 @@ log_lines AS (
     l AS line
   FROM x)"""
 
+# The services with an odd number were stored again, with every third line.
+_EVEN = "CAST(substr(source, 5) AS BIGINT) % 2 = 0"
+SESSION = LOG_LINES.replace("log_lines AS (", "all_lines AS (") + f""",
+log_lines AS (
+  SELECT source, line_no, line FROM all_lines WHERE {_EVEN}
+  UNION ALL SELECT source, line_no // 3, line FROM all_lines WHERE NOT {_EVEN} AND line_no % 3 = 0)"""
+
 _severity = (
     "CASE "
     + " ".join(f"WHEN {matches('cleaned', '(?i)' + p)} THEN '{lv}'" for lv, p in cat.SEVERITY)
@@ -268,10 +275,18 @@ unfenced AS (
   SELECT source, reply, regexp_replace(regexp_replace(regexp_replace(regexp_replace(
     reply, '^\s+|\s+$', '', 'g'), '^```json', ''), '```$', ''), '^\s+|\s+$', '', 'g') AS raw_json
   FROM replies),
-checked AS (
-  SELECT *, coalesce(CASE WHEN json_valid(raw_json) THEN json_type(raw_json) = 'OBJECT' END, false)
-    AS is_object
+typed AS (
+  SELECT *, CASE WHEN json_valid(raw_json) AND NOT regexp_matches(raw_json, ': NaN')
+    THEN json_type(raw_json) END AS kind
   FROM unfenced),
+keyed_objects AS (
+  SELECT *, coalesce(len(keys) <> len(list_distinct(keys)), false) AS repeated
+  FROM (SELECT *, json_keys(CASE WHEN kind = 'OBJECT' THEN raw_json END) AS keys FROM typed)),
+checked AS (
+  SELECT *, coalesce(kind = 'OBJECT' AND NOT repeated, false) AS is_object,
+    CASE WHEN repeated THEN 'repeated key' WHEN kind IS NULL THEN 'not JSON'
+      ELSE 'not an object' END AS reason
+  FROM keyed_objects),
 objects AS (SELECT source, raw_json, CAST(raw_json AS JSON) AS j FROM checked WHERE is_object),
 analyses AS (
   SELECT source, raw_json, coalesce(j->>'primary_issue', 'Unknown') AS primary_issue,
@@ -283,24 +298,25 @@ signatures AS (
     coalesce(item->>'category', 'unknown') AS category, coalesce(item->>'count', '1') AS "count",
     item->>'first_seen_timestamp' AS first_seen_timestamp,
     coalesce(item->>'affected_component', 'unknown') AS affected_component
-  FROM (SELECT source, unnest(CAST(j->'error_signatures' AS JSON[])) AS item,
-    CAST(generate_subscripts(CAST(j->'error_signatures' AS JSON[]), 1) AS BIGINT) AS pos
-    FROM analyses)),
+  FROM (SELECT source, unnest(ls) AS item, CAST(generate_subscripts(ls, 1) AS BIGINT) AS pos
+    FROM (SELECT source, list_filter(CAST(j->'error_signatures' AS JSON[]),
+      lambda x: json_type(x) = 'OBJECT') AS ls FROM analyses))),
 timelines AS (
   SELECT source, pos, coalesce(item->>'timestamp', '?') AS "timestamp",
     coalesce(item->>'event', '?') AS event
-  FROM (SELECT source, unnest(CAST(j->'timeline' AS JSON[])) AS item,
-    CAST(generate_subscripts(CAST(j->'timeline' AS JSON[]), 1) AS BIGINT) AS pos FROM analyses)),
+  FROM (SELECT source, unnest(ls) AS item, CAST(generate_subscripts(ls, 1) AS BIGINT) AS pos
+    FROM (SELECT source, list_filter(CAST(j->'timeline' AS JSON[]),
+      lambda x: json_type(x) = 'OBJECT') AS ls FROM analyses))),
 attentions AS (
   SELECT source, pos, item->>'$' AS item
-  FROM (SELECT source, unnest(CAST(j->'attention_needed' AS JSON[])) AS item,
-    CAST(generate_subscripts(CAST(j->'attention_needed' AS JSON[]), 1) AS BIGINT) AS pos
-    FROM analyses))"""
+  FROM (SELECT source, unnest(ls) AS item, CAST(generate_subscripts(ls, 1) AS BIGINT) AS pos
+    FROM (SELECT source, list_filter(CAST(j->'attention_needed' AS JSON[]),
+      lambda x: json_type(x) <> 'NULL') AS ls FROM analyses)))"""
 
 ORDER_REPLIES = f"""
 whole AS (SELECT *, {_WHOLE} AS w FROM orders),
 replies AS (
-  SELECT concat('order-', o_orderkey) AS source, CASE o_orderkey % 8
+  SELECT concat('order-', o_orderkey) AS source, CASE o_orderkey % 11
     WHEN 0 THEN '```json' || chr(10) || w || chr(10) || '```'
     WHEN 1 THEN '```' || w || '```'
     WHEN 2 THEN concat('no analysis for order ', o_orderkey)
@@ -310,6 +326,10 @@ replies AS (
     WHEN 6 THEN concat('{{"primary_issue": null, "root_cause": "see ', o_orderkey,
       '", "error_signatures": [{{"category": "crash", "count": "', o_orderkey,
       '"}}], "timeline": [{{"timestamp": null, "event": null}}], "extra": [1, 2]}}')
+    WHEN 7 THEN concat('{{"timeline": [{{"event": "placed"}}, 3, null, "x"], "attention_needed": [null, "order ',
+      o_orderkey, '", 7], "error_signatures": ["no object", {{"pattern": "late"}}]}}')
+    WHEN 8 THEN '{{"root_cause": "a", "root_cause": "b"}}'
+    WHEN 9 THEN '{{"primary_issue": NaN}}'
     ELSE w END AS reply
   FROM whole),{_PARSING}"""
 
@@ -363,6 +383,15 @@ def _classified(expr: str, name: str) -> str:
     return _over(ANNOTATED, f"SELECT source, line_no, {expr} AS {name} FROM classified")
 
 
+def parts_of_traces(name: str, part_lines: int) -> str:
+    return (
+        f"SELECT m.source, m.trace_id, m.header_line, (pos - 1) // {part_lines} AS part,"
+        f" (n_lines + {part_lines - 1}) // {part_lines} AS n_parts, count(*) AS part_lines, n_lines,"
+        f" string_agg(cleaned, chr(10) ORDER BY pos) AS {name}"
+        " FROM members m JOIN traces USING (source, trace_id) GROUP BY 1, 2, 3, 4, 5, 7"
+    )
+
+
 _DOCS = "docs AS (SELECT concat('doc-', doc_id) AS source, doc_id, text FROM documents)"
 _TEMPLATE_COLUMNS = "source, template, sample, n, severity, first_line"
 _INGEST = f"""
@@ -373,6 +402,11 @@ FROM metrics m JOIN summaries USING (source) LEFT JOIN semantics USING (source)"
 
 ORACLE: dict[str, str] = {
     "log_lines": _over(LOG_LINES, "SELECT source, line_no, line FROM log_lines"),
+    "log_lines_chunked": _over(LOG_LINES, "SELECT source, line_no, line FROM log_lines"),
+    "log_files": _over(LOG_LINES, "SELECT source, line_no, line FROM log_lines"),
+    "stored_lines": _over(SESSION, "SELECT source, line_no, line FROM log_lines"),
+    "unknown_labels": "SELECT DISTINCT concat('svc-', user_id) AS source FROM events"
+    " WHERE user_id >= 8",
     "lines_from_text": _over(
         _DOCS,
         "SELECT source, CAST(generate_subscripts(ls, 1) AS BIGINT) AS line_no, unnest(ls) AS line"
@@ -410,14 +444,13 @@ ORACLE: dict[str, str] = {
     ),
     "stack_traces": _over(
         MEMBERS,
-        f"SELECT source, trace_id, header_line, (pos - 1) // {q.PART_LINES} AS part,"
-        " count(*) AS n_lines, string_agg(cleaned, chr(10) ORDER BY pos) AS lines"
-        " FROM members GROUP BY 1, 2, 3, 4",
+        parts_of_traces("lines", q.PART_LINES),
     ),
+    "stack_traces_chunked": _over(MEMBERS, parts_of_traces("lines", q.SMALL_PART_LINES)),
+    "trace_summary_chunked": _over(MEMBERS, "SELECT source, trace_id, summary FROM traces"),
     "trace_text": _over(
         MEMBERS,
-        f"SELECT source, trace_id, header_line, (pos - 1) // {q.PART_LINES} AS part,"
-        " string_agg(cleaned, chr(10) ORDER BY pos) AS text FROM members GROUP BY 1, 2, 3, 4",
+        parts_of_traces("text", q.PART_LINES),
     ),
     "trace_severity": _over(
         MEMBERS, "SELECT source, trace_id, header_line, n_lines, severity FROM traces"
@@ -460,6 +493,19 @@ ORACLE: dict[str, str] = {
         "SELECT source, total_lines, unique_lines, n_error + n_fatal AS errors,"
         " source IN (SELECT source FROM analyses) AS has_semantic FROM metrics",
     ),
+    "listing": _over(
+        f"{TEMPLATES.replace(LOG_LINES, SESSION)},\n{SERVICE_REPLIES}",
+        "SELECT source, "
+        + fill(
+            w.LISTING,
+            "source",
+            "total_lines",
+            "unique_lines",
+            "n_error + n_fatal",
+            f"CASE WHEN {_EVEN} AND source IN (SELECT source FROM analyses) THEN '✓' ELSE '✗' END",
+        )
+        + " AS text FROM metrics",
+    ),
     "lines_around": _over(
         LOG_LINES,
         f"SELECT source, line_no, line, line_no = {q.AROUND_LINE} AS is_center FROM log_lines"
@@ -496,14 +542,19 @@ ORACLE: dict[str, str] = {
     ),
     "parse_analyses": _over(
         ORDER_REPLIES,
-        "SELECT source, primary_issue,"
-        " CAST(coalesce(json_array_length(j->'error_signatures'), 0) AS BIGINT)"
-        " AS error_signatures, root_cause,"
-        " CAST(coalesce(json_array_length(j->'timeline'), 0) AS BIGINT) AS timeline,"
-        " CAST(coalesce(json_array_length(j->'attention_needed'), 0) AS BIGINT)"
-        " AS attention_needed, noise_assessment, raw_json FROM analyses",
+        "SELECT source, primary_issue, coalesce(s.n, 0) AS error_signatures, root_cause,"
+        " coalesce(t.n, 0) AS timeline, coalesce(x.n, 0) AS attention_needed, noise_assessment,"
+        " CAST(coalesce(json_array_length(j->'error_signatures'), 0)"
+        " + coalesce(json_array_length(j->'timeline'), 0)"
+        " + coalesce(json_array_length(j->'attention_needed'), 0) AS BIGINT)"
+        " - coalesce(s.n, 0) - coalesce(t.n, 0) - coalesce(x.n, 0) AS dropped, raw_json"
+        " FROM analyses"
+        + "".join(
+            f" LEFT JOIN (SELECT source, count(*) AS n FROM {table} GROUP BY 1) {name} USING (source)"
+            for table, name in (("signatures", "s"), ("timelines", "t"), ("attentions", "x"))
+        ),
     ),
-    "bad_replies": _over(ORDER_REPLIES, "SELECT source, reply FROM checked WHERE NOT is_object"),
+    "bad_replies": _over(ORDER_REPLIES, "SELECT source, reply, reason FROM checked WHERE NOT is_object"),
     "error_signatures": _over(ORDER_REPLIES, "SELECT * FROM signatures"),
     "timeline": _over(ORDER_REPLIES, "SELECT * FROM timelines"),
     "attention_lines": _over(ORDER_REPLIES, "SELECT * FROM attentions"),

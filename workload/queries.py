@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +14,11 @@ from logsift.operators import drill, semantic
 from logsift.operators import templates as tp
 from logsift.operators import traces as tr
 from logsift.operators.lines import annotate, classify
+from logsift.operators.numbering import add_position
 from logsift.plans import report
-from logsift.plans.staging import parquet_stage
+from logsift.plans.staging import parquet_stage, shared_folder
+from logsift.plans.triage import Triage
+from logsift.sources.files import read_log_files
 from logsift.sources.text_column import lines_from_text, rejected_sources
 from workload import derive
 
@@ -27,12 +31,22 @@ AROUND_SOURCE, AROUND_LINE, AROUND_CONTEXT = "svc-3", 120, 5
 HIT_CONTEXT = 2
 FIRST_LINES = 30
 PART_LINES = 1_000
+SMALL_CHUNK_EVENTS, SMALL_PART_LINES = 200, 3
 
 
 def on_lines(build: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: build(derive.log_lines(spark, sf_dir))
 
 
+def on_stored(build: Callable[[DataFrame], DataFrame]) -> Query:
+    """For what reads the lines twice: they are annotated and written once."""
+    return on_lines(lambda lines: build(_stored(lines)))
+
+
+def _stored(lines: DataFrame) -> DataFrame:
+    return parquet_stage(lines.sparkSession)(annotate(lines).drop("line"), "lines")
+
+
 def _cleaned(lines: DataFrame) -> DataFrame:
     return annotate(lines).select("source", "line_no", "cleaned")
 
@@ -52,52 +66,97 @@ def _exceptions(lines: DataFrame) -> DataFrame:
     return found.select("source", "line_no", "cleaned")
 
 
-def _pieces(lines: DataFrame) -> DataFrame:
+def _groups(lines: DataFrame) -> DataFrame:
+    return parquet_stage(lines.sparkSession)(tp.line_groups(lines), "groups")
+
+
+def _dedup(lines: DataFrame) -> DataFrame:
+    return tp.dedup_templates(lines, _groups(lines))
+
+
+def _metrics(lines: DataFrame) -> DataFrame:
+    return tp.source_metrics(lines, _groups(lines))
+
+
+def _first(choose: Callable[[DataFrame], DataFrame]) -> Query:
+    """Chosen templates; only theirs are the samples that are fetched."""
+    return on_stored(lambda ls: tp.with_samples(choose(tp.templates_of(_groups(ls))), ls))
+
+
+def _pieces(lines: DataFrame, part_lines: int = PART_LINES) -> DataFrame:
     """Trace pieces are read twice, so they are written once."""
-    return parquet_stage(lines.sparkSession)(tr.trace_pieces(lines), "pieces")
+    pieces = tr.trace_pieces(lines, part_lines=part_lines)
+    return parquet_stage(lines.sparkSession)(pieces, "pieces")
 
 
-def _resolved(lines: DataFrame) -> DataFrame:
-    return tr.resolve(_pieces(lines))
+def _resolved(lines: DataFrame, part_lines: int = PART_LINES) -> DataFrame:
+    return tr.resolve(_pieces(lines, part_lines), part_lines)
 
 
-def _summaries(lines: DataFrame) -> DataFrame:
-    return tr.trace_summaries(tr.resolve(tr.ends_only(_pieces(lines))))
+def _summaries(lines: DataFrame, part_lines: int = PART_LINES) -> DataFrame:
+    return tr.trace_summaries(tr.resolve(tr.ends_only(_pieces(lines, part_lines)), part_lines))
 
 
-def _stack_traces(lines: DataFrame) -> DataFrame:
-    whole = tr.stack_traces(_resolved(lines), PART_LINES)
+def _stack_traces(lines: DataFrame, part_lines: int = PART_LINES) -> DataFrame:
+    whole = tr.stack_traces(_resolved(lines, part_lines), part_lines)
     return whole.withColumn("lines", F.array_join("lines", "\n"))
 
 
-def _report_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Metrics, templates and traces from one written table of groups and one of pieces."""
-    lines, stage = derive.log_lines(spark, sf_dir), parquet_stage(spark)
+def on_small_chunks(build: Callable[[DataFrame], DataFrame]) -> Query:
+    """All events again, in so many chunks that traces and numbers cross their borders."""
+    return lambda spark, sf_dir: build(derive.log_lines(spark, sf_dir, SMALL_CHUNK_EVENTS))
+
+
+def _log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log lines written as one text file for each service, and read back in blocks."""
+    lines = derive.log_lines(spark, sf_dir)
+    root = f"{shared_folder(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
+    # Range-partitioned by source and line number, a service's part files follow each other.
+    placed = lines.repartitionByRange("source", "line_no").sortWithinPartitions("source", "line_no")
+    placed.select("source", F.col("line").alias("value")).write.partitionBy("source").text(root)
+    read = read_log_files(spark, f"{root}/*/*")
+    part = F.regexp_extract("source", r"source=([^/]+)/part-(\d+)", 2).cast("int")
+    service = F.regexp_extract("source", r"source=([^/]+)/", 1)
+    files = read.select(service.alias("service"), part.alias("chunk"), "line_no", "line")
+    files = files.withColumnRenamed("service", "source")
+    # Line numbers of a file become those of its service.
+    return add_position(files, ["line_no"], F.lit(1), "before").select(
+        "source", (F.col("before") + 1).alias("line_no"), "line"
+    )
+
+
+def _report_tables(spark: SparkSession, sf_dir: str) -> report.LogTables:
+    """Everything from lines that are annotated and written once."""
+    stage = parquet_stage(spark)
+    lines = _stored(derive.log_lines(spark, sf_dir))
     groups = stage(tp.line_groups(lines), "groups")
-    return tp.metrics_of(groups), tp.templates_of(groups), _pieces(lines)
+    pieces = stage(tr.ends_only(tr.trace_pieces(lines)), "pieces")
+    return report.tables_of(lines, groups, pieces, stage)
 
 
 def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.summary_report(*_report_tables(spark, sf_dir))
+    return report.summary_report(_report_tables(spark, sf_dir))
 
 
 def _ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    metrics, templates, pieces = _report_tables(spark, sf_dir)
+    tables = _report_tables(spark, sf_dir)
     analyses = semantic.parse_analyses(derive.service_replies(spark, sf_dir))
-    summaries = report.summary_report(metrics, templates, pieces)
-    return report.ingest_report(summaries, metrics, semantic.semantic_report(analyses))
+    texts = semantic.semantic_report(analyses)
+    return report.ingest_report(report.summary_report(tables), tables.metrics, texts)
 
 
 def _list_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    metrics = tp.source_metrics(derive.log_lines(spark, sf_dir))
+    metrics = tp.metrics_of(tp.line_groups(derive.log_lines(spark, sf_dir)))
     analyses = semantic.parse_analyses(derive.service_replies(spark, sf_dir))
     return report.list_sources(metrics, analyses)
 
 
 def _top_traces(lines: DataFrame) -> DataFrame:
-    pieces = _pieces(lines)
-    first = tr.first_traces(pieces, cat.SUMMARY_TRACES)
-    return first.join(tr.trace_counts(pieces), "source").select(
+    stage = parquet_stage(lines.sparkSession)
+    pieces = stage(tr.ends_only(tr.trace_pieces(lines)), "pieces")
+    states = stage(tr.chunk_states(pieces), "states")
+    first = tr.first_traces(pieces, cat.SUMMARY_TRACES, states)
+    return first.join(tr.trace_counts(states), "source").select(
         "source", "trace_id", "header_line", "summary", "n_traces"
     )
 
@@ -107,7 +166,10 @@ def _around(lines: DataFrame) -> DataFrame:
 
 
 def _around_hits(lines: DataFrame) -> DataFrame:
-    return drill.lines_around_hits(lines, drill.lines_by_severity(lines, "fatal"), HIT_CONTEXT)
+    stage = parquet_stage(lines.sparkSession)
+    stored = stage(lines, "lines")
+    hits = drill.lines_by_severity(stored, "fatal").select("source", "line_no")
+    return drill.lines_around_hits(stored, stage(hits, "hits"), HIT_CONTEXT)
 
 
 def _rendered(lines: DataFrame) -> DataFrame:
@@ -115,6 +177,29 @@ def _rendered(lines: DataFrame) -> DataFrame:
     return drill.render_matches(found, FIRST_LINES)
 
 
+def _session(spark: SparkSession, sf_dir: str) -> Triage:
+    """A store of all services, in which those with an odd number were ingested again, with
+    every third line only, and with the analyses of some."""
+    session = Triage(spark, f"{shared_folder(spark).rstrip('/')}/session-{uuid.uuid4().hex}")
+    lines = derive.log_lines(spark, sf_dir)
+    session.ingest_lines(lines)
+    session.add_replies(derive.service_replies(spark, sf_dir))
+    number = F.substring("source", 5, 9).cast("int")
+    fewer = lines.filter((number % 2 == 1) & (F.col("line_no") % 3 == 0))
+    session.ingest_lines(fewer.withColumn("line_no", F.expr("line_no div 3")))
+    return session
+
+
+def _stored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _session(spark, sf_dir)._stored("lines").select("source", "line_no", "line")
+
+
+def _unknown_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of the labels svc-<user> that were asked for are not stored."""
+    asked = derive.table(spark, sf_dir, "events").selectExpr("concat('svc-', user_id) AS source")
+    return asked.distinct().join(_session(spark, sf_dir).store.current(), "source", "left_anti")
+
+
 def on_replies(build: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: build(derive.order_replies(spark, sf_dir))
 
@@ -128,7 +213,7 @@ def _parsed(analyses: DataFrame) -> DataFrame:
     return analyses.withColumns(
         {
             name: F.size(name).cast("bigint")
-            for name in ("error_signatures", "timeline", "attention_needed")
+            for name in ("error_signatures", "timeline", "attention_needed", "dropped")
         }
     )
 
@@ -142,6 +227,10 @@ QUERIES: dict[str, Query] = {
     "rejected_sources": lambda spark, sf_dir: rejected_sources(
         derive.texts_with_gaps(spark, sf_dir)
     ),
+    "log_lines_chunked": on_small_chunks(lambda ls: ls.select("source", "line_no", "line")),
+    "log_files": _log_files,
+    "stored_lines": _stored_lines,
+    "unknown_labels": _unknown_labels,
     # lines
     "clean_lines": on_lines(_cleaned),
     "severity_detect": _column("severity", tx.detect_severity),
@@ -164,25 +253,28 @@ QUERIES: dict[str, Query] = {
     "trace_summary": on_lines(
         lambda ls: _summaries(ls).select("source", "trace_id", "summary")
     ),
+    "stack_traces_chunked": on_small_chunks(lambda ls: _stack_traces(ls, SMALL_PART_LINES)),
+    "trace_summary_chunked": on_small_chunks(
+        lambda ls: _summaries(ls, SMALL_PART_LINES).select("source", "trace_id", "summary")
+    ),
     # templates and metrics
-    "dedup_templates": on_lines(tp.dedup_templates),
+    "dedup_templates": on_stored(_dedup),
     "severity_counts": on_lines(tp.severity_counts),
     "timestamps_seen": on_lines(tp.timestamps_seen),
-    "time_range": on_lines(tp.time_range),
-    "source_metrics": on_lines(tp.source_metrics),
+    "time_range": on_stored(tp.time_range),
+    "source_metrics": on_stored(_metrics),
     # reports
-    "important_templates": on_lines(lambda ls: tp.important_templates(tp.dedup_templates(ls))),
-    "high_frequency_templates": on_lines(
-        lambda ls: tp.high_frequency_templates(tp.dedup_templates(ls))
-    ),
+    "important_templates": _first(tp.important_templates),
+    "high_frequency_templates": _first(tp.high_frequency_templates),
     "top_traces": on_lines(_top_traces),
-    "severity_breakdown": on_lines(lambda ls: tp.severity_breakdown(tp.source_metrics(ls))),
+    "severity_breakdown": on_lines(lambda ls: tp.severity_breakdown(tp.metrics_of(tp.line_groups(ls)))),
     "summary_report": _summary,
     "ingest_report": _ingest,
     "analysis_digest": lambda spark, sf_dir: report.analysis_digest(
-        *_report_tables(spark, sf_dir)
+        _report_tables(spark, sf_dir)
     ),
     "list_sources": _list_sources,
+    "listing": lambda spark, sf_dir: _session(spark, sf_dir).listing(),
     # drill-down
     "lines_around": on_lines(_around),
     "lines_around_hits": on_lines(_around_hits),
