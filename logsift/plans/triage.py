@@ -80,7 +80,11 @@ class Triage:
         return self.ingest_lines(lines, enable_semantic)
 
     def ingest_lines(self, lines: DataFrame, enable_semantic: bool = True) -> DataFrame:
-        """Store ``(source, chunk, line_no, line)`` of any number of sources.
+        """Store ``(source, chunk, line_no, line)`` of any number of sources; their reports."""
+        return self._reports(*self.store_lines(lines), None, enable_semantic)
+
+    def store_lines(self, lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Store lines without a report; gives back lines, groups and pieces as stored.
 
         The lines are read once. Readers see the new tables when the last step has put down
         their batch; the analyses of the old log no longer count then.
@@ -90,7 +94,7 @@ class Triage:
         groups = self.store.write(tp.line_groups(stored), "groups", batch)
         pieces = self.store.write(tr.ends_only(tr.trace_pieces(stored)), "pieces", batch)
         self.store.publish(groups, batch)
-        return self._reports(stored, groups, pieces, None, enable_semantic)
+        return stored, groups, pieces
 
     def add_replies(self, replies: DataFrame) -> DataFrame:
         """Store the analyses in ``(source, reply)``; returns ``(source, reply, reason)`` of

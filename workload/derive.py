@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logsift.operators.numbering import add_position
+from logsift.sources.text_column import lines_from_text
 
 # Events per numbering chunk; one chunk of one source is at most 6 times as many lines.
 CHUNK_EVENTS = 32_768
@@ -88,6 +89,18 @@ def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(source, chunk, line_no, line)``: all lines of all documents, most of them dressed as
+    log lines whose words and numbers touch letters beyond ASCII."""
+    lines = lines_from_text(document_texts(spark, sf_dir))
+    dressed = """CASE (CAST(substr(source, 5) AS BIGINT) + line_no) % 9
+        WHEN 0 THEN concat('ERROR ', line) WHEN 1 THEN concat('    at ', line)
+        WHEN 2 THEN concat('éERROR ', line) WHEN 3 THEN concat('fév 12 10:11:12 ', line)
+        WHEN 4 THEN concat('Épo: ', line) WHEN 5 THEN concat('Oué: ', line)
+        WHEN 6 THEN concat(line, ' é12345 67890 12345') ELSE line END"""
+    return lines.withColumn("line", F.expr(dressed))
+
+
 def texts_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``document_texts`` where some are blank or missing."""
     doc = F.substring("source", 5, 20).cast("bigint")

@@ -144,6 +144,78 @@ traces AS (
   GROUP BY source, trace_id, header_line),
 trace_counts AS (SELECT source, count(*) AS n_traces FROM traces GROUP BY source)"""
 
+# -- lines of documents, with the classes of other scripts spelled out -------
+
+_W = r"[\p{L}\p{N}_]"
+_NOT_W = r"[^\p{L}\p{N}_]"
+
+
+def _spelled(pattern: str) -> str:
+    """Word classes written out; an edge of a word at either end of the pattern consumes."""
+    inner = pattern.removeprefix(r"\b").removesuffix(r"\b")
+    inner = inner.replace(r"\w", _W).replace(r"\d", r"\p{Nd}")
+    return (f"(^|{_NOT_W})" if pattern.startswith(r"\b") else "") + inner + (
+        f"($|{_NOT_W})" if pattern.endswith(r"\b") else ""
+    )
+
+
+_doc_severity = (
+    "CASE "
+    + " ".join(
+        f"WHEN {matches('cleaned', '(?i)' + _spelled(p))} THEN '{lv}'" for lv, p in cat.SEVERITY
+    )
+    + " ELSE 'unknown' END"
+)
+_doc_timestamp = (
+    "coalesce("
+    + ", ".join(f"nullif(regexp_extract(cleaned, {lit(_spelled(p))}, 0), '')" for p in cat.TIMESTAMP)
+    + ")"
+)
+_doc_template = "cleaned"
+for _p in cat.TIMESTAMP:
+    _doc_template = replaced(_doc_template, _spelled(_p), cat.MARK_TIMESTAMP)
+_doc_template = replaced(_doc_template, cat.UUID, cat.MARK_UUID, "gi")
+_doc_template = replaced(_doc_template, cat.ADDRESS, cat.MARK_ADDRESS, "gi")
+for _ in range(2):  # neighbouring numbers share the character between them
+    _doc_template = replaced(_doc_template, _spelled(cat.NUMBER), rf"\1{cat.MARK_NUMBER}\2")
+
+
+def _doc_shown(expr: str) -> str:
+    for p in [*cat.TIMESTAMP, cat.EMPTY_BRACKETS]:
+        expr = replaced(expr, _spelled(p))
+    # The only level words in these lines are those that they were dressed with.
+    return replaced(replaced(expr, rf"(^|{_NOT_W})ERROR\s*", r"\1", ""), r"^\s+|\s+$")
+
+
+DOC_LINES = f"""
+split_docs AS (
+  SELECT doc_id, regexp_split_to_array(regexp_replace(text, '({cat.LINE_BREAK})$', ''),
+    {lit(cat.LINE_BREAK)}) AS ls
+  FROM documents WHERE trim(text) <> ''),
+doc_lines AS (
+  SELECT doc_id, CAST(generate_subscripts(ls, 1) AS BIGINT) AS line_no, unnest(ls) AS line
+  FROM split_docs),
+log_lines AS (
+  SELECT concat('doc-', doc_id) AS source, line_no, CASE (doc_id + line_no) % 9
+    WHEN 0 THEN concat('ERROR ', line) WHEN 1 THEN concat('    at ', line)
+    WHEN 2 THEN concat('éERROR ', line) WHEN 3 THEN concat('fév 12 10:11:12 ', line)
+    WHEN 4 THEN concat('Épo: ', line) WHEN 5 THEN concat('Oué: ', line)
+    WHEN 6 THEN concat(line, ' é12345 67890 12345') ELSE line END AS line
+  FROM doc_lines)"""
+
+
+def _of_documents(tables: str) -> str:
+    """The same steps over the lines of documents."""
+    for here, there in (
+        (LOG_LINES, DOC_LINES),
+        (_severity, _doc_severity),
+        (_timestamp, _doc_timestamp),
+        (lit(cat.EXCEPTION), lit(_spelled(cat.EXCEPTION))),
+    ):
+        tables = tables.replace(here, there)
+    return tables
+
+
 # -- templates and metrics --------------------------------------------------
 
 _rank = "CASE severity " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in cat.RANK.items()) + " END"
@@ -438,6 +510,17 @@ ORACLE: dict[str, str] = {
         ANNOTATED,
         "SELECT source, line_no, line, cleaned, severity, ts_text, is_stack FROM classified",
     ),
+    "document_severity": _over(
+        _of_documents(ANNOTATED), "SELECT source, line_no, severity, ts_text FROM classified"
+    ),
+    "document_templates": _over(
+        _of_documents(ANNOTATED),
+        f"SELECT source, line_no, {_doc_template} AS template, {_doc_shown('cleaned')} AS shown"
+        " FROM classified",
+    ),
+    "document_traces": _over(
+        _of_documents(MEMBERS), "SELECT source, trace_id, severity, n_lines, summary FROM traces"
+    ),
     "trace_lines": _over(
         MEMBERS,
         "SELECT source, trace_id, header_line, pos, line_no, cleaned AS line FROM members",

@@ -107,6 +107,10 @@ def on_small_chunks(build: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: build(derive.log_lines(spark, sf_dir, SMALL_CHUNK_EVENTS))
 
 
+def on_document_lines(build: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: build(derive.document_lines(spark, sf_dir))
+
+
 def _log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log lines written as one text file for each service, and read back in blocks."""
     lines = derive.log_lines(spark, sf_dir)
@@ -182,11 +186,11 @@ def _session(spark: SparkSession, sf_dir: str) -> Triage:
     every third line only, and with the analyses of some."""
     session = Triage(spark, f"{shared_folder(spark).rstrip('/')}/session-{uuid.uuid4().hex}")
     lines = derive.log_lines(spark, sf_dir)
-    session.ingest_lines(lines)
+    session.store_lines(lines)
     session.add_replies(derive.service_replies(spark, sf_dir))
     number = F.substring("source", 5, 9).cast("int")
     fewer = lines.filter((number % 2 == 1) & (F.col("line_no") % 3 == 0))
-    session.ingest_lines(fewer.withColumn("line_no", F.expr("line_no div 3")))
+    session.store_lines(fewer.withColumn("line_no", F.expr("line_no div 3")))
     return session
 
 
@@ -241,6 +245,20 @@ QUERIES: dict[str, Query] = {
     "template_key": _column("template", tx.template_key),
     "display_text": _column("shown", tx.display_text),
     "classify_lines": on_lines(lambda ls: classify(ls).drop("chunk")),
+    "document_severity": on_document_lines(
+        lambda ls: classify(ls).select("source", "line_no", "severity", "ts_text")
+    ),
+    "document_templates": on_document_lines(
+        lambda ls: classify(ls).select(
+            "source",
+            "line_no",
+            tx.template_key(F.col("cleaned")).alias("template"),
+            tx.display_text(F.col("cleaned")).alias("shown"),
+        )
+    ),
+    "document_traces": on_document_lines(
+        lambda ls: _summaries(ls).select("source", "trace_id", "severity", "n_lines", "summary")
+    ),
     # traces
     "trace_lines": on_lines(lambda ls: tr.trace_lines(_resolved(ls))),
     "stack_traces": on_lines(_stack_traces),
