@@ -23,8 +23,7 @@ BUCKETS = 1 << 15
 UNKNOWN = "und"
 
 _ORDERS = (2, 3, 4)
-_PIECE_BYTES = 1 << 19
-_BATCH_BYTES = 1 << 20
+_PIECE_BYTES = _BATCH_BYTES = 1 << 18
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _POWERS = np.random.default_rng(9).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 
