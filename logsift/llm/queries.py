@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logsift.llm import ann, chat, decontam, langid, linededup, mixing, pii, quality, simhash, tokens
+from logsift.llm.scratch import Scratch
 
 #: The vocabulary whose pieces are counted, one of the installed public tokenizers.
 VOCABULARY = "piece_bpe_32k.model"
@@ -79,6 +80,7 @@ def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     turns = chat.formatted_turns(given.union(spark.sql(EXTRA_CONVERSATION)))
+    turns = Scratch(spark).table(turns, "turns")
     replies = chat.examples(turns)
     formatted = F.col("formatted")
     read_back = F.concat(chat.role_of(formatted), F.lit("\n"), chat.text_of(formatted), F.lit("\n"))
