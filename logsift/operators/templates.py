@@ -90,7 +90,10 @@ def metrics_of(groups: DataFrame) -> DataFrame:
 
 
 def with_time_range(per_source: DataFrame, lines: DataFrame) -> DataFrame:
-    """Replace ``first_ts_line, last_ts_line`` by the texts ``first_ts, last_ts``."""
+    """Replace ``first_ts_line, last_ts_line`` by the texts ``first_ts, last_ts``.
+
+    Where ``per_source`` was written before, Spark knows how small it is and moves no lines.
+    """
     ends = [F.struct(F.lit(n).alias("end"), F.col(f"{n}_ts_line").alias("line_no")) for n in ("first", "last")]
     wanted = per_source.select("source", F.inline(F.array(*ends))).where("line_no is not null")
     seen = annotate(lines).where("ts_text is not null").select("source", "line_no", "ts_text")
@@ -114,9 +117,9 @@ def dedup_templates(lines: DataFrame, groups: DataFrame | None = None) -> DataFr
     return with_samples(templates_of(line_groups(lines) if groups is None else groups), lines)
 
 
-def source_metrics(lines: DataFrame, groups: DataFrame | None = None) -> DataFrame:
-    """``metrics_of`` with ``first_ts, last_ts``; ``groups`` as in ``dedup_templates``."""
-    return with_time_range(metrics_of(line_groups(lines) if groups is None else groups), lines)
+def source_metrics(lines: DataFrame, metrics: DataFrame | None = None) -> DataFrame:
+    """``metrics_of`` with ``first_ts, last_ts``; ``metrics`` are such that exist already."""
+    return with_time_range(metrics_of(line_groups(lines)) if metrics is None else metrics, lines)
 
 
 def severity_counts(lines: DataFrame) -> DataFrame:
@@ -133,15 +136,22 @@ def timestamps_seen(lines: DataFrame) -> DataFrame:
     )
 
 
-def time_range(lines: DataFrame) -> DataFrame:
-    """First and last timestamp of a source in line order; null where it has none."""
+def timestamp_ends(lines: DataFrame) -> DataFrame:
+    """``(source, first_ts_line, last_ts_line)``: the lines of the first and last timestamp."""
     ts_line = F.when(F.col("ts_text").isNotNull(), F.col("line_no"))
-    ends = (
+    return (
         classify(lines)
         .groupBy("source")
         .agg(F.min(ts_line).alias("first_ts_line"), F.max(ts_line).alias("last_ts_line"))
     )
-    return with_time_range(ends, lines)
+
+
+def time_range(lines: DataFrame, ends: DataFrame | None = None) -> DataFrame:
+    """First and last timestamp of a source in line order; null where it has none.
+
+    ``ends`` are ``timestamp_ends`` that exist already.
+    """
+    return with_time_range(timestamp_ends(lines) if ends is None else ends, lines)
 
 
 def severity_breakdown(metrics: DataFrame) -> DataFrame:

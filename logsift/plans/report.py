@@ -44,9 +44,10 @@ def tables_of(lines: DataFrame, groups: DataFrame, pieces: DataFrame, stage: Sta
     """Report tables from stored annotated lines, their groups and the ends of their pieces.
 
     Metrics with their time range and chunk states are read by several sections and are
-    written once.
+    written once. The metrics are written before the time range, too, so that fetching it
+    is planned for the few rows that they are.
     """
-    metrics = tp.with_time_range(tp.metrics_of(groups), lines)
+    metrics = tp.with_time_range(stage(tp.metrics_of(groups), "counts"), lines)
     states = tr.chunk_states(pieces)
     return LogTables(
         lines, stage(metrics, "metrics"), tp.templates_of(groups), pieces, stage(states, "states")

@@ -75,7 +75,13 @@ def _dedup(lines: DataFrame) -> DataFrame:
 
 
 def _metrics(lines: DataFrame) -> DataFrame:
-    return tp.source_metrics(lines, _groups(lines))
+    metrics = tp.metrics_of(tp.line_groups(lines))
+    return tp.source_metrics(lines, parquet_stage(lines.sparkSession)(metrics, "metrics"))
+
+
+def _time_range(lines: DataFrame) -> DataFrame:
+    ends = tp.timestamp_ends(lines)
+    return tp.time_range(lines, parquet_stage(lines.sparkSession)(ends, "ends"))
 
 
 def _first(choose: Callable[[DataFrame], DataFrame]) -> Query:
@@ -279,7 +285,7 @@ QUERIES: dict[str, Query] = {
     "dedup_templates": on_stored(_dedup),
     "severity_counts": on_lines(tp.severity_counts),
     "timestamps_seen": on_lines(tp.timestamps_seen),
-    "time_range": on_stored(tp.time_range),
+    "time_range": on_stored(_time_range),
     "source_metrics": on_stored(_metrics),
     # reports
     "important_templates": _first(tp.important_templates),
