@@ -88,18 +88,20 @@ def parse_analyses(replies: DataFrame) -> DataFrame:
         items = F.try_variant_get("object", f"$.{name}", "array<variant>")
         return F.coalesce(items, F.array().cast("array<variant>"))
 
+    lists = ("error_signatures", "timeline", "attention_needed")
+
     def maps(name, fields):
-        kept = F.filter(listed(name), _is_map)
+        kept = F.filter(name, _is_map)
         return F.transform(kept, lambda x: F.struct(*[_text(x, f"$.{n}").alias(n) for n in fields])).alias(name)
 
     def others(name, test):
         shown = F.transform(
-            F.filter(listed(name), lambda x: ~test(x)),
+            F.filter(name, lambda x: ~test(x)),
             lambda x: F.concat(F.lit(f"{name}: "), F.coalesce(_text(x), F.lit("null"))),
         )
         return shown
 
-    attention = F.filter(F.transform(listed("attention_needed"), lambda x: _text(x)), lambda x: x.isNotNull())
+    attention = F.filter(F.transform("attention_needed", lambda x: _text(x)), lambda x: x.isNotNull())
     dropped = F.concat(
         others("error_signatures", _is_map),
         others("timeline", _is_map),
@@ -108,6 +110,8 @@ def parse_analyses(replies: DataFrame) -> DataFrame:
     return (
         _parsed(replies)
         .filter(F.col("object").isNotNull())
+        # Each list is taken from the variant once.
+        .withColumns({name: listed(name) for name in lists})
         .select(
             "source",
             text("primary_issue"),
