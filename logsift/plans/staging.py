@@ -26,15 +26,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one, removed when the driver's JVM ends."""
+    root = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    # Only what exists can be marked.
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return root
+
+
 def parquet_stage(spark: SparkSession) -> Stage:
     """Writes a table to the shared folder and reads it back, which cuts its lineage.
 
-    Plans over the result know its size. The folder is removed when the driver's JVM ends,
-    as a lazy result may read it until then.
+    Plans over the result know its size. The files stay until the session ends, as a lazy
+    result may read them until then.
     """
-    root = f"{shared_folder(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(path)
+    root = scratch_folder(spark, "stage")
 
     def stage(df: DataFrame, name: str) -> DataFrame:
         at = f"{root}/{name}-{uuid.uuid4().hex}"

@@ -1,5 +1,10 @@
 from __future__ import annotations
 
+import os
+import subprocess
+import sys
+import time
+
 import pytest
 
 from logsift.operators import templates as tp
@@ -76,6 +81,31 @@ def test_stage_writes_to_the_shared_folder(spark):
     assert all(shared_folder(spark) in f for f in staged.inputFiles())
 
 
+def test_scratch_folders_go_with_the_jvm(tmp_path):
+    """Run in a JVM of its own: what was staged is gone after it."""
+    code = (
+        "from pyspark.sql import SparkSession\n"
+        "from logsift.plans.staging import parquet_stage, scratch_folder\n"
+        f"s = SparkSession.builder.master('local[1]').config('spark.checkpoint.dir', '{tmp_path}')"
+        ".config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "parquet_stage(s)(s.range(3), 'n')\n"
+        "s.range(2).write.parquet(scratch_folder(s, 'x') + '/t')\n"
+        "import os\n"
+        f"names = sorted(n.split('-')[0] for n in os.listdir('{tmp_path}'))\n"
+        "assert {'stage', 'x'} <= set(names), names\n"
+        "s.stop()\n"
+    )
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=repo, timeout=120)
+    # The JVM removes them while it shuts down; Spark's own checkpoint folder stays.
+    for _ in range(40):
+        left = [p.name for p in tmp_path.iterdir() if p.name.split("-")[0] in ("stage", "x")]
+        if not left:
+            break
+        time.sleep(0.25)
+    assert not left
+
+
 def test_patterns_run_once_per_report(spark):
     """All sections read lines that were annotated and written before."""
     from workload.queries import QUERIES

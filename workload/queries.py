@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +15,7 @@ from logsift.operators import traces as tr
 from logsift.operators.lines import annotate, classify
 from logsift.operators.numbering import add_position
 from logsift.plans import report
-from logsift.plans.staging import parquet_stage, shared_folder
+from logsift.plans.staging import parquet_stage, scratch_folder
 from logsift.plans.triage import Triage
 from logsift.sources.files import read_log_files
 from logsift.sources.text_column import lines_from_text, rejected_sources
@@ -120,7 +119,7 @@ def on_document_lines(build: Callable[[DataFrame], DataFrame]) -> Query:
 def _log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log lines written as one text file for each service, and read back in blocks."""
     lines = derive.log_lines(spark, sf_dir)
-    root = f"{shared_folder(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
+    root = f"{scratch_folder(spark, 'files')}/text"
     # Range-partitioned by source and line number, a service's part files follow each other.
     placed = lines.repartitionByRange("source", "line_no").sortWithinPartitions("source", "line_no")
     placed.select("source", F.col("line").alias("value")).write.partitionBy("source").text(root)
@@ -190,7 +189,7 @@ def _rendered(lines: DataFrame) -> DataFrame:
 def _session(spark: SparkSession, sf_dir: str) -> Triage:
     """A store of all services, in which those with an odd number were ingested again, with
     every third line only, and with the analyses of some."""
-    session = Triage(spark, f"{shared_folder(spark).rstrip('/')}/session-{uuid.uuid4().hex}")
+    session = Triage(spark, scratch_folder(spark, "session"))
     lines = derive.log_lines(spark, sf_dir)
     session.store_lines(lines)
     session.add_replies(derive.service_replies(spark, sf_dir))
