@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from logsift.plans.staging import shared_folder
+from logsift.plans.staging import scratch_folder
 
 
 class Scratch:
@@ -19,8 +17,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
-        self.root = f"{shared_folder(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
-        self._path(self.root, lambda fs, path: fs.deleteOnExit(path))
+        self.root = scratch_folder(spark, "llm")
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -28,8 +25,6 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def forget(self, name: str) -> None:
-        self._path(f"{self.root}/{name}", lambda fs, path: fs.delete(path, True))
-
-    def _path(self, name: str, act) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
-        act(path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), path)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        files = path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        files.delete(path, True)
