@@ -172,12 +172,16 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, bands: int = BANDS, c
 
 
 def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One row of each group of near-duplicates: that of the smallest doc_id.
+    """One row of each group of near-duplicates, as ``first_rows`` takes it."""
+    return first_rows(docs, near_duplicates(docs.select("doc_id", "text"), radius))
+
+
+def first_rows(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row of each component of ``groups(doc_id, component_id)``: that of the smallest doc_id.
 
     Columns stay as they are. Of rows that repeat this doc_id one stays. Rows with a null
     doc_id stay, as nothing names them.
     """
-    groups = near_duplicates(docs.select("doc_id", "text"), radius)
     first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
     rows = docs.select(F.struct("*").alias("row"))
     named = rows.where("row.doc_id is not null").join(first, F.col("row.doc_id") == F.col("kept"))
