@@ -18,6 +18,10 @@ TABLES = 8
 NEIGHBOURS = 20
 #: Sampled queries whose true neighbours set the number of probes, and the recall to reach.
 SAMPLE_QUERIES, RECALL = 64, 0.96
+#: A query whose found neighbours let expect less recall than this is compared with all vectors.
+LEAST_RECALL = 0.9
+#: Random pairs at each cosine from which the chance to be found is estimated.
+TRIED_PAIRS = 300
 #: Vectors and queries of a bucket that one task compares at once.
 CHUNK = 2048
 SEED = 8
@@ -179,13 +183,54 @@ def probes_for(hashing: Hashing, vectors: DataFrame, queries: DataFrame, recall:
     found = true.join(vectors.dropDuplicates(["vec_id"]), "vec_id").select("query_id", "embedding").collect()
     if not found:
         return 1
-    held = hashing.buckets(np.array([r.embedding for r in found]))
-    order = hashing.ranking(np.array([rows[r.query_id] for r in found]))
-    place = np.argsort(order, axis=2)
-    needed = np.take_along_axis(place, held[:, :, None], axis=2)[:, :, 0].min(axis=1) + 1
+    needed = probes_needed(hashing, np.array([rows[r.query_id] for r in found]), np.array([r.embedding for r in found]))
     return int(np.quantile(needed, recall, method="higher"))
 
 
+def probes_needed(hashing: Hashing, queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Per row the fewest probes a table at which the query finds the vector."""
+    held = hashing.buckets(vectors)
+    place = np.argsort(hashing.ranking(queries), axis=2)
+    return np.take_along_axis(place, held[:, :, None], axis=2)[:, :, 0].min(axis=1) + 1
+
+
+def chances(hashing: Hashing, probes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cosines from -1 to 1 and how often random pairs at each are found by ``probes``.
+
+    Under random rotations the chance of a pair depends on its cosine alone.
+    """
+    dims = hashing.dims + hashing.lifted
+    rng, plain = np.random.default_rng(SEED + 1), Hashing(dims, 1.0, lifted=False, tables=hashing.tables)
+    cosines, found = np.linspace(-1, 1, 41), []
+    for cosine in cosines:
+        a, b = rng.normal(size=(2, TRIED_PAIRS, dims))
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        b -= (a * b).sum(axis=1, keepdims=True) * a
+        b /= np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-300)
+        pairs = cosine * a + np.sqrt(1 - cosine**2) * b
+        found.append((probes_needed(plain, a, pairs) <= probes).mean())
+    return cosines, np.maximum.accumulate(found)
+
+
+def unfinished(found: DataFrame, queries: DataFrame, hashing: Hashing, probes: int, want: int) -> DataFrame:
+    """Queries with fewer than ``want`` rows, and those that may have missed too many.
+
+    True neighbours score at least as high as the ones found, so the chance at the scores
+    found, summed over ``want``, bounds the expected recall of a query from below.
+    """
+    cosines, chance = (x.tolist() for x in chances(hashing, probes))
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
+    asked = queries.select(F.col("vec_id").alias("q"), (norm * hashing.reach).alias("most")).dropDuplicates(["q"])
+    step = cosines[1] - cosines[0]
+    place = F.least(F.greatest((F.col("score") / F.col("most") + 1) / step, F.lit(0.0)), F.lit(len(cosines) - 1.0))
+    low = F.least(F.floor(place), F.lit(len(cosines) - 2)).cast("int")
+    table = F.array(*map(F.lit, chance))
+    at = F.get(table, low) + (place - low) * (F.get(table, low + 1) - F.get(table, low))
+    scored = asked.join(found, F.col("q") == F.col("query_id"), "left")
+    per_query = scored.groupBy("q").agg(F.count("query_id").alias("n"), F.sum(at).alias("sum"))
+    return per_query.where((F.col("n") < want) | (F.col("sum") < LEAST_RECALL * want)).select("q")
+
+
 def _codes(hashing: Hashing, probes: int | None) -> Column:
     """Per vector ``table * 2 width + axis`` of its bucket, or of a query's probes, in each table."""
     base = 2 * hashing.width * np.arange(hashing.tables)
@@ -203,14 +248,28 @@ def _codes(hashing: Hashing, probes: int | None) -> Column:
     return coded(F.col("embedding"))
 
 
-def _dealt(rows: DataFrame, sizes: DataFrame, own: str, other: str, chunk: int) -> DataFrame:
+def _dealt(placed: DataFrame, own: str, other: str, chunk: int) -> DataFrame:
     """Rows of a bucket in chunks, each copied for every chunk of the other side."""
     parts = {n: F.ceil(F.col(n) / chunk).cast("int") for n in (own, other)}
-    placed = rows.join(sizes, "code").select(
+    dealt = placed.select(
         "code", "vec_id", "embedding", F.pmod(F.xxhash64("vec_id", F.lit(5)), parts[own]).cast("int").alias(own),
         F.explode(F.sequence(F.lit(0), parts[other] - 1)).alias(other), F.lit(own == "nq").alias("asks"),
     )
-    return placed.select("code", "nv", "nq", "asks", "vec_id", "embedding")
+    return dealt.select("code", "nv", "nq", "asks", "vec_id", "embedding")
+
+
+def _compared(held: DataFrame, asking: DataFrame, k: int, chunk: int) -> DataFrame:
+    """The k best of each query in the buckets of ``(code, vec_id, embedding, nv, nq)``."""
+    both = _dealt(held, "nv", "nq", chunk).union(_dealt(asking, "nq", "nv", chunk))
+
+    def compare(group: pa.Table) -> pa.Table:
+        asks = group.column("asks").to_numpy()
+        all_ids = group.column("vec_id").to_numpy()
+        all_rows = _stack(group.column("embedding").combine_chunks())
+        found = nearest(all_rows[asks], all_ids[asks], all_rows[~asks], all_ids[~asks], k)
+        return pa.Table.from_batches([_scored(found)])
+
+    return _best(both.groupBy("code", "nv", "nq").applyInArrow(compare, _SCORED), k)
 
 
 def search(
@@ -222,8 +281,9 @@ def search(
     largest inner product in double precision, ties go to the smaller vec_id. Every vector
     lies in one bucket of each table; a query looks into the buckets of its nearest signed
     axes. A pair of chunks of a bucket's vectors and queries is one group and returns at
-    most k rows a query. Equal vectors share their buckets and are all compared. Rows that
-    repeat a vec_id count once. See ``usable`` for vectors that take no part. Fewer
+    most k rows a query. Equal vectors share their buckets and are all compared. Queries that
+    are ``unfinished`` then are compared with all vectors, chunk by chunk in the same way.
+    Rows that repeat a vec_id count once. See ``usable`` for vectors that take no part. Fewer
     candidates than k, or none, give fewer rows; an empty table gives none.
     """
     scratch = Scratch(vectors.sparkSession)
@@ -243,13 +303,14 @@ def search(
     n_held = held.groupBy("code").agg(F.count("*").alias("nv"))
     n_asking = asking.groupBy("code").agg(F.count("*").alias("nq"))
     sizes = scratch.table(n_held.join(n_asking, "code"), "sizes")
-    both = _dealt(held, sizes, "nv", "nq", chunk).union(_dealt(asking, sizes, "nq", "nv", chunk))
-
-    def compare(group: pa.Table) -> pa.Table:
-        asks = group.column("asks").to_numpy()
-        all_ids = group.column("vec_id").to_numpy()
-        all_rows = _stack(group.column("embedding").combine_chunks())
-        found = nearest(all_rows[asks], all_ids[asks], all_rows[~asks], all_ids[~asks], k)
-        return pa.Table.from_batches([_scored(found)])
-
-    return _best(both.groupBy("code", "nv", "nq").applyInArrow(compare, _SCORED), k)
+    found = _compared(held.join(sizes, "code"), asking.join(sizes, "code"), k, chunk)
+    found = scratch.table(found, "found")
+    n, ids_of = rows.agg(F.count("*"), F.count_distinct("vec_id")).first()
+    again = unfinished(found, queries, hashing, probes, min(k, ids_of - 1))
+    again = scratch.table(queries.join(again, F.col("vec_id") == F.col("q"), "left_semi"), "again")
+    if not (n_again := again.count()):
+        return found
+    whole = [F.lit(-1).alias("code"), "vec_id", "embedding", F.lit(n).alias("nv"), F.lit(n_again).alias("nq")]
+    exact = _compared(rows.select(*whole), again.select(*whole), k, chunk)
+    redone = again.select(F.col("vec_id").alias("query_id")).distinct()
+    return found.join(redone, "query_id", "left_anti").union(exact)

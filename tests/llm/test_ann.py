@@ -80,3 +80,22 @@ def test_recall_of_the_query(spark):
     hits = sum(r.vec_id in want[r.query_id] for r in found)
     assert hits / sum(map(len, want.values())) >= 0.9
     assert {r.query_id for r in found} == want.keys()
+
+
+def test_isolated_queries_beside_a_hot_group_are_whole(spark):
+    """A group of near-copies sets few probes; the others still get their true neighbours."""
+    rng = np.random.default_rng(5)
+    rows = rng.normal(size=(600, 64))
+    hot = rng.permutation(600)[:588]
+    rows[hot] = rows[hot[0]] + 0.01 * rows[hot]
+    rows = (rows / np.linalg.norm(rows, axis=1, keepdims=True)).astype(np.float32)
+    ids = np.arange(600)
+    found = ann.search(table(spark, ids.tolist(), rows.tolist()), F.lit(True))
+    got = {}
+    for r in sorted(found.collect(), key=lambda r: (r.query_id, r["rank"])):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+        assert r["rank"] == len(got[r.query_id])
+    want = brute_force(ids, rows, ids, 20)
+    assert {q: len(x) for q, x in got.items()} == {q: 20 for q in want}
+    alone = [q for q in want if q not in hot]
+    assert len(alone) == 12 and all(got[q] == want[q] for q in alone)
