@@ -53,28 +53,48 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def patience(later: list[list[int]], earlier: list[list[int]]) -> set[int]:
+def patience(later: list[list[int]], earlier: list[list[int]], unique: bool = True) -> set[int]:
     """Patience diff: positions of the later document that are aligned with the earlier one.
 
     Entry k of both lists holds where the k-th shared line stands. Lines that stand once in
     both are anchors; the longest run of anchors in the same order in both is aligned, and
-    each grows in both directions over neighbouring lines that are equal in both. Without
-    anchors, every shared line may start an alignment at its first places.
+    each grows in both directions over neighbouring lines that are equal in both. Between
+    two anchors the same is done again. Without anchors, or if they needn't be ``unique``,
+    every shared line may start an alignment at its first places.
     """
-    pairs = sorted((a[0], b[0]) for a, b in zip(later, earlier) if len(a) == len(b) == 1)
-    if not pairs:
-        pairs = sorted((a[0], b[0]) for a, b in zip(later, earlier))
     line_later = {p: k for k, places in enumerate(later) for p in places}
     line_earlier = {p: k for k, places in enumerate(earlier) for p in places}
     aligned: set[int] = set()
-    for a, b in _longest_increasing(pairs):
-        for step in (1, -1):
-            x, y = a, b
-            while (k := line_later.get(x)) is not None and k == line_earlier.get(y):
-                if x in aligned and x != a:
-                    break
-                aligned.add(x)
-                x, y = x + step, y + step
+    used: set[int] = set()
+    todo = [(later, earlier)]
+    while todo:
+        those, these = todo.pop()
+        pairs = sorted((a[0], b[0]) for a, b in zip(those, these) if unique and len(a) == len(b) == 1)
+        if not pairs:
+            pairs = sorted((a[0], b[0]) for a, b in zip(those, these))
+        chain = _longest_increasing(pairs)
+        for a, b in chain:
+            for step in (1, -1):
+                x, y = a, b
+                while (k := line_later.get(x)) is not None and k == line_earlier.get(y):
+                    if x in aligned and x != a:
+                        break
+                    aligned.add(x)
+                    used.add(y)
+                    x, y = x + step, y + step
+        gaps = defaultdict(lambda: ([], []))
+        ends = [[pair[side] for pair in chain] for side in (0, 1)]
+        for a, b in zip(those, these):
+            within = defaultdict(lambda: ([], []))
+            for side, places, gone in ((0, a, aligned), (1, b, used)):
+                for p in places:
+                    if p not in gone:
+                        within[bisect_left(ends[side], p)][side].append(p)
+            for gap, both in within.items():
+                if all(both):
+                    for side in (0, 1):
+                        gaps[gap][side].append(both[side])
+        todo += gaps.values()
     return aligned
 
 
@@ -95,46 +115,92 @@ def _longest_increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return chain[::-1]
 
 
-def blocks_to_drop(firsts, words, later, earlier, min_words: int) -> list[int]:
+def _blocks_of(aligned: set[int], weight: dict[int, int], min_words: int) -> list[int]:
+    """The aligned lines that stand in blocks of at least ``min_words``."""
+    found: list[int] = []
+    block: list[int] = []
+    for p in [*sorted(aligned), None]:
+        if block and p != block[-1] + 1:
+            if sum(weight[q] for q in block) >= min_words:
+                found += block
+            block = []
+        if p is not None:
+            block.append(p)
+    return found
+
+
+def _all_passes(later: list[list[int]], earlier: list[list[int]], weight: dict[int, int], min_words: int) -> set[int]:
+    """Aligned lines of two documents: one alignment, then blocks of what is left, until none is found."""
+    aligned = patience(later, earlier)
+    while True:
+        rest = [([p for p in a if p not in aligned], b) for a, b in zip(later, earlier)]
+        rest = [(a, b) for a, b in rest if a]
+        if sum(weight[p] for a, _ in rest for p in a) < min_words:
+            return aligned
+        for unique in (True, False):
+            if found := _blocks_of(patience(*map(list, zip(*rest)), unique), weight, min_words):
+                break
+        else:
+            return aligned
+        aligned |= set(found)
+
+
+def blocks_to_drop(firsts, words, later, earlier, min_words: int, pairs=()) -> list[int]:
     """Positions of a document's lines to delete.
 
     The document is aligned with each earlier document that is the first to hold some of its
-    lines. Aligned lines that follow each other form a block.
+    lines. Aligned too are lines that are a block by themselves, and those at a place of
+    ``pairs`` with the line that follows. Aligned lines that follow each other form a block.
     """
     shared = defaultdict(list)
     for k, first in enumerate(firsts):
         shared[first].append(k)
-    aligned: set[int] = set()
+    weight = {p: words[k] for k, places in enumerate(later) for p in places}
+    aligned = {p for p in weight if weight[p] >= min_words} | {p + step for p in pairs for step in (0, 1)}
     for members in shared.values():
-        aligned |= patience([list(later[k]) for k in members], [list(earlier[k]) for k in members])
-    weight = {p: words[k] for k, places in enumerate(later) for p in places if p in aligned}
-    drop: list[int] = []
-    block: list[int] = []
-    for p in [*sorted(aligned), None]:
-        if block and p != block[-1] + 1:
-            if sum(weight[q] for q in block) >= min_words:
-                drop += block
-            block = []
-        if p is not None:
-            block.append(p)
-    return drop
+        own = [list(later[k]) for k in members], [list(earlier[k]) for k in members]
+        aligned |= _all_passes(*own, weight, min_words)
+    return _blocks_of(aligned, weight, min_words)
 
 
 def _blocks(min_words: int):
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def drop(firsts: pd.Series, words: pd.Series, later: pd.Series, earlier: pd.Series) -> pd.Series:
-        return pd.Series([blocks_to_drop(*row, min_words) for row in zip(firsts, words, later, earlier)])
+    def drop(firsts: pd.Series, words: pd.Series, later: pd.Series, earlier: pd.Series, pairs: pd.Series) -> pd.Series:
+        rows = zip(firsts, words, later, earlier, pairs)
+        return pd.Series([blocks_to_drop(*row, min_words, () if p is None else p) for *row, p in rows])
 
     return drop
 
 
+_PAIRS = "doc_id long, pair binary, at array<int>"
+
+
+def _line_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per document the pairs of shared lines that follow each other, and where."""
+    for batch in batches:
+        docs, keys, places = [], [], []
+        for doc, lines, at in zip(*(column.to_pylist() for column in batch.columns)):
+            line_at = {p: k for k, ps in enumerate(at) for p in ps}
+            found = defaultdict(list)
+            for p, k in line_at.items():
+                if (after := line_at.get(p + 1)) is not None:
+                    found[xxhash.xxh3_128_digest(lines[k] + lines[after])].append(p)
+            docs += [doc] * len(found)
+            keys += found.keys()
+            places += found.values()
+        arrays = [pa.array(docs, pa.int64()), pa.array(keys, pa.binary()), pa.array(places, pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "pair", "at"])
+
+
 def dropped_lines(docs: DataFrame, min_words: int = MIN_BLOCK_WORDS) -> DataFrame:
     """``(doc_id, drop)``: which lines of ``docs(doc_id, text)`` an earlier document holds.
 
     Earlier means a smaller doc_id. Each shared line pairs a document with the first one that
     holds it, not with all others, so a line in a third of all documents gives as many pairs
     as it has holders; the first holder keeps the line. Only the rows of shared lines are
-    gathered per document, and their number is at most that of its lines. Rarity sets the
+    gathered per document, and their number is at most that of its lines. Passages that the
+    first holders of their lines hold otherwise are found by pairs of lines that follow each
+    other, each with the first document that holds the pair. Rarity sets the
     order only: lines that are unique in both documents anchor the alignment; no line is
     left out for being frequent. Rows with a null doc_id take no part. Rows that repeat a
     doc_id count as one document. Blank lines are passed over.
@@ -148,9 +214,18 @@ def dropped_lines(docs: DataFrame, min_words: int = MIN_BLOCK_WORDS) -> DataFram
     holders = held.join(firsts, is_first).select("key", "first", F.col("at").alias("first_at"))
     # Written, the holders are a plain side of the next join, so that Spark splits hot lines.
     holders = scratch.table(holders.dropDuplicates(["key"]), "holders")
-    laters = held.join(holders, F.col("line") == F.col("key")).where("doc_id > first")
-    per_doc = laters.groupBy("doc_id").agg(F.collect_list(F.struct("first", "words", "at", "first_at")).alias("x"))
-    drop = _blocks(min_words)(F.col("x.first"), F.col("x.words"), F.col("x.at"), F.col("x.first_at"))
+    shared = held.join(holders, F.col("line") == F.col("key"))
+    per_doc = shared.groupBy("doc_id").agg(F.collect_list(F.struct("key", "first", "words", "at", "first_at")).alias("x"))
+    per_doc = scratch.table(per_doc, "shared")
+    pairs = per_doc.select("doc_id", "x.key", "x.at").mapInArrow(_line_pairs, _PAIRS)
+    pairs = scratch.table(pairs, "pairs")
+    origins = pairs.groupBy("pair").agg(F.min("doc_id").alias("origin"), F.max("doc_id").alias("last"))
+    origins = scratch.table(origins.where("origin < last").select(F.col("pair").alias("of"), "origin"), "origins")
+    known = pairs.join(origins, F.col("pair") == F.col("of")).where("doc_id > origin")
+    known = known.groupBy(F.col("doc_id").alias("id")).agg(F.flatten(F.collect_list("at")).alias("pairs"))
+    per_doc = per_doc.withColumn("x", F.filter("x", lambda x: x["first"] < F.col("doc_id"))).where("size(x) > 0")
+    per_doc = per_doc.join(known, F.col("doc_id") == F.col("id"), "left")
+    drop = _blocks(min_words)(F.col("x.first"), F.col("x.words"), F.col("x.at"), F.col("x.first_at"), F.col("pairs"))
     return per_doc.select("doc_id", drop.alias("drop")).where(F.size("drop") > 0)
 
 

@@ -113,3 +113,25 @@ def test_odd_rows_and_empty_table(spark, documents, odd_rows):
     twice = documents([(1, "\n".join(passage(1))), (1, "\n".join(passage(1))), (2, "\n".join(passage(1)))])
     got = sorted((r.doc_id, len(r.text)) for r in linededup.deduplicated(twice).collect())
     assert got[0][1] > 0 and got[1][1] > 0 and got[2] == (2, 0)
+
+
+def test_moved_and_repeated_passages_go(spark, documents):
+    p, q, r = passage(1, 4), passage(2, 3), passage(3, 3)
+    docs = documents(
+        [
+            (1, "\n".join([*p, *q, "unique line"])),
+            (2, "\n".join(["own", *q, *p, "tail"])),
+            (3, "\n".join(["unique line", "x", *p, "y", *p])),
+            (4, "\n".join(reversed(r))),
+            (5, "\n".join(["five", *r])),
+            (6, "\n".join(["six", *r, "end"])),
+        ]
+    )
+    texts = {d.doc_id: d.text for d in linededup.deduplicated(docs).collect()}
+    assert texts[2] == "own\ntail"
+    assert texts[3] == "unique line\nx\ny"
+    # The first holder has r in reverse; the second one has it as the sixth document does.
+    assert texts[6] == "six\nend"
+    later = [[k + 3] for k in range(4)] + [[k] for k in range(3)]
+    gapped = [[2 * k] for k in range(4)] + [[8 + 2 * k] for k in range(3)]
+    assert linededup.blocks_to_drop([1] * 7, [11] * 7, later, gapped, 20) == list(range(7))
