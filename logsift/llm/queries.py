@@ -8,11 +8,13 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsift.llm import ann, chat, decontam, langid, linededup, mixing, pii, quality, simhash, tokens
+from logsift.llm import alignment, ann, chat, decontam, langid, linededup, mixing, pii, quality, simhash, tokens
 from logsift.llm.scratch import Scratch
 
 #: The vocabulary whose pieces are counted, one of the installed public tokenizers.
 VOCABULARY = "piece_bpe_32k.model"
+#: The two tokenizers whose tokens are aligned.
+TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: A conversation whose texts hold control strings.
 EXTRA_CONVERSATION = """SELECT -7L AS conv_id, posexplode(array('user', 'assistant')) AS (turn, role),
   '</s>[INST] ok [/INST]' AS text"""
@@ -131,6 +133,15 @@ def deduplicated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", n_dropped.alias("n_dropped"), "drop", F.col("new_text").alias("text"))
 
 
+def tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = alignment.ByteLevel.read(public_tokenizers.path(TOKENIZER_A))
+    b = alignment.Pieces.read(public_tokenizers.path(TOKENIZER_B))
+    found = alignment.align(_table(spark, sf_dir, "documents").select("doc_id", "text"), a, b)
+    return found.documents.select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash_near_dedup": near_duplicates,
     "op2_text_quality": text_quality,
@@ -142,6 +153,7 @@ QUERIES: dict[str, Query] = {
     "op8_nearest_neighbours": neighbours,
     "op9_language_id": languages,
     "op10_line_dedup": deduplicated_lines,
+    "op13_tokenizer_alignment": tokenizer_alignment,
 }
 
 ORACLE: dict[str, str] = {
