@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsift.llm import alignment, ann, chat, decontam, langid, linededup, mixing, pii, quality, simhash, tokens
+from logsift.llm import alignment, ann, chat, decontam, hardneg, langid, linededup, mixing, pii, quality, simhash, tokens
 from logsift.llm.scratch import Scratch
 
 #: The vocabulary whose pieces are counted, one of the installed public tokenizers.
@@ -133,6 +133,13 @@ def deduplicated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", n_dropped.alias("n_dropped"), "drop", F.col("new_text").alias("text"))
 
 
+def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hardneg.usable(_table(spark, sf_dir, "embeddings"))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label")
+    integers = rows.select("vec_id", label, hardneg.quantised(F.col("embedding")).alias("vector"))
+    return hardneg.hard_negatives(integers, F.col("vec_id") % 100 == 0)
+
+
 def tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = alignment.ByteLevel.read(public_tokenizers.path(TOKENIZER_A))
     b = alignment.Pieces.read(public_tokenizers.path(TOKENIZER_B))
@@ -153,10 +160,12 @@ QUERIES: dict[str, Query] = {
     "op8_nearest_neighbours": neighbours,
     "op9_language_id": languages,
     "op10_line_dedup": deduplicated_lines,
+    "op12_hard_negatives": hard_negatives,
     "op13_tokenizer_alignment": tokenizer_alignment,
 }
 
 ORACLE: dict[str, str] = {
     "op6_source_mixing": mixing.oracle(),
     "op7_chat_format": chat.oracle(EXTRA_CONVERSATION_SQL),
+    "op12_hard_negatives": hardneg.oracle(),
 }
