@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsift.llm import alignment, ann, chat, decontam, hardneg, langid, linededup, mixing, pii, quality, simhash, tokens
+from logsift.llm import alignment, ann, chat, decontam, hardneg, langid, linededup, mixing, pii, quality, secrets, simhash, tokens
 from logsift.llm.scratch import Scratch
 
 #: The vocabulary whose pieces are counted, one of the installed public tokenizers.
@@ -48,22 +48,30 @@ def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
 
-def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = docs.select("doc_id", pii.spans(F.col("text"), pii.fit(docs)).alias("spans"))
+def _span_digests(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """Counts of base spans, a digest of them and the list of all from ``(doc_id, spans)``."""
     base = F.filter("spans", lambda s: s["base"])
 
     def count_of(kind: str) -> Column:
         of_kind = F.filter("spans", lambda s: s["base"] & (s["kind"] == F.lit(kind)))
         return F.size(of_kind).cast("long").alias(f"n_{kind}")
 
-    counts = [count_of(kind) for kind in pii.BASE_KINDS]
-
     def listed(spans: Column) -> Column:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
     digest = F.sha2(listed(base), 256).alias("base_sha256")
-    return found.select("doc_id", *counts, digest, listed(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *map(count_of, kinds), digest, listed(F.col("spans")).alias("spans"))
+
+
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _span_digests(docs.select("doc_id", pii.spans(F.col("text"), pii.fit(docs)).alias("spans")), pii.BASE_KINDS)
+
+
+def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = docs.select("doc_id", secrets.spans(F.col("text"), secrets.fit(docs)).alias("spans"))
+    return _span_digests(found, secrets.BASE_KINDS)
 
 
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,6 +168,7 @@ QUERIES: dict[str, Query] = {
     "op8_nearest_neighbours": neighbours,
     "op9_language_id": languages,
     "op10_line_dedup": deduplicated_lines,
+    "op11_secret_scan": secret_scan,
     "op12_hard_negatives": hard_negatives,
     "op13_tokenizer_alignment": tokenizer_alignment,
 }
