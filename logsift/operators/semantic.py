@@ -59,7 +59,7 @@ def _object(text: Column) -> Column:
 
 
 def _parsed(replies: DataFrame) -> DataFrame:
-    """Adds ``raw_json`` and ``object``, the one parse that everything is taken from."""
+    """Adds ``raw_json`` and ``object``."""
     return replies.withColumn("raw_json", _unfenced(F.col("reply"))).withColumn(
         "object", _object(F.col("raw_json"))
     )
@@ -107,9 +107,12 @@ def parse_analyses(replies: DataFrame) -> DataFrame:
         others("timeline", _is_map),
         others("attention_needed", lambda x: _text(x).isNotNull()),
     )
+    # A filter on the object would be pushed below the parse, which then runs twice; a
+    # generator over one object or none stays where it is.
+    found = F.explode(F.array_compact(F.array(_object(F.col("raw_json")))))
     return (
-        _parsed(replies)
-        .filter(F.col("object").isNotNull())
+        replies.select("source", _unfenced(F.col("reply")).alias("raw_json"))
+        .select("source", "raw_json", found.alias("object"))
         # Each list is taken from the variant once.
         .withColumns({name: listed(name) for name in lists})
         .select(

@@ -94,3 +94,10 @@ def test_report(replies):
         "### Semantic Analysis\n**Primary Issue**: Unknown\n**Root Cause**: Unknown\n"
         "\n**Noise Assessment**: Unknown"
     )
+
+
+def test_replies_are_parsed_once(spark):
+    replies = spark.createDataFrame([("a", "{}")], "source string, reply string")
+    for found in (semantic.parse_analyses(replies), semantic.semantic_report(semantic.parse_analyses(replies))):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("parseJson(") == 1
