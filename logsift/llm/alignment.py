@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import accumulate, count
@@ -21,11 +22,12 @@ from logsift.llm.scratch import Scratch
 
 #: Characters of the documents of one block, which one group of a shuffle holds. A longer
 #: document is a block of its own.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 8_000_000
 #: Blocks whose pairs are summed first, so that a pair of all blocks is no hot key.
 SPAN_BLOCKS = 256
-#: Characters that are encoded at once.
-_CALL_CHARS = 250_000
+#: Characters that are encoded at once, and segments that a task remembers.
+_CALL_CHARS, _KNOWN = 250_000, 400_000
+_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 Encode = Callable[[list[str]], list[list[int]]]
 
@@ -49,6 +51,12 @@ class ByteLevel:
         with open(path, encoding="utf-8") as f:
             return cls(f.read())
 
+    def cuts_at_spaces(self, pieces: list[bytes]) -> bool:
+        """Whether words are merged each by itself, a space before a word being its first byte."""
+        shape = json.loads(self.file)
+        before = shape.get("pre_tokenizer") or {}
+        return before.get("type") == "ByteLevel" and before.get("use_regex", True) and not shape.get("normalizer")
+
     def load(self) -> tuple[Encode, list[bytes]]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         tokenizer = Tokenizer.from_str(self.file)
@@ -75,6 +83,10 @@ class Pieces:
         with open(path, "rb") as f:
             return cls(f.read())
 
+    def cuts_at_spaces(self, pieces: list[bytes]) -> bool:
+        """Whether no piece holds a space behind another character, so that none spans two words."""
+        return not any(b" " in piece.lstrip(b" ") for piece in pieces)
+
     def load(self) -> tuple[Encode, list[bytes]]:
         model = sentencepiece.SentencePieceProcessor(model_proto=self.file)
 
@@ -85,14 +97,14 @@ class Pieces:
         return lambda texts: model.encode(texts, num_threads=1), [piece(i) for i in range(model.get_piece_size())]
 
 
-def slices_of(a: list[int], b: list[int], len_a: list[int], len_b: list[int]) -> list[tuple[tuple, tuple]]:
-    """The id lists cut at every byte offset where tokens of both sides end."""
+def slices_of(a: list[int], b: list[int], len_a: list[int], len_b: list[int]) -> list[tuple[int, tuple, tuple]]:
+    """The id lists cut at every byte offset where tokens of both sides end, with that offset."""
     end_a = dict(zip(accumulate(map(len_a.__getitem__, a)), count(1)))
     end_b = dict(zip(accumulate(map(len_b.__getitem__, b)), count(1)))
-    found, i, j = [], 0, 0
+    found, i, j, a, b = [], 0, 0, tuple(a), tuple(b)
     for end in sorted(end_a.keys() & end_b.keys()):
         k, m = end_a[end], end_b[end]
-        found.append((tuple(a[i:k]), tuple(b[j:m])))
+        found.append((end, a[i:k], b[j:m]))
         i, j = k, m
     return found
 
@@ -116,6 +128,80 @@ def written(a: tuple, b: tuple) -> str:
     return f"{','.join(map(str, a))}|{','.join(map(str, b))}"
 
 
+class Group:
+    """The ids of both sides between two shared ends, their links and how they are written."""
+
+    __slots__ = ("a", "b", "links", "name")
+
+    def __init__(self, a: tuple, b: tuple, len_a: list[int], len_b: list[int]) -> None:
+        self.a, self.b, self.links, self.name = a, b, links_of(a, b, len_a, len_b), written(a, b)
+
+
+class Segment:
+    """What a run of text between two cuts is under both tokenizers, one space before it."""
+
+    __slots__ = ("groups", "name")
+
+    def __init__(self, groups: list[Group]) -> None:
+        self.groups, self.name = groups, ";".join([g.name for g in groups])
+
+
+class _Segments:
+    """Segments that a task has met; of late ones at most ``_KNOWN`` and those of one call."""
+
+    def __init__(self, a: ByteLevel | Pieces, b: ByteLevel | Pieces) -> None:
+        (self.encode_a, self.bytes_a), (self.encode_b, self.bytes_b) = a.load(), b.load()
+        self.len_a, self.len_b = list(map(len, self.bytes_a)), list(map(len, self.bytes_b))
+        self.cuts = a.cuts_at_spaces(self.bytes_a) and b.cuts_at_spaces(self.bytes_b)
+        self.known: dict[str, Segment | None] = {}
+        self.groups: dict[tuple[tuple, tuple], Group] = {}
+
+    def of(self, text: str) -> list[str]:
+        """A text cut at each space between two characters that are none, where tokens of both
+        sides end; the space itself belongs to the next segment. An empty text has none."""
+        return (_CUT.split(text) if self.cuts else [text]) if text else []
+
+    def learn(self, segments: set[str]) -> None:
+        if len(self.known) > _KNOWN:
+            self.known, self.groups = {}, {}
+        fresh = [s for s in segments if s not in self.known]
+        # Joined again, segments without white space at their ends are cut at the same places.
+        joint, size = [], 0
+        for s in fresh:
+            if not self.cuts or not s.strip() == s:
+                self._learn([s])
+                continue
+            joint.append(s)
+            size += len(s)
+            if size >= _CALL_CHARS:
+                self._learn(joint)
+                joint, size = [], 0
+        if joint:
+            self._learn(joint)
+
+    def _learn(self, segments: list[str]) -> None:
+        text = " ".join(segments)
+        (a,), (b,), whole = self.encode_a([text]), self.encode_b([text]), b" " + text.encode()
+        if any(b"".join(map(t.__getitem__, ids)) != whole for t, ids in ((self.bytes_a, a), (self.bytes_b, b))):
+            # A character that a tokenizer does not give back: find the segments that hold it.
+            if len(segments) == 1:
+                self.known[text] = None
+            else:
+                half = len(segments) // 2
+                self._learn(segments[:half])
+                self._learn(segments[half:])
+            return
+        ends = accumulate(1 + len(s.encode()) for s in segments)
+        names, last, held, groups = iter(segments), next(ends), self.groups, []
+        for end, x, y in slices_of(a, b, self.len_a, self.len_b):
+            if (group := held.get((x, y))) is None:
+                group = held[x, y] = Group(x, y, self.len_a, self.len_b)
+            groups.append(group)
+            if end == last:
+                self.known[next(names)] = Segment(groups)
+                last, groups = next(ends, -1), []
+
+
 _IDS = pa.list_(pa.int32())
 _GROUPS = pa.list_(pa.struct([("a", _IDS), ("b", _IDS)]))
 #: A row per document and one per block, which has no document and holds the block's pairs.
@@ -124,67 +210,88 @@ _BLOCK_ROW = pa.schema(
         ("block", pa.int64()), ("is_doc", pa.bool_()), ("doc_id", pa.int64()),
         ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()),
         ("groups_sha256", pa.string()), ("groups", _GROUPS),
-        ("slice", _IDS), ("times", _IDS),  # of a document: its slices; of a block: slice and pair of each link
+        ("segment", _IDS), ("times", _IDS),  # of a document: its segments; of a block: segment and pair of each link
         ("a", _IDS), ("b", _IDS), ("n", pa.list_(pa.int64())),  # of a block: ids and count of its pairs
     ]
 )
 _BLOCK_SQL = (
     "block long, is_doc boolean, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
-    "groups array<struct<a: array<int>, b: array<int>>>, slice array<int>, times array<int>, "
+    "groups array<struct<a: array<int>, b: array<int>>>, segment array<int>, times array<int>, "
     "a array<int>, b array<int>, n array<long>"
 )
 
 
+class _Numbers(dict):
+    """Segments numbered in the order in which they are asked for."""
+
+    def __init__(self, segments: _Segments) -> None:
+        super().__init__()
+        self.segments, self.found = segments, []
+        self.bad: set[int] = set()
+
+    def __missing__(self, text: str) -> int:
+        number = self[text] = len(self.found)
+        segment = self.segments.known[text]
+        if segment is None:
+            self.bad.add(number)
+        self.found.append(segment or Segment([]))
+        return number
+
+
 class _Block:
-    """Documents whose distinct slices and pairs are numbered together."""
-
-    def __init__(self, number: int, with_groups: bool, len_a: list[int], len_b: list[int]) -> None:
-        self.number, self.with_groups, self.len_a, self.len_b = number, with_groups, len_a, len_b
-        self.slices: dict[tuple, int] = {}
-        self.names: list[str] = []
-        self.n_links: list[int] = []
-        self.pairs: dict[tuple[int, int], int] = {}
-        self.link_slice: list[int] = []
-        self.link_pair: list[int] = []
+    """Documents whose distinct segments and pairs are numbered together."""
+
+    def __init__(self, number: int, with_groups: bool, segments: _Segments) -> None:
+        self.number, self.with_groups = number, with_groups
+        self.numbers = _Numbers(segments)
         self.rows: list[dict] = []
         self.chars = 0
 
-    def add(self, doc_id: int | None, a: list[int], b: list[int], chars: int) -> None:
-        cut = slices_of(a, b, self.len_a, self.len_b)
-        at = [self.slices[s] if s in self.slices else self._number(s) for s in cut]
-        numbers, times = np.unique(np.array(at, np.int32), return_counts=True)
-        text = ";".join(map(self.names.__getitem__, at))
-        self.rows.append(
-            {
-                "block": self.number, "is_doc": True, "doc_id": doc_id, "n_a": len(a), "n_b": len(b),
-                "n_groups": len(cut), "n_links": sum(map(self.n_links.__getitem__, at)),
-                "groups_sha256": hashlib.sha256(text.encode()).hexdigest() if cut else "",
-                "groups": [{"a": x, "b": y} for x, y in cut] if self.with_groups else None,
-                "slice": numbers, "times": times.astype(np.int32),
-            }
-        )
+    def add(self, doc_id: int | None, segments: list[str], chars: int) -> None:
+        at = [self.numbers[s] for s in segments]
+        if self.numbers.bad and not self.numbers.bad.isdisjoint(at):
+            at = []
+        found = self.numbers.found
+        text = ";".join([found[k].name for k in at])
+        row = {"block": self.number, "is_doc": True, "doc_id": doc_id}
+        row["groups_sha256"] = hashlib.sha256(text.encode()).hexdigest() if at else ""
+        if self.with_groups:
+            row["groups"] = [{"a": g.a, "b": g.b} for k in at for g in found[k].groups]
+        row["segment"], times = np.unique(np.array(at, np.int32), return_counts=True)
+        row["times"] = times.astype(np.int32)
+        self.rows.append(row)
         self.chars += chars
 
-    def _number(self, cut: tuple) -> int:
-        number = self.slices[cut] = len(self.slices)
-        self.names.append(written(*cut))
-        links = links_of(*cut, self.len_a, self.len_b)
-        self.n_links.append(len(links))
-        for pair in links:
-            self.link_slice.append(number)
-            self.link_pair.append(self.pairs.setdefault(pair, len(self.pairs)))
-        return number
-
     def batch(self) -> pa.RecordBatch:
-        times = np.zeros(len(self.slices), np.int64)
+        found = self.numbers.found
+        # How many tokens, groups and links each segment has, from those of its distinct groups.
+        numbers: dict[Group, int] = {}
+        group_of = np.array([numbers.setdefault(g, len(numbers)) for s in found for g in s.groups], np.int64)
+        sizes = np.array([len(s.groups) for s in found], np.int64)
+        segment_of = np.repeat(np.arange(len(found)), sizes)
+        per_group = np.array([[len(g.a), len(g.b), 1, len(g.links)] for g in numbers], np.int64).reshape(-1, 4)
+        sums = np.zeros((len(found), 4), np.int64)
+        np.add.at(sums, segment_of, per_group[group_of])
+        times = np.zeros(len(found), np.int64)
         for row in self.rows:
-            times[row["slice"]] += row["times"]
-        totals = np.bincount(self.link_pair, times[self.link_slice], len(self.pairs)) if self.pairs else np.zeros(0)
-        pairs = np.array(list(self.pairs), np.int32).reshape(-1, 2)
+            times[row["segment"]] += row["times"]
+            row["n_a"], row["n_b"], row["n_groups"], row["n_links"] = (row["times"] @ sums[row["segment"]]).tolist()
+        # Segments that only documents without tokens hold link nothing.
+        used = times[segment_of] > 0
+        group_of, segment_of = group_of[used], segment_of[used]
+        pairs: dict[tuple[int, int], int] = {}
+        links = [np.array([pairs.setdefault(pair, len(pairs)) for pair in g.links], np.int32) for g in numbers]
+        link_pair = np.concatenate([links[g] for g in group_of.tolist()]) if len(group_of) else np.zeros(0, np.int32)
+        link_segment = np.repeat(segment_of, per_group[group_of, 3]).astype(np.int32)
+        # Pairs of groups that are not used are not counted.
+        seen, link_pair = np.unique(link_pair, return_inverse=True)
+        ids = np.array(list(pairs), np.int32).reshape(-1, 2)[seen]
+        link_pair = link_pair.astype(np.int32)
+        totals = np.bincount(link_pair, times[link_segment], len(ids))
         self.rows.append(
             {
-                "block": self.number, "is_doc": False, "slice": self.link_slice, "times": self.link_pair,
-                "a": pairs[:, 0], "b": pairs[:, 1], "n": totals.astype(np.int64),
+                "block": self.number, "is_doc": False, "segment": link_segment, "times": link_pair,
+                "a": ids[:, 0], "b": ids[:, 1], "n": totals.astype(np.int64),
             }
         )
         columns = [pa.array([row.get(f.name) for row in self.rows], f.type) for f in _BLOCK_ROW]
@@ -211,17 +318,16 @@ def _blocks(docs: DataFrame, a: ByteLevel | Pieces, b: ByteLevel | Pieces, with_
     sent_a, sent_b = (docs.sparkSession.sparkContext.broadcast(x) for x in (a, b))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (encode_a, bytes_a), (encode_b, bytes_b) = sent_a.value.load(), sent_b.value.load()
-        len_a, len_b = list(map(len, bytes_a)), list(map(len, bytes_b))
+        known = _Segments(sent_a.value, sent_b.value)
         numbers = count(TaskContext.get().partitionId() << 32)
         block = None
         for batch in batches:
             for ids, texts in _calls(batch):
-                for doc_id, text, x, y in zip(ids, texts, encode_a(texts), encode_b(texts)):
-                    block = block or _Block(next(numbers), with_groups, len_a, len_b)
-                    whole = b" " + text.encode()
-                    same = text and all(b"".join(map(t.__getitem__, z)) == whole for t, z in ((bytes_a, x), (bytes_b, y)))
-                    block.add(doc_id, x if same else [], y if same else [], len(text) + 1)
+                cut = [known.of(text) for text in texts]
+                known.learn(set().union(*cut))
+                for doc_id, text, segments in zip(ids, texts, cut):
+                    block = block or _Block(next(numbers), with_groups, known)
+                    block.add(doc_id, segments, len(text) + 1)
                     if block.chars >= block_chars:
                         yield block.batch()
                         block = None
@@ -239,15 +345,15 @@ def _summed(group: pa.Table, of_pairs: pa.Table) -> pa.Table:
     values = np.zeros((2, len(pair)), np.int64)
     values[0, pair] = of_pairs.column("pair_count").to_numpy()
     values[1, pair] = of_pairs.column("is_best").to_numpy()
-    link_slice, link_pair = (header.column(c).combine_chunks().flatten().to_numpy() for c in ("slice", "times"))
-    of_slice = np.zeros((2, int(link_slice.max()) + 1 if len(link_slice) else 0), np.int64)
+    link_segment, link_pair = (header.column(c).combine_chunks().flatten().to_numpy() for c in ("segment", "times"))
+    of_segment = np.zeros((2, int(link_segment.max()) + 1 if len(link_segment) else 0), np.int64)
     for k in range(2):
-        np.add.at(of_slice[k], link_slice, values[k, link_pair])
-    flat, times = (docs.column(c).combine_chunks().flatten().to_numpy() for c in ("slice", "times"))
-    owner = np.repeat(np.arange(docs.num_rows), docs.column("n_slices").to_numpy())
+        np.add.at(of_segment[k], link_segment, values[k, link_pair])
+    flat, times = (docs.column(c).combine_chunks().flatten().to_numpy() for c in ("segment", "times"))
+    owner = np.repeat(np.arange(docs.num_rows), docs.column("n_segments").to_numpy())
     sums = np.zeros((2, docs.num_rows), np.int64)
     for k in range(2):
-        np.add.at(sums[k], owner, of_slice[k, flat] * times)
+        np.add.at(sums[k], owner, of_segment[k, flat] * times)
     out = docs.select(_KEPT).append_column("n_best", pa.array(sums[1])).append_column("count_sum", pa.array(sums[0]))
     return out
 
@@ -274,8 +380,9 @@ def align(
     groups_sha256, and with ``groups`` the id lists of every group. ``pairs`` holds id_a, id_b,
     pair_count (links in all documents) and is_best (no pair of its id_b counts more).
 
-    Tasks number the distinct slices of a block of documents and write, for each document, how
-    often it has which, and, for the block, its pairs. Counting shuffles one row for each pair
+    Where no token of either side spans two words, a text is cut at its single spaces, and equal
+    segments are encoded and aligned once. Tasks number the distinct segments of a block of
+    documents and write, for each document, how often it has which, and, for the block, its pairs. Counting shuffles one row for each pair
     of a block. Values return to a block in two steps, over spans of blocks, so a pair that
     all documents hold has a row per span and not one per document.
 
@@ -302,7 +409,7 @@ def align(
     values = held.join(known, ["span", "id_a", "id_b"]).select(
         F.col("block").alias("of_block"), "pair", "pair_count", F.col("is_best").cast("long").alias("is_best")
     )
-    given = rows.select("block", "is_doc", *_KEPT, "slice", "times", F.size("slice").alias("n_slices"))
+    given = rows.select("block", "is_doc", *_KEPT, "segment", "times", F.size("segment").alias("n_segments"))
     summed = given.groupBy("block").cogroup(values.groupBy("of_block")).applyInArrow(
         _summed,
         "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
