@@ -46,6 +46,15 @@ def line_groups(lines: DataFrame) -> DataFrame:
     )
 
 
+def merged_groups(groups: DataFrame) -> DataFrame:
+    """Line groups of parts of a source as those of the whole; numbers only, by their key."""
+    sums = [F.sum(name).alias(name) for name in ("n", *(f"n_{level}" for level in cat.LEVELS))]
+    ends = [F.min("first_line").alias("first_line"), F.max("rank").alias("rank")]
+    ends += [F.min("first_ts_line").alias("first_ts_line"), F.max("last_ts_line").alias("last_ts_line")]
+    merged = groups.groupBy("source", "kind", "template").agg(*sums, *ends)
+    return merged.select(groups.columns)
+
+
 def templates_of(groups: DataFrame) -> DataFrame:
     """``(source, template, n, severity, first_line)`` from line groups."""
     return groups.filter(F.col("kind") == "text").select(

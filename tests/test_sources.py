@@ -238,8 +238,10 @@ def test_many_small_sources_take_few_folders(spark, triage, tmp_path):
 
 def test_stored_lines_are_read_by_bucket(triage):
     triage.ingest(log_text=LOG, label="a")
+    triage.ingest(log_text=LOG, label="b")
     plan = triage.get_lines("a", severity="error")._jdf.queryExecution().toString()
-    assert "PartitionFilters: [isnotnull(bucket" in plan and "EqualTo(batch," in plan
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "EqualTo(source,a)" in plan
+    assert "InMemoryFileIndex(1 paths)" in plan
 
 
 def test_compressed_file_becomes_many_chunks(spark, tmp_path, monkeypatch):
