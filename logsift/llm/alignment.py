@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
 import re
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import accumulate, count
@@ -25,8 +27,8 @@ from logsift.llm.scratch import Scratch
 BLOCK_CHARS = 8_000_000
 #: Blocks whose pairs are summed first, so that a pair of all blocks is no hot key.
 SPAN_BLOCKS = 256
-#: Characters that are encoded at once, and segments that a task remembers.
-_CALL_CHARS, _KNOWN = 250_000, 400_000
+#: Characters that are encoded at once, and half of the segments that a task remembers.
+_CALL_CHARS, _KNOWN = 250_000, 160_000
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 Encode = Callable[[list[str]], list[list[int]]]
@@ -97,16 +99,16 @@ class Pieces:
         return lambda texts: model.encode(texts, num_threads=1), [piece(i) for i in range(model.get_piece_size())]
 
 
-def slices_of(a: list[int], b: list[int], len_a: list[int], len_b: list[int]) -> list[tuple[int, tuple, tuple]]:
-    """The id lists cut at every byte offset where tokens of both sides end, with that offset."""
+def slices_of(
+    a: list[int], b: list[int], len_a: list[int], len_b: list[int]
+) -> tuple[list[int], list[tuple[tuple, tuple]]]:
+    """Byte offsets where tokens of both sides end, and the id lists cut there."""
     end_a = dict(zip(accumulate(map(len_a.__getitem__, a)), count(1)))
     end_b = dict(zip(accumulate(map(len_b.__getitem__, b)), count(1)))
-    found, i, j, a, b = [], 0, 0, tuple(a), tuple(b)
-    for end in sorted(end_a.keys() & end_b.keys()):
-        k, m = end_a[end], end_b[end]
-        found.append((end, a[i:k], b[j:m]))
-        i, j = k, m
-    return found
+    ends = sorted(end_a.keys() & end_b.keys())
+    at_a, at_b = (list(map(end.__getitem__, ends)) for end in (end_a, end_b))
+    a, b = tuple(a), tuple(b)
+    return ends, [(a[i:k], b[j:m]) for i, k, j, m in zip([0, *at_a], at_a, [0, *at_b], at_b)]
 
 
 def links_of(a: tuple, b: tuple, len_a: list[int], len_b: list[int]) -> list[tuple[int, int]]:
@@ -147,13 +149,14 @@ class Segment:
 
 
 class _Segments:
-    """Segments that a task has met; of late ones at most ``_KNOWN`` and those of one call."""
+    """Segments that a task has met of late; those not met again are forgotten in turn."""
 
     def __init__(self, a: ByteLevel | Pieces, b: ByteLevel | Pieces) -> None:
         (self.encode_a, self.bytes_a), (self.encode_b, self.bytes_b) = a.load(), b.load()
         self.len_a, self.len_b = list(map(len, self.bytes_a)), list(map(len, self.bytes_b))
         self.cuts = a.cuts_at_spaces(self.bytes_a) and b.cuts_at_spaces(self.bytes_b)
         self.known: dict[str, Segment | None] = {}
+        self.older: dict[str, Segment | None] = {}
         self.groups: dict[tuple[tuple, tuple], Group] = {}
 
     def of(self, text: str) -> list[str]:
@@ -163,8 +166,14 @@ class _Segments:
 
     def learn(self, segments: set[str]) -> None:
         if len(self.known) > _KNOWN:
-            self.known, self.groups = {}, {}
-        fresh = [s for s in segments if s not in self.known]
+            self.known, self.older = {}, self.known
+            self.groups = {}
+        fresh = []
+        for s in segments - self.known.keys():
+            if s in self.older:
+                self.known[s] = self.older[s]
+            else:
+                fresh.append(s)
         # Joined again, segments without white space at their ends are cut at the same places.
         joint, size = [], 0
         for s in fresh:
@@ -191,15 +200,18 @@ class _Segments:
                 self._learn(segments[:half])
                 self._learn(segments[half:])
             return
-        ends = accumulate(1 + len(s.encode()) for s in segments)
-        names, last, held, groups = iter(segments), next(ends), self.groups, []
-        for end, x, y in slices_of(a, b, self.len_a, self.len_b):
-            if (group := held.get((x, y))) is None:
-                group = held[x, y] = Group(x, y, self.len_a, self.len_b)
+        ends, slices = slices_of(a, b, self.len_a, self.len_b)
+        held, groups = self.groups, []
+        for key in slices:
+            if (group := held.get(key)) is None:
+                group = held[key] = Group(*key, self.len_a, self.len_b)
             groups.append(group)
-            if end == last:
-                self.known[next(names)] = Segment(groups)
-                last, groups = next(ends, -1), []
+        # The end of every segment is one of both sides.
+        place, start = dict(zip(ends, count(1))), 0
+        for name, end in zip(segments, accumulate(1 + len(s.encode()) for s in segments)):
+            stop = place[end]
+            self.known[name] = Segment(groups[start:stop])
+            start = stop
 
 
 _IDS = pa.list_(pa.int32())
@@ -210,17 +222,30 @@ _BLOCK_ROW = pa.schema(
         ("block", pa.int64()), ("is_doc", pa.bool_()), ("doc_id", pa.int64()),
         ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()),
         ("groups_sha256", pa.string()), ("groups", _GROUPS),
-        ("segment", _IDS), ("times", _IDS),  # of a document: its segments; of a block: segment and pair of each link
+        # Of a document its segments and how often it has them, of a block the segment and pair of each link.
+        ("held", pa.binary()),
         ("a", _IDS), ("b", _IDS), ("n", pa.list_(pa.int64())),  # of a block: ids and count of its pairs
     ]
 )
 _BLOCK_SQL = (
     "block long, is_doc boolean, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
-    "groups array<struct<a: array<int>, b: array<int>>>, segment array<int>, times array<int>, "
-    "a array<int>, b array<int>, n array<long>"
+    "groups array<struct<a: array<int>, b: array<int>>>, held binary, a array<int>, b array<int>, n array<long>"
 )
 
 
+def packed(numbers: np.ndarray, values: np.ndarray) -> bytes:
+    """Two equally long arrays, the first one ascending, as differences, byte planes and zlib."""
+    both = np.concatenate([np.diff(numbers, prepend=0), values]).astype("<u4")
+    return zlib.compress(both.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpacked(held: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zlib.decompress(held), np.uint8).reshape(4, -1)
+    both = np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+    half = len(both) // 2
+    return np.cumsum(both[:half]), both[half:]
+
+
 class _Numbers(dict):
     """Segments numbered in the order in which they are asked for."""
 
@@ -245,6 +270,7 @@ class _Block:
         self.number, self.with_groups = number, with_groups
         self.numbers = _Numbers(segments)
         self.rows: list[dict] = []
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
         self.chars = 0
 
     def add(self, doc_id: int | None, segments: list[str], chars: int) -> None:
@@ -257,9 +283,8 @@ class _Block:
         row["groups_sha256"] = hashlib.sha256(text.encode()).hexdigest() if at else ""
         if self.with_groups:
             row["groups"] = [{"a": g.a, "b": g.b} for k in at for g in found[k].groups]
-        row["segment"], times = np.unique(np.array(at, np.int32), return_counts=True)
-        row["times"] = times.astype(np.int32)
         self.rows.append(row)
+        self.held.append(np.unique(np.array(at, np.int64), return_counts=True))
         self.chars += chars
 
     def batch(self) -> pa.RecordBatch:
@@ -273,9 +298,10 @@ class _Block:
         sums = np.zeros((len(found), 4), np.int64)
         np.add.at(sums, segment_of, per_group[group_of])
         times = np.zeros(len(found), np.int64)
-        for row in self.rows:
-            times[row["segment"]] += row["times"]
-            row["n_a"], row["n_b"], row["n_groups"], row["n_links"] = (row["times"] @ sums[row["segment"]]).tolist()
+        for row, (numbers_of, times_of) in zip(self.rows, self.held):
+            times[numbers_of] += times_of
+            row["n_a"], row["n_b"], row["n_groups"], row["n_links"] = (times_of @ sums[numbers_of]).tolist()
+            row["held"] = packed(numbers_of, times_of)
         # Segments that only documents without tokens hold link nothing.
         used = times[segment_of] > 0
         group_of, segment_of = group_of[used], segment_of[used]
@@ -290,7 +316,7 @@ class _Block:
         totals = np.bincount(link_pair, times[link_segment], len(ids))
         self.rows.append(
             {
-                "block": self.number, "is_doc": False, "segment": link_segment, "times": link_pair,
+                "block": self.number, "is_doc": False, "held": packed(link_segment, link_pair),
                 "a": ids[:, 0], "b": ids[:, 1], "n": totals.astype(np.int64),
             }
         )
@@ -318,6 +344,13 @@ def _blocks(docs: DataFrame, a: ByteLevel | Pieces, b: ByteLevel | Pieces, with_
     sent_a, sent_b = (docs.sparkSession.sparkContext.broadcast(x) for x in (a, b))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # many small objects, none in cycles
+        try:
+            yield from encoded(batches)
+        finally:
+            gc.enable()
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Segments(sent_a.value, sent_b.value)
         numbers = count(TaskContext.get().partitionId() << 32)
         block = None
@@ -345,15 +378,14 @@ def _summed(group: pa.Table, of_pairs: pa.Table) -> pa.Table:
     values = np.zeros((2, len(pair)), np.int64)
     values[0, pair] = of_pairs.column("pair_count").to_numpy()
     values[1, pair] = of_pairs.column("is_best").to_numpy()
-    link_segment, link_pair = (header.column(c).combine_chunks().flatten().to_numpy() for c in ("segment", "times"))
+    link_segment, link_pair = unpacked(header.column("held")[0].as_py())
     of_segment = np.zeros((2, int(link_segment.max()) + 1 if len(link_segment) else 0), np.int64)
     for k in range(2):
         np.add.at(of_segment[k], link_segment, values[k, link_pair])
-    flat, times = (docs.column(c).combine_chunks().flatten().to_numpy() for c in ("segment", "times"))
-    owner = np.repeat(np.arange(docs.num_rows), docs.column("n_segments").to_numpy())
     sums = np.zeros((2, docs.num_rows), np.int64)
-    for k in range(2):
-        np.add.at(sums[k], owner, of_segment[k, flat] * times)
+    for k, held in enumerate(docs.column("held")):
+        numbers, times = unpacked(held.as_py())
+        sums[:, k] = of_segment[:, numbers] @ times
     out = docs.select(_KEPT).append_column("n_best", pa.array(sums[1])).append_column("count_sum", pa.array(sums[0]))
     return out
 
@@ -409,7 +441,7 @@ def align(
     values = held.join(known, ["span", "id_a", "id_b"]).select(
         F.col("block").alias("of_block"), "pair", "pair_count", F.col("is_best").cast("long").alias("is_best")
     )
-    given = rows.select("block", "is_doc", *_KEPT, "segment", "times", F.size("segment").alias("n_segments"))
+    given = rows.select("block", "is_doc", *_KEPT, "held")
     summed = given.groupBy("block").cogroup(values.groupBy("of_block")).applyInArrow(
         _summed,
         "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "

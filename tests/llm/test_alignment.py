@@ -135,7 +135,7 @@ def test_slices_by_hand():
     # Bytes " abcd": one side cuts " a|bc|d", the other " a|b|cd".
     lengths = [2, 2, 1, 1, 2]
     cut = alignment.slices_of([0, 1, 2], [0, 3, 4], lengths, lengths)
-    assert cut == [(2, (0,), (0,)), (5, (1, 2), (3, 4))]
+    assert cut == ([2, 5], [((0,), (0,)), ((1, 2), (3, 4))])
     assert alignment.links_of((1, 2), (3, 4), lengths, lengths) == [(1, 3), (1, 4), (2, 4)]
 
 
