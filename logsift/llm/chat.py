@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logsift.llm.scratch import Scratch
+
 # Marks of the template.
 ROLE, TEXT, END = "<|role|>", "<|text|>", "</s>"
 #: Strings that steer a model or this template, and how they are written inside texts.
@@ -74,13 +76,12 @@ def text_of(formatted: Column) -> Column:
     return unescaped(F.left(marked, F.length(marked) - len(END)))
 
 
-def examples(turns: DataFrame) -> DataFrame:
-    """One example for each trained turn of ``formatted_turns``.
+def replies(turns: DataFrame) -> DataFrame:
+    """One row for each trained turn of ``formatted_turns``, which becomes an example.
 
     The context is the stream before the turn, ``context_chars`` long and ``context_turns``
-    turns; it is named by its end and not written out, as all contexts of a conversation are
-    prefixes of one stream and their sum grows with the square of its turns. ``reply`` is the
-    formatted turn; the loss mask covers ``loss_start`` to ``loss_end`` of context and reply.
+    turns. ``reply`` is the formatted turn; the loss mask covers the characters of context
+    and reply from ``loss_start`` to ``loss_end``, which is exclusive.
     """
     text_at = F.length(F.split_part("formatted", F.lit(TEXT), F.lit(1))) + len(TEXT)
     return turns.where("trained").select(
@@ -90,16 +91,34 @@ def examples(turns: DataFrame) -> DataFrame:
     )
 
 
-def written_out(turns: DataFrame, chosen: DataFrame) -> DataFrame:
-    """``(conv_id, seq, example)``: chosen examples with their whole context as text.
+def examples(turns: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(conv_id, block, seq, example, loss_start, loss_end)``: every trained turn with its context.
 
-    Grows with the square of a conversation's turns; meant for the examples of one batch.
+    All contexts of a conversation are prefixes of its stream, so the stream is joined once to
+    the narrow rows of its replies, and each row cuts its example from it: what is shuffled
+    grows with the turns, while the examples, which together grow with the square of a
+    conversation's turns, exist one at a time in the task that reads them. The streams are
+    written first, so that Spark splits the replies of a long conversation.
     """
-    of = chosen.select(F.col("conv_id").alias("c"), F.col("seq").alias("upto"))
-    joined = turns.join(of, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("seq") <= F.col("upto")))
-    parts = F.sort_array(F.collect_list(F.struct("seq", "formatted")))
-    text = joined.groupBy("conv_id", "upto").agg(F.array_join(parts["formatted"], "").alias("example"))
-    return text.withColumnRenamed("upto", "seq")
+    streams = in_order(turns, F.col("formatted")).select(F.col("conv_id").alias("c"), "joined")
+    streams = scratch.table(streams, "streams")
+    narrow = replies(turns).select(
+        "conv_id", "block", "seq", (F.col("context_chars") + F.length("reply")).alias("size"), "loss_start", "loss_end"
+    )
+    joined = narrow.join(streams, F.col("conv_id").eqNullSafe(F.col("c")))
+    example = F.left("joined", F.col("size").cast("int")).alias("example")
+    return joined.select("conv_id", "block", "seq", example, "loss_start", "loss_end")
+
+
+def under_mask(example: Column, loss_start: Column, loss_end: Column) -> Column:
+    """The text that an example's loss mask covers, unescaped."""
+    return unescaped(F.substr(example, (loss_start + 1).cast("int"), (loss_end - loss_start).cast("int")))
+
+
+def turns_in(example: Column) -> Column:
+    """How many turns an example holds; no text holds the mark that ends them."""
+    without = F.length(F.replace(example, F.lit(END), F.lit("")))
+    return ((F.length(example) - without) / len(END)).cast("long")
 
 
 def in_order(rows: DataFrame, text: Column) -> DataFrame:
@@ -126,12 +145,14 @@ def oracle(extra: str) -> str:
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
   FROM (SELECT conv_id, turn, role, text FROM conversations UNION ALL {extra})),
 f AS (SELECT *, CAST(length('{ROLE}' || {esc("role")} || '{TEXT}' || {esc("text")} || '{END}') AS BIGINT) AS size FROM c),
-w AS (SELECT *, sum(size) OVER (PARTITION BY conv_id {order} ROWS UNBOUNDED PRECEDING) AS upto FROM f)
+w AS (SELECT *, sum(size) OVER (PARTITION BY conv_id {order} ROWS UNBOUNDED PRECEDING) AS upto,
+  row_number() OVER (PARTITION BY conv_id {order}) - 1 AS before FROM f)
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' {order})) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = '{TRAINED_ROLE}'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' {order}) FILTER (role = '{TRAINED_ROLE}'), '')) AS loss_sha256,
   CAST(sum(size) AS BIGINT) AS formatted_chars,
   count(*) FILTER (role = '{TRAINED_ROLE}') AS n_examples,
-  CAST(coalesce(sum(upto) FILTER (role = '{TRAINED_ROLE}'), 0) AS BIGINT) AS example_chars
+  CAST(coalesce(sum(upto) FILTER (role = '{TRAINED_ROLE}'), 0) AS BIGINT) AS example_chars,
+  CAST(coalesce(sum(before) FILTER (role = '{TRAINED_ROLE}'), 0) AS BIGINT) AS context_turns
 FROM w GROUP BY conv_id"""

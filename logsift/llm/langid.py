@@ -12,12 +12,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from logsift.llm.scratch import Scratch
+
 #: Words of one chain. Longer texts are several chains.
 CHAIN_WORDS = 64
 #: Training chains per language, one per document: the bound of the fitting sample.
 FIT_CHAINS = 1_500
-#: Words of the lexicon, the most frequent ones of all training documents, and their length.
-LEXICON_WORDS, LEXICON_LETTERS = 20_000, 6
+#: Words of the lexicon for each language, its most frequent ones in all training documents.
+LEXICON_WORDS = 5_000
+#: Share of documents of known languages that the least score lets through.
+KEPT = 0.999
 #: Weight rows for each n-gram length.
 BUCKETS = 1 << 15
 UNKNOWN = "und"
@@ -247,17 +251,21 @@ def _normal(text: Column) -> Column:
 def fit(docs: DataFrame, fit_chains: int = FIT_CHAINS, lexicon_words: int = LEXICON_WORDS) -> Model:
     """A model of ``docs(doc_id, text, lang)``; rows without text or lang are passed over.
 
-    The lexicon counts the words of all rows. The weights are fitted on at most
+    The lexicon counts the words of all rows and holds the ``lexicon_words`` most frequent ones
+    of each language, so that no language fills it alone. The weights are fitted on at most
     ``fit_chains`` chains of each language: one chain of each document, drawn by hash.
     """
+    scratch = Scratch(docs.sparkSession)
     known = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
     sizes = {row.lang: row.n for row in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
-    words = known.select("lang", F.explode(F.split(_normal(F.col("text")), " ")).alias("word"))
-    short = words.where(F.length("word").between(1, LEXICON_LETTERS))
-    counts = [F.count(F.when(F.col("lang") == lang, 1)).alias(f"n{k}") for k, lang in enumerate(languages)]
-    top = short.groupBy("word").agg(F.count("*").alias("n"), *counts) if languages else None
-    rows = top.orderBy(F.desc("n"), "word").limit(lexicon_words).collect() if languages else []
+    words = known.select("lang", F.explode(F.split(_normal(F.col("text")), " ")).alias("word")).where("word <> ''")
+    counts = scratch.table(words.groupBy("lang", "word").agg(F.count("*").alias("n")), "counts")
+    most = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    top = counts.withColumn("rank", F.row_number().over(most)).where(F.col("rank") <= lexicon_words)
+    top = scratch.table(top.select(F.col("word").alias("of")).distinct(), "top")
+    # At most lexicon_words for each language, and a count of each in every language.
+    rows = counts.join(top, F.col("word") == F.col("of")).select("word", "lang", "n").orderBy("word", "lang").collect()
     draw = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30))
     share = F.lit(0)
     for lang, n in sizes.items():
@@ -269,15 +277,19 @@ def fit(docs: DataFrame, fit_chains: int = FIT_CHAINS, lexicon_words: int = LEXI
     sample = split.select("lang", "draw", "doc_id", chain.alias("chain")).where("chain <> ''")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id", "chain"))
     chains = sample.withColumn("rank", rank).where(F.col("rank") <= fit_chains).orderBy("lang", "rank").collect()
-    return _train([(row.lang, row.chain) for row in chains], languages, _lexicon(rows, len(languages)))
-
-
-def _lexicon(rows, labels: int) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes and centred log shares, clipped."""
-    if not rows:
-        return np.zeros(0, np.uint64), np.zeros((0, labels), np.float32)
-    hashes = Words.of("".join(" " + row.word for row in rows).encode()).hashes
-    counts = np.array([[row[f"n{k}"] for k in range(labels)] for row in rows], float) + 0.5
+    return _train([(row.lang, row.chain) for row in chains], languages, _lexicon(rows, languages))
+
+
+def _lexicon(rows, languages: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes and centred log shares, clipped, from rows of ``word, lang, n`` by word."""
+    words = sorted({row.word for row in rows})
+    if not words:
+        return np.zeros(0, np.uint64), np.zeros((0, len(languages)), np.float32)
+    hashes = Words.of("".join(" " + word for word in words).encode()).hashes
+    counts = np.full((len(words), len(languages)), 0.5)
+    at, number = {word: k for k, word in enumerate(words)}, {lang: k for k, lang in enumerate(languages)}
+    for row in rows:
+        counts[at[row.word], number[row.lang]] += row.n
     logs = np.log(counts / counts.sum(axis=0))
     scores = np.clip(logs - logs.mean(axis=1, keepdims=True), -4, 4).astype(np.float32)
     hashes, first = np.unique(hashes, return_index=True)
@@ -303,11 +315,23 @@ def language(text: Column, model: Model) -> Column:
     return guess(text)
 
 
-def labelled_documents(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
+def least_score(docs: DataFrame, model: Model, kept: float = KEPT) -> float:
+    """The score that ``kept`` of the rows of ``docs(text, lang)`` reach whose language is found.
+
+    Meant for rows that the model was not fitted on. Without such rows no score is too low.
+    """
+    guess = language(F.col("text"), model)
+    known = docs.where("lang is not null").select("lang", guess.alias("guess")).where("guess.lang = lang")
+    found = known.agg(F.percentile_approx("guess.score", 1 - kept, 1_000_000)).first()[0]
+    return 0.0 if found is None else found
+
+
+def labelled_documents(docs: DataFrame, model: Model, least: float) -> DataFrame:
     """Rows of ``docs``, columns unchanged, in a language of the model.
 
-    Texts without letters go, and those in which no language reaches ``least``.
+    Texts without letters go, and those in which no language reaches ``least``, as texts in a
+    language that was not learned do.
     """
     rows = docs.select(F.struct("*").alias("row"))
     guess = language(F.col("row.text"), model)
-    return rows.withColumn("guess", guess).where(F.col("guess.score") >= least).select("row.*")
+    return rows.withColumn("guess", guess).where((F.col("guess.score") >= least) & (F.col("guess.score") > 0)).select("row.*")

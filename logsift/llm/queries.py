@@ -89,18 +89,23 @@ def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    turns = chat.formatted_turns(given.union(spark.sql(EXTRA_CONVERSATION)))
-    turns = Scratch(spark).table(turns, "turns")
-    replies = chat.examples(turns)
-    formatted = F.col("formatted")
+    scratch = Scratch(spark)
+    turns = scratch.table(chat.formatted_turns(given.union(spark.sql(EXTRA_CONVERSATION))), "turns")
+    formatted, example = F.col("formatted"), F.col("example")
     read_back = F.concat(chat.role_of(formatted), F.lit("\n"), chat.text_of(formatted), F.lit("\n"))
     texts = chat.in_order(turns, read_back).select("conv_id", F.sha2("joined", 256).alias("turns_sha256"))
-    losses = chat.in_order(replies, chat.text_of(F.col("reply")))
+    # Every example is read once: what its mask covers, its size and the turns before its reply.
+    read = chat.examples(turns, scratch).select(
+        "conv_id", "block", "seq", chat.under_mask(example, F.col("loss_start"), F.col("loss_end")).alias("loss"),
+        F.length("example").cast("long").alias("chars"), (chat.turns_in(example) - 1).alias("context"),
+    )
+    read = scratch.table(read, "read")
+    losses = chat.in_order(read, F.col("loss"))
     sums = turns.groupBy("conv_id").agg(
         F.count("*").alias("n_turns"), F.sum(F.length("formatted").cast("long")).alias("formatted_chars")
     )
-    reply_sums = replies.groupBy("conv_id").agg(
-        F.count("*").alias("n_examples"), F.sum(F.col("context_chars") + F.length("reply")).alias("example_chars")
+    read_sums = read.groupBy("conv_id").agg(
+        F.count("*").alias("n_examples"), F.sum("chars").alias("example_chars"), F.sum("context").alias("context_turns")
     )
 
     def at(table: DataFrame, name: str) -> DataFrame:
@@ -108,7 +113,7 @@ def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     same = F.col("conv_id").eqNullSafe
     all_of = sums.join(at(texts, "t"), same(F.col("t"))).join(at(losses, "l"), same(F.col("l")), "left")
-    all_of = all_of.join(at(reply_sums, "r"), same(F.col("r")), "left")
+    all_of = all_of.join(at(read_sums, "r"), same(F.col("r")), "left")
     loss = F.coalesce("joined", F.lit(""))
     return all_of.select(
         "conv_id",
@@ -117,8 +122,7 @@ def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length(loss).cast("long").alias("loss_chars"),
         F.sha2(loss, 256).alias("loss_sha256"),
         "formatted_chars",
-        F.coalesce("n_examples", F.lit(0)).cast("long").alias("n_examples"),
-        F.coalesce("example_chars", F.lit(0)).cast("long").alias("example_chars"),
+        *(F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in ("n_examples", "example_chars", "context_turns")),
     )
 
 

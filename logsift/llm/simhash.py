@@ -118,11 +118,11 @@ def spanning_links(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
 
 def _cell_links(radius: int):
     @F.pandas_udf("array<struct<a:long,b:long>>")
-    def of_cells(prints: pd.Series, ids: pd.Series) -> pd.Series:
+    def of_cells(prints: pd.Series) -> pd.Series:
         return pd.Series(
             [
-                [{"a": of[i], "b": of[j]} for i, j in spanning_links(np.asarray(x, np.int64).view(np.uint64), radius)]
-                for x, of in zip(prints, ids)
+                [{"a": x[i], "b": x[j]} for i, j in spanning_links(np.asarray(x, np.int64).view(np.uint64), radius)]
+                for x in prints
             ]
         )
 
@@ -130,9 +130,9 @@ def _cell_links(radius: int):
 
 
 def links(prints: DataFrame, radius: int = RADIUS, bands: int = BANDS, chunk: int = CELL_CHUNK) -> DataFrame:
-    """``(a, b)``: ids joined by ``prints(fp, id)`` at ``radius`` or fewer differing bits.
+    """``(a, b)``: distinct fingerprints of ``prints(fp)`` at ``radius`` or fewer differing bits.
 
-    ``fp`` is distinct. The 32 segment counts are cut into ``bands``. Counts at Manhattan
+    The 32 segment counts are cut into ``bands``. Counts at Manhattan
     distance ``radius`` or less differ in at most ``radius`` bands, so the two share a cell
     of the grid over the other bands; there are ``bands`` over ``radius`` such grids. Cells
     of more than ``chunk`` fingerprints are dealt out as pairs of chunks, each compared in
@@ -140,34 +140,38 @@ def links(prints: DataFrame, radius: int = RADIUS, bands: int = BANDS, chunk: in
     """
     counts = _unary_counts(F.col("fp"))
     cells = [F.xxhash64(F.lit(k), counts.bitwiseAND(F.lit(m))) for k, m in enumerate(grid_masks(bands, radius))]
-    placed = prints.where("id is not null").select("fp", "id", F.explode(F.array(*cells)).alias("cell"))
+    placed = prints.select("fp", F.explode(F.array(*cells)).alias("cell"))
     sizes = placed.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
     n = F.ceil(F.col("n") / chunk).cast("int")
     own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
     shared = placed.join(sizes, "cell").withColumn("chunks", n)
-    dealt = shared.select("cell", "fp", "id", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    dealt = shared.select("cell", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
     groups = dealt.groupBy("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    lists = groups.agg(F.collect_list(F.struct("fp", "id")).alias("members")).where(F.size("members") > 1)
-    found = lists.select(F.explode(_cell_links(radius)(F.col("members.fp"), F.col("members.id"))).alias("link"))
+    lists = groups.agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1)
+    found = lists.select(F.explode(_cell_links(radius)(F.col("members"))).alias("link"))
     return found.select("link.a", "link.b")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, bands: int = BANDS, chunk: int = CELL_CHUNK) -> DataFrame:
     """``(doc_id, fp, component_id)``, one row per row of ``docs(doc_id, text)``.
 
-    ``component_id`` is the smallest doc_id that chains of links reach. Equal fingerprints
-    become one node first. Null and empty texts have fingerprint 0 and are linked like any
-    other. Rows with a null doc_id get the component of their fingerprint, which is null if
-    no row of the component has an id. An empty table gives an empty table.
+    ``component_id`` is the smallest doc_id that chains of links reach. Nodes are the distinct
+    fingerprints, so a row without a doc_id links its neighbours like any other. Null and
+    empty texts have fingerprint 0 and are linked like any other. Rows with a null doc_id get
+    the component of their fingerprint, which is null if no row of the component has an id.
+    An empty table gives an empty table.
     """
     scratch = Scratch(docs.sparkSession)
     prints = scratch.table(docs.select("doc_id", fingerprint(F.col("text")).alias("fp")), "prints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("id"))
-    nodes = scratch.table(nodes, "nodes")
+    nodes = scratch.table(prints.groupBy("fp").agg(F.min("doc_id").alias("id")), "nodes")
     found = scratch.table(links(nodes, radius, bands, chunk).distinct(), "links")
     labels = components(found, scratch)
-    named = nodes.join(labels, F.col("id") == F.col("node"), "left")
-    named = named.select("fp", F.coalesce("component", "id").alias("component_id"))
+    rooted = nodes.join(labels, F.col("fp") == F.col("node"), "left")
+    rooted = scratch.table(rooted.select("fp", "id", F.coalesce("component", "fp").alias("root")), "rooted")
+    # Written, like the aggregate in ``components``, so that a root of many fingerprints is split.
+    firsts = rooted.groupBy(F.col("root").alias("of")).agg(F.min("id").alias("component_id"))
+    firsts = scratch.table(firsts, "firsts")
+    named = rooted.join(firsts, F.col("root") == F.col("of")).select("fp", "component_id")
     return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logsift.llm import chat
+from logsift.llm.scratch import Scratch
 
 
 def one(spark, function, values):
@@ -26,7 +27,7 @@ def test_escape_is_reversible_and_leaves_no_control_string(spark):
 def digests(spark, rows):
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, seq string, block int")
     turns = chat.formatted_turns(table)
-    return turns, chat.examples(turns)
+    return turns, chat.replies(turns)
 
 
 @pytest.mark.parametrize("block", [2, 256])
@@ -60,12 +61,13 @@ def test_examples_are_prefixes_with_one_reply(spark, monkeypatch, block):
     for r in sorted(read.collect(), key=lambda r: r.seq):
         got.setdefault(r.conv_id, []).append((r.r, r.t))
     assert got == {c: [(r, t) for _, _, r, t in sorted(p)] for c, p in plain.items()}
-    whole = {(r.conv_id, r.seq): r.example for r in chat.written_out(turns, examples).collect()}
+    whole = {(r.conv_id, r.seq): r for r in chat.examples(turns, Scratch(spark)).collect()}
     found = examples.collect()
     assert len(found) == sum(r[2] == "assistant" for r in rows) == len(whole)
     for e in found:
         text = shown[e.conv_id][: e.context_chars] + e.reply
-        assert whole[e.conv_id, e.seq] == text
+        row = whole[e.conv_id, e.seq]
+        assert (row.example, row.loss_start, row.loss_end) == (text, e.loss_start, e.loss_end)
         marked = text[e.loss_start : e.loss_end]
         assert one(spark, chat.unescaped, [marked])[0] == got[e.conv_id][e.seq][1] if len(found) < 9 else True
         assert text[e.loss_end :] == chat.END and e.context_turns == e.seq
@@ -76,8 +78,31 @@ def test_in_order_joins_blocks(spark):
     turns, examples = digests(spark, rows)
     joined = chat.in_order(turns, chat.text_of(F.col("formatted"))).first().joined
     assert joined == "".join(f"{k}," for k in range(1_200))
-    losses = chat.in_order(examples, chat.text_of(F.col("reply"))).first().joined
-    assert losses == "".join(f"{k}," for k in range(0, 1_200, 2))
+    shown = chat.examples(turns, Scratch(spark))
+    loss = chat.under_mask(F.col("example"), F.col("loss_start"), F.col("loss_end"))
+    assert chat.in_order(shown, loss).first().joined == "".join(f"{k}," for k in range(0, 1_200, 2))
+    held = shown.select("seq", chat.turns_in(F.col("example")).alias("n")).collect()
+    assert all(r.n == r.seq + 1 for r in held) and len(held) == 600
+
+
+def test_a_shifted_mask_gives_another_text(spark):
+    """The loss text hangs on the mask alone: a mask that is off by one reads something else."""
+    turns, _ = digests(spark, [(1, 0, "user", "ask", "q", 3), (1, 1, "assistant", "reply", "q", 3)])
+    row = chat.examples(turns, Scratch(spark))
+    for shift, want in ((0, "reply"), (1, "eply<"), (-1, ">repl")):
+        loss = chat.under_mask(F.col("example"), F.col("loss_start") + shift, F.col("loss_end") + shift)
+        assert row.select(loss.alias("x")).first().x == want
+
+
+def test_very_long_text_and_clashing_columns(spark):
+    long_text = "</s> [INST] é\\" * 40_000
+    rows = [(1, 0, "user", long_text, "q", 3), (1, 1, "assistant", long_text, "q", 3)]
+    names = "conv_id long, turn long, role string, text string, joined string, block int"
+    names += ", formatted string, example string, start int, end int"
+    table = spark.createDataFrame([(*r, "x", "y", 5, 6) for r in rows], names)
+    shown = chat.examples(chat.formatted_turns(table), Scratch(spark))
+    loss = chat.under_mask(F.col("example"), F.col("loss_start"), F.col("loss_end"))
+    assert shown.select(loss.alias("x")).collect() == [(long_text,)]
 
 
 def test_empty_table(spark):

@@ -72,7 +72,7 @@ def test_odd_rows(spark, documents, odd_rows, model):
     guess = {r.doc_id: r.g for r in rows if r.doc_id}
     assert all(guess[i].lang == "und" and guess[i].score == 0 for i in (1, 2, 3))
     assert all(r.g.lang in ("en", "es", "und") and 0 <= r.g.score <= 1 for r in rows)
-    kept = langid.labelled_documents(docs, model)
+    kept = langid.labelled_documents(docs, model, 0.3)
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} >= {4, 5, 6} and not {1, 2, 3} & {r.doc_id for r in kept.collect()}
 
@@ -89,3 +89,22 @@ def test_held_out_accuracy(spark):
     rows = found.where("held_out").collect()
     assert found.count() == docs.count()
     assert np.mean([r.lang == r.lang_pred for r in rows]) > 0.98
+
+
+def test_no_language_fills_the_lexicon(spark):
+    """A language of many words and rows leaves the words of a small one, however long."""
+    rows = [(i, " ".join(f"{chr(97 + i % 26)}{chr(97 + k)}x" for k in range(26)), "big") for i in range(400)]
+    rows += [(1_000, "donaudampfschifffahrt kapitänsmütze", "small")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(table, lexicon_words=30)
+    words = langid.Words.of(" donaudampfschifffahrt kapitänsmütze".encode())
+    assert np.isin(words.hashes, model.lexicon).all() and len(model.lexicon) == 32
+    assert model.lexicon_of(words).argmax(axis=1).tolist() == [1, 1]
+
+
+def test_least_score(spark, model):
+    rows = [(i, "one two three four " * 5, "en") for i in range(50)] + [(99, "tres one dos two", "en"), (98, None, "en")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.least_score(table, model, 0.9) > 0.8
+    assert langid.least_score(table, model, 1.0) < langid.least_score(table, model, 0.5) + 1e-9
+    assert langid.least_score(table.where("false"), model) == 0.0

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 import xxhash
 
 from logsift.llm import components, queries, simhash
@@ -67,9 +68,9 @@ def test_links_join_what_brute_force_joins(spark, chunk):
             for _ in range(rng.randint(1, 4)):
                 at ^= 1 << rng.randrange(64)
     values = sorted(prints)
-    signed = [(v - (1 << 64) if v >> 63 else v, i) for i, v in enumerate(values)]
-    table = spark.createDataFrame(signed, "fp long, id long")
-    links = simhash.links(table, chunk=chunk).distinct().collect()
+    number = {v - (1 << 64) if v >> 63 else v: i for i, v in enumerate(values)}
+    table = spark.createDataFrame([(v,) for v in number], "fp long")
+    links = [(number[a], number[b]) for a, b in simhash.links(table, chunk=chunk).distinct().collect()]
     assert all((values[a] ^ values[b]).bit_count() <= 3 for a, b in links)
     ids = range(len(values))
     got = plain_components(ids, lambda a, b, s={tuple(sorted(x)) for x in links}: (a, b) in s)
@@ -87,6 +88,20 @@ def test_components_of_paths_stars_and_loops(spark):
     assert got == want and len(rows) == len(got)
 
 
+def test_a_row_without_id_links_its_neighbours(spark, documents, monkeypatch):
+    """Fingerprints in a chain, of which only the middle one has no id."""
+    prints = {"a": 0, "b": 0b111, "c": 0b111111, "far": -1}
+    monkeypatch.setattr(simhash, "fingerprint", lambda text: F.create_map(*[F.lit(x) for kv in prints.items() for x in kv])[text].cast("long"))
+    rows = simhash.near_duplicates(documents([(3, "a"), (None, "b"), (1, "c"), (7, "far"), (None, "far")])).collect()
+    assert {(r.doc_id, r.component_id) for r in rows} == {(3, 1), (None, 1), (1, 1), (7, 7), (None, 7)}
+
+
+def test_components_of_a_large_star(spark):
+    table = spark.range(1, 100_001).selectExpr("id AS a", "0L AS b")
+    rows = components.components(table, Scratch(spark)).agg(F.count("*"), F.max("component")).first()
+    assert tuple(rows) == (100_000, 0)
+
+
 def test_odd_rows(spark, documents, odd_rows):
     rows = simhash.near_duplicates(documents(odd_rows)).collect()
     assert Counter(r.doc_id for r in rows) == Counter(i for i, _ in odd_rows)
