@@ -24,7 +24,7 @@ def spark_rows(df) -> tuple[list[tuple[str, str]], Counter]:
     return types, Counter(tuple(row[n] for n in names) for row in df.collect())
 
 
-_TYPES = {"VARCHAR": "string", "BIGINT": "bigint", "DOUBLE": "double", "BOOLEAN": "boolean"}
+_TYPES = {"VARCHAR": "string", "BIGINT": "bigint", "DOUBLE": "double", "BOOLEAN": "boolean", "INTEGER": "int"}
 
 
 def duck_rows(con, sql: str) -> tuple[list[tuple[str, str]], Counter]:
