@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logsift.functions import catalogue as cat
-from logsift.operators import drill, semantic
+from logsift.operators import drill, literals, semantic
+from logsift.operators import slices as sl
 from logsift.operators import templates as tp
 from logsift.operators import traces as tr
 from logsift.operators.lines import CHUNK_LINES, annotate
@@ -35,12 +36,17 @@ class Triage:
 
     Ingest and append write annotated lines, line groups and the ends of trace pieces;
     everything else reads those tables, so no regex of the classification runs twice. With
-    ``at``, the number of a version, the session reads the store as it was then.
+    ``at``, the number of a version, the session reads the store as it was then. With
+    ``index`` it writes the literal index of lines, which searches use where it exists, and
+    with ``slices``, a unit such as ``hour``, counts and sketches by source and slice of time.
     """
 
-    def __init__(self, spark: SparkSession, root: str, at: int | None = None):
+    def __init__(
+        self, spark: SparkSession, root: str, at: int | None = None, index: bool = False, slices: str | None = None
+    ):
         self.spark = spark
         self.store = Store(spark, root, at)
+        self.index, self.slices = index, slices
 
     @cached_property
     def _schemas(self) -> dict[str, T.StructType]:
@@ -52,6 +58,8 @@ class Triage:
             "lines": lines.schema,
             "groups": tp.line_groups(lines).schema,
             "pieces": tr.ends_only(tr.trace_pieces(lines)).schema,
+            "grams": literals.line_grams(lines).schema,
+            "slices": sl.time_slices(lines).schema,
             "analyses": semantic.parse_analyses(replies).schema.add("of_batch", T.StringType()),
         }
 
@@ -124,13 +132,14 @@ class Triage:
         self.store.publish(_ends(tables[0]), batch, REPLACE)
         return tables
 
-    def add_lines(self, lines: DataFrame) -> str:
+    def add_lines(self, lines: DataFrame, mark: tuple[str, int] | None = None) -> str:
         """Append lines without a report; gives back the name of their batch.
 
         Only the new lines are classified. Their numbers and chunks go on after the last ones
         of their source, which the store knows; line groups merge when they are read, and a
         trace over the seam is joined there as one over any two chunks is. A source that
-        another writer has changed in the meantime raises ``ConcurrentWrite``.
+        another writer has changed in the meantime raises ``ConcurrentWrite``. ``mark``, a
+        writer's name and a number, lets the same append count only once.
         """
         seen, batch = self.store.version(), self.store.new_batch()
         ends = self.store.current().select("source", "last_line", "last_chunk")
@@ -142,13 +151,17 @@ class Triage:
             }
         )
         stored, _, _ = self._write(moved.select(fields), batch)
-        self.store.publish(_ends(stored), batch, APPEND, seen)
+        self.store.publish(_ends(stored), batch, APPEND, seen, mark=mark)
         return batch
 
     def _write(self, annotated: DataFrame, batch: str) -> tuple[DataFrame, DataFrame, DataFrame]:
         stored = self.store.write(annotated, "lines", batch)
         groups = self.store.write(tp.line_groups(stored), "groups", batch)
         pieces = self.store.write(tr.ends_only(tr.trace_pieces(stored)), "pieces", batch)
+        if self.index:
+            self.store.write(literals.line_grams(stored), "grams", batch)
+        if self.slices:
+            self.store.write(sl.time_slices(stored, self.slices), "slices", batch)
         return stored, groups, pieces
 
     def compact(self) -> Version:
@@ -241,6 +254,16 @@ class Triage:
         names = ("lines", "groups", "pieces")
         return self._reports(*(self._stored(n) for n in names), self._analyses())
 
+    def severity_by_time(self) -> DataFrame:
+        """``(source, slice, severity, n)`` of the logs that were stored with slices of time."""
+        return sl.severity_by_time(self._stored("slices"))
+
+    def late_lines(self, delay: str) -> DataFrame:
+        """``(source, slice, n_late)`` by batches, for a delay such as ``2 hours``."""
+        placed = self.store.read("slices", self._schemas["slices"], keep_batch=True)
+        order = self.store._order(self.store.version()).select("batch", "at")
+        return sl.late_lines(placed.join(F.broadcast(order), "batch"), F.expr(f"INTERVAL {delay}"))
+
     def digests(self) -> DataFrame:
         """``(source, digest)`` of every stored source."""
         names = ("lines", "groups", "pieces")
@@ -275,7 +298,27 @@ class Triage:
         lines = self._known(label)
         if around_line is not None:
             return drill.lines_around(lines, label, around_line, context_lines)
-        return drill.first_matches(lines, pattern, severity, max_lines)
+        return drill.first_matches(self._matching(pattern, label), None, severity, max_lines)
+
+    def search(
+        self, pattern: str, severity: str | None = None, max_lines: int = cat.DRILL_LINES
+    ) -> DataFrame:
+        """The first matches in each of all stored logs."""
+        return drill.first_matches(self._matching(pattern), None, severity, max_lines)
+
+    def _matching(self, pattern: str | None, label: str | None = None) -> DataFrame:
+        """Stored lines that match; of batches with an index, only runs that may match are read."""
+        indexed = self.store.batches_with("grams")
+        if not pattern or not indexed:
+            lines = self._stored("lines", label)
+            return drill.grep_lines(lines, pattern)
+        lines, grams = (self.store.read(t, self._schemas[t], label, indexed).drop("bucket") for t in ("lines", "grams"))
+        found = literals.grep_indexed(lines, grams, pattern)
+        others = [b for b in self.store.version().data if b not in indexed]
+        if not others:
+            return found
+        rest = self.store.read("lines", self._schemas["lines"], label, others).drop("bucket")
+        return found.unionByName(drill.grep_lines(rest, pattern))
 
     def get_lines_text(
         self,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logsift.functions import catalogue as cat
@@ -33,25 +33,28 @@ def read_log_files(
         if "://" not in path and not is_glob and not os.path.exists(local):
             raise ValueError(f"File not found: {local}. Check the path and try again.")
 
-    value = F.make_valid_utf8("value")
-    inner = F.when(value.rlike(cat.LINE_BREAK), F.split(value, cat.LINE_BREAK, -1)).otherwise(
-        F.array(value)
-    )
     source = F.col("_metadata.file_path") if label is None else F.lit(label)
     lines = (
         spark.read.text([os.path.expanduser(p) for p in paths])
         .select(
             source.alias("source"),
             F.col("_metadata.file_block_start").alias("block"),
-            F.explode(inner).alias("line"),
+            F.explode(split_file_lines(F.col("value"))).alias("line"),
         )
         # Within one block this grows in file order.
         .withColumn("seq", F.monotonically_increasing_id())
     )
-    return with_chunk(_numbered(lines)).select("source", "chunk", "line_no", "line")
+    return with_chunk(numbered(lines)).select("source", "chunk", "line_no", "line")
+
+
+def split_file_lines(value: Column) -> Column:
+    """The lines in what a reader that knows fewer line breaks takes for one."""
+    value = F.make_valid_utf8(value)
+    parts = F.split(value, cat.LINE_BREAK, -1)
+    return F.when(value.rlike(cat.LINE_BREAK), parts).otherwise(F.array(value))
 
 
-def _numbered(lines: DataFrame) -> DataFrame:
+def numbered(lines: DataFrame) -> DataFrame:
     """``(source, line_no, line)`` from lines with their block and a number that grows in it.
 
     A block sits in one task in order, so a line's place is its distance to the block's

@@ -55,10 +55,14 @@ def _bucket(source: Column) -> Column:
 
 @dataclass(frozen=True)
 class Version:
-    """Batches in their order, as ``(id, kind)``. Version 0 is the empty store."""
+    """Batches in their order, as ``(id, kind)``. Version 0 is the empty store.
+
+    ``marks`` hold the last number that each repeated writer has noted.
+    """
 
     number: int
     batches: tuple[tuple[str, str], ...]
+    marks: tuple[tuple[str, int], ...] = ()
 
     @property
     def data(self) -> list[str]:
@@ -98,7 +102,7 @@ class Store:
             listed = json.loads(bytes(stream.readAllBytes()))
         finally:
             stream.close()
-        return Version(number, tuple((b["id"], b["kind"]) for b in listed["batches"]))
+        return Version(number, tuple((b["id"], b["kind"]) for b in listed["batches"]), tuple(listed["marks"].items()))
 
     def version(self) -> Version:
         """The version this store is held at, or else the latest."""
@@ -106,7 +110,8 @@ class Store:
 
     def _put(self, version: Version) -> bool:
         """Puts a version in place; false if its number is taken."""
-        text = json.dumps({"batches": [{"id": batch, "kind": kind} for batch, kind in version.batches]})
+        batches = [{"id": batch, "kind": kind} for batch, kind in version.batches]
+        text = json.dumps({"batches": batches, "marks": dict(version.marks)})
         draft, final = self._path("versions", f"draft-{uuid.uuid4().hex}"), self._path("versions", f"{version.number:010d}.json")
         stream = self._files.create(draft, False)
         stream.write(text.encode())
@@ -136,23 +141,34 @@ class Store:
     def write(self, df: DataFrame, table: str, batch: str) -> DataFrame:
         """Put down the rows of a batch and give them back as stored.
 
-        Files are clustered: a task sorts its rows by source and line number, so that
-        Parquet's statistics tell which row group holds a line.
+        Files are clustered: a task sorts its rows by gram, source and line number, as far as
+        the table has them, so that Parquet's statistics tell which row group holds what.
         """
-        order = [c for c in ("source", "line_no", "chunk") if c in df.columns]
+        order = [c for c in ("gram", "source", "line_no", "chunk") if c in df.columns]
         marked = df.withColumn("bucket", _bucket(F.col("source"))).sortWithinPartitions("bucket", *order)
         marked.write.mode("append").partitionBy("bucket").parquet(f"{self.root}/{table}/batch={batch}")
         return self._read(table, df.schema, [batch]).drop("batch")
 
+    def noted(self, name: str, number: int) -> bool:
+        """Whether a repeated writer has noted this number, or a later one."""
+        return dict(self.version().marks).get(name, -1) >= number
+
     def publish(
-        self, sources: DataFrame, batch: str, kind: str = REPLACE, seen: Version | None = None, gone: tuple[str, ...] = ()
+        self,
+        sources: DataFrame,
+        batch: str,
+        kind: str = REPLACE,
+        seen: Version | None = None,
+        gone: tuple[str, ...] = (),
+        mark: tuple[str, int] | None = None,
     ) -> Version:
         """From now on this batch counts for ``sources(source, n_lines, last_line, last_chunk)``.
 
         It takes the place of what is stored for them, or is added behind it (``append``).
         ``seen`` is the version the rows were made for. If another writer has since touched
         the same sources, or taken away a batch, the write fails. ``gone`` are batches whose
-        live rows are in this one; then nothing at all may have changed.
+        live rows are in this one; then nothing at all may have changed. ``mark`` is a name and
+        a number to note; if they are noted already, the batch doesn't count.
         """
         names = [f.name for f in _BATCHES.fields]
         self.write(sources.select(*names), "batches", batch)
@@ -160,8 +176,13 @@ class Store:
             now = self._load(max(self.versions(), default=0))
             if seen is not None and now.number != seen.number:
                 self._check(sources, seen, now, bool(gone))
+            marks = dict(now.marks)
+            if mark is not None:
+                if marks.get(mark[0], -1) >= mark[1]:
+                    return now
+                marks[mark[0]] = mark[1]
             kept = tuple(b for b in now.batches if b[0] not in gone)
-            version = Version(now.number + 1, (*kept, (batch, kind)))
+            version = Version(now.number + 1, (*kept, (batch, kind)), tuple(marks.items()))
             if self._put(version):
                 return version
 
@@ -176,7 +197,7 @@ class Store:
     def drop_batches(self, gone: list[str], seen: Version) -> Version:
         """A version without batches that hold nothing live."""
         now = self._load(max(self.versions(), default=0))
-        version = Version(now.number + 1, tuple(b for b in now.batches if b[0] not in gone))
+        version = Version(now.number + 1, tuple(b for b in now.batches if b[0] not in gone), now.marks)
         if now.number != seen.number or not self._put(version):
             raise ConcurrentWrite("A version was added in between.")
         return version
@@ -235,20 +256,33 @@ class Store:
         """Whether a source may have rows in more than one batch."""
         return any(kind == APPEND for _, kind in self.version().batches)
 
-    def read(self, table: str, schema: T.StructType, label: str | None = None) -> DataFrame:
+    def batches_with(self, table: str) -> list[str]:
+        """The batches of the version that have rows in a table."""
+        there = set(self._names(table))
+        return [b for b in self.version().data if f"batch={b}" in there]
+
+    def read(
+        self,
+        table: str,
+        schema: T.StructType,
+        label: str | None = None,
+        among: list[str] | None = None,
+        keep_batch: bool = False,
+    ) -> DataFrame:
         """The rows that count, of one source or of all; none if nothing is stored.
 
         One source reads only its bucket of its batches. A version of one batch holds
-        nothing that does not count.
+        nothing that does not count. ``among`` names the batches to read, if not all.
         """
-        data = self.version().data
+        every = self.version().data
+        data = [b for b in every if among is None or b in among]
         if label is not None:
-            batches = [r.batch for r in self.live(label).select("batch").collect()]
+            batches = [r.batch for r in self.live(label).select("batch").collect() if r.batch in data]
             return self._of(self._read(table, schema, batches), label).drop("batch")
         rows = self._read(table, schema, data)
-        if len(data) > 1:
+        if len(every) > 1:
             rows = rows.join(self.live().select("source", "batch"), ["source", "batch"], "left_semi")
-        return rows.drop("batch")
+        return rows if keep_batch else rows.drop("batch")
 
     @staticmethod
     def _of(rows: DataFrame, label: str) -> DataFrame:

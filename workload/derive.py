@@ -59,13 +59,15 @@ def _choose(value) -> Column:
     return F.expr(f"CASE {tests} END")
 
 
-def log_lines(spark: SparkSession, sf_dir: str, chunk_events: int = CHUNK_EVENTS) -> DataFrame:
+def log_lines(
+    spark: SparkSession, sf_dir: str, chunk_events: int = CHUNK_EVENTS, where: str = "true"
+) -> DataFrame:
     """``(source, chunk, line_no, line)``: eight services that log every event.
 
     The narrow events are shuffled and numbered before they become text, and the
     lines keep the partitioning by ``(source, chunk)`` for the sequence operators.
     """
-    events = table(spark, sf_dir, "events").selectExpr(
+    events = table(spark, sf_dir, "events").where(where).selectExpr(
         "concat('svc-', CAST(user_id % 8 AS STRING)) AS source",
         f"event_id DIV {chunk_events} AS chunk",
         "event_id",
@@ -82,6 +84,35 @@ def log_lines(spark: SparkSession, sf_dir: str, chunk_events: int = CHUNK_EVENTS
     )
 
 
+def log_parts(spark: SparkSession, sf_dir: str, parts: int) -> list[DataFrame]:
+    """``log_lines`` in parts that follow each other, each numbered from 1 in every source."""
+    low, high = table(spark, sf_dir, "events").selectExpr("min(event_id)", "max(event_id)").first()
+    edges = [low + (high + 1 - low) * k // parts for k in range(parts + 1)]
+    spans = [f"event_id >= {a} AND event_id < {b}" for a, b in zip(edges, edges[1:])]
+    return [log_lines(spark, sf_dir, where=span) for span in spans]
+
+
+# Times run three hours an event, so that years pass; some lines are 40 days late. Most name no year.
+_LATE = "timestampadd(DAY, IF(event_id % 17 = 0, -40, 0), timestampadd(HOUR, event_id * 3, ts))"
+_STAMP = """CASE WHEN event_id % 40 = 3 THEN 'Foo 31 10:11:12'
+  WHEN user_id % 8 = 3 OR event_id % 40 > 2 THEN date_format(t, 'MMM d HH:mm:ss')
+  WHEN event_id % 40 = 0 THEN date_format(t, "yyyy-MM-dd'T'HH:mm:ss")
+  WHEN event_id % 40 = 1 THEN date_format(t, '[EEE MMM d HH:mm:ss yyyy]')
+  ELSE date_format(t, 'dd/MMM/yyyy:HH:mm:ss') END"""
+
+
+def syslog_lines(spark: SparkSession, sf_dir: str, chunk_events: int = 200) -> DataFrame:
+    """``(source, chunk, line_no, line)``: a line for each event, in eight logs over some years."""
+    events = table(spark, sf_dir, "events").selectExpr(
+        "concat('dc-', user_id % 8 % 3, '/rack-', user_id % 8 % 2, '/svc-', user_id % 8) AS source",
+        f"event_id DIV {chunk_events} AS chunk", "event_id", "user_id", "event_type", f"{_LATE} AS t",
+    )
+    placed = add_position(events, ["event_id"], F.lit(1), "before")
+    line = f"""concat({_STAMP}, ' host-', user_id % 4, CASE event_type WHEN 'error' THEN ' ERROR '
+      WHEN 'signup' THEN ' WARN ' ELSE ' INFO ' END, event_type) AS line"""
+    return placed.selectExpr("source", "chunk", "before + 1 AS line_no", line)
+
+
 def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(source, text)``: every document as a log of its own."""
     return table(spark, sf_dir, "documents").select(

@@ -216,6 +216,62 @@ def _of_documents(tables: str) -> str:
     return tables
 
 
+# -- event times ------------------------------------------------------------
+
+SYSLOG_LINES = """
+e AS (
+  SELECT event_id, user_id, event_type, ts + to_hours(event_id * 3)
+      - to_days(CASE WHEN event_id % 17 = 0 THEN 40 ELSE 0 END) AS t,
+    concat('dc-', user_id % 8 % 3, '/rack-', user_id % 8 % 2, '/svc-', user_id % 8) AS source
+  FROM events),
+log_lines AS (
+  SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY event_id) AS BIGINT) AS line_no,
+    concat(CASE WHEN event_id % 40 = 3 THEN 'Foo 31 10:11:12'
+      WHEN user_id % 8 = 3 OR event_id % 40 > 2 THEN strftime(t, '%b %-d %H:%M:%S')
+      WHEN event_id % 40 = 0 THEN strftime(t, '%Y-%m-%dT%H:%M:%S')
+      WHEN event_id % 40 = 1 THEN strftime(t, '[%a %b %-d %H:%M:%S %Y]')
+      ELSE strftime(t, '%d/%b/%Y:%H:%M:%S') END, ' host-', user_id % 4,
+      CASE event_type WHEN 'error' THEN ' ERROR ' WHEN 'signup' THEN ' WARN ' ELSE ' INFO ' END, event_type) AS line
+  FROM e)"""
+
+
+def _timed(tables: str) -> str:
+    """Adds ``timed``: event times by windows over whole sources."""
+    order = "(PARTITION BY source ORDER BY line_no ROWS BETWEEN"
+    return f"""{tables},
+parts AS (
+  SELECT *, CASE
+      WHEN regexp_matches(ts_text, '^[0-9]{{4}}-') THEN CAST(substr(ts_text, 6, 2) AS INT)
+      ELSE CAST(nullif(list_position(['jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec'],
+        lower(CASE WHEN regexp_matches(ts_text, '^[0-9]{{2}}/') THEN substr(ts_text, 4, 3)
+          ELSE regexp_extract(ts_text, '([A-Za-z]{{3}}) +[0-9]', 1) END)), 0) AS INT) END AS month,
+    CASE WHEN regexp_matches(ts_text, '^[0-9]{{2}}/') THEN CAST(substr(ts_text, 8, 4) AS INT)
+      WHEN regexp_matches(ts_text, '[0-9]{{4}}[]]?$') THEN CAST(regexp_extract(ts_text, '([0-9]{{4}})[]]?$', 1) AS INT)
+      WHEN regexp_matches(ts_text, '^[0-9]{{4}}-') THEN CAST(substr(ts_text, 1, 4) AS INT) END AS year,
+    CASE WHEN regexp_matches(ts_text, '^[0-9]{{2}}/') THEN substr(ts_text, 1, 2)
+      WHEN regexp_matches(ts_text, '^[0-9]{{4}}-') THEN substr(ts_text, 9, 2)
+      ELSE regexp_extract(ts_text, '[A-Za-z]{{3}} +([0-9]{{1,2}}) ', 1) END AS day,
+    regexp_extract(ts_text, '[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}', 0) AS clock
+  FROM classified WHERE ts_text IS NOT NULL),
+gaps AS (
+  SELECT *, month - last_value(month IGNORE NULLS) OVER {order} UNBOUNDED PRECEDING AND 1 PRECEDING) AS gap FROM parts),
+turned AS (
+  SELECT *, sum(CASE WHEN gap <= -6 THEN 1 WHEN gap >= 6 THEN -1 ELSE 0 END) OVER {order} UNBOUNDED PRECEDING
+    AND CURRENT ROW) AS turns FROM gaps),
+fixes AS (SELECT *, CASE WHEN month IS NOT NULL THEN year - turns END AS fixed FROM turned),
+years AS (
+  SELECT *, coalesce(year, turns + coalesce(
+    last_value(fixed IGNORE NULLS) OVER {order} UNBOUNDED PRECEDING AND CURRENT ROW),
+    first_value(fixed IGNORE NULLS) OVER {order} CURRENT ROW AND UNBOUNDED FOLLOWING),
+    {q.LAST_YEAR} - last_value(turns) OVER {order} UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))) AS y FROM fixes),
+times AS (
+  SELECT *, try_strptime(concat(CAST(y AS INT), '-', month, '-', day, ' ', clock), '%Y-%-m-%-d %H:%M:%S') AS at
+  FROM years),
+timed AS (
+  SELECT *, CASE WHEN at IS NOT NULL THEN CAST(greatest(coalesce(epoch(max(at) OVER {order} UNBOUNDED PRECEDING
+    AND 1 PRECEDING)) - epoch(at), 0), 0) AS BIGINT) END AS behind FROM times)"""
+
+
 # -- templates and metrics --------------------------------------------------
 
 _rank = "CASE severity " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in cat.RANK.items()) + " END"
@@ -464,6 +520,40 @@ def parts_of_traces(name: str, part_lines: int) -> str:
     )
 
 
+_TIME = "strftime({}, '%Y-%m-%d %H:%M:%S')"
+_ROLLUP = """
+SELECT CAST(level AS BIGINT) AS level, folder, sliced,
+  strftime(slice, '%Y-%m-%d %H:%M:%S') AS slice, severity, count(*) AS n
+FROM (
+  SELECT l.level, array_to_string(list_slice(string_split(source, '/'), 1, l.level), '/') AS folder, s.sliced,
+    CASE WHEN s.sliced THEN date_trunc('month', at) END AS slice, severity
+  FROM timed, (SELECT unnest([1, 2, 3]) AS level) l, (SELECT unnest([true, false]) AS sliced) s
+  UNION ALL
+  SELECT 0, NULL, s.sliced, CASE WHEN s.sliced THEN date_trunc('month', at) END, severity
+  FROM timed, (SELECT unnest([true, false]) AS sliced) s)
+GROUP BY ALL"""
+
+# The lines of documents as they are, and the sets of their templates.
+_PLAIN_DOCS = """split_docs AS (
+  SELECT doc_id, regexp_split_to_array(regexp_replace(text, '({b})$', ''), {q}) AS ls
+  FROM documents WHERE trim(text) <> ''),
+log_lines AS (
+  SELECT concat('doc-', doc_id) AS source, CAST(generate_subscripts(ls, 1) AS BIGINT) AS line_no, unnest(ls) AS line
+  FROM split_docs)""".format(b=cat.LINE_BREAK, q=_BREAK)
+_SETS = f"""{_of_documents(ANNOTATED).replace(DOC_LINES, _PLAIN_DOCS)},
+sets AS (
+  SELECT source, list_sort(list_distinct(list({_doc_template}))) AS tokens
+  FROM classified WHERE NOT is_stack GROUP BY source),
+classes AS (SELECT tokens, len(tokens) AS size, min(source) AS name FROM sets GROUP BY tokens)"""
+_PAIRS = f"""
+SELECT least(a, b) AS a, greatest(a, b) AS b, CAST(common AS DOUBLE) / (na + nb - common) AS similarity
+FROM (
+  SELECT x.name AS a, y.name AS b, any_value(x.size) AS na, any_value(y.size) AS nb, count(*) AS common
+  FROM (SELECT name, size, unnest(tokens) AS token FROM classes) x
+  JOIN (SELECT name, size, unnest(tokens) AS token FROM classes) y ON x.token = y.token AND x.name < y.name
+  GROUP BY 1, 2)
+WHERE CAST(common AS DOUBLE) / (na + nb - common) >= {q.SIMILAR}"""
+
 _DOCS = "docs AS (SELECT concat('doc-', doc_id) AS source, doc_id, text FROM documents)"
 _TEMPLATE_COLUMNS = "source, template, sample, n, severity, first_line"
 _INGEST = f"""
@@ -490,6 +580,44 @@ ORACLE: dict[str, str] = {
         "SELECT source, CASE WHEN doc_id % 7 = 0 THEN 'empty input' ELSE 'no input' END AS reason"
         " FROM docs WHERE doc_id % 7 = 0 OR doc_id % 11 = 0",
     ),
+    "appended_lines": _over(
+        ANNOTATED, "SELECT source, line_no, line, cleaned, is_noise, severity, ts_text, is_stack FROM annotated"
+    ),
+    "appended_traces": _over(
+        MEMBERS, "SELECT source, trace_id, header_line, n_lines, severity, summary FROM traces"
+    ),
+    "appended_templates": _over(TEMPLATES, "SELECT source, template, n, severity, first_line FROM templates"),
+    "appended_report": _over(
+        f"{EVERYTHING},\nsummaries AS ({SUMMARY}),\nsemantics AS (SELECT '' AS source, '' AS semantic WHERE false)",
+        _INGEST,
+    ),
+    "compacted_lines": _over(SESSION, "SELECT source, line_no, line FROM log_lines"),
+    "followed_lines": _over(LOG_LINES, "SELECT source, line_no, line FROM log_lines"),
+    "indexed_search": _over(
+        LOG_LINES,
+        f"SELECT *, count(*) OVER (PARTITION BY source) >= {q.FIRST_LINES} AS capped FROM " + _matched(_MATCH),
+    ),
+    "event_times": _over(
+        _timed(ANNOTATED.replace(LOG_LINES, SYSLOG_LINES)),
+        f"SELECT source, line_no, ts_text, {_TIME.format('at')} AS event_time, behind FROM timed",
+    ),
+    "event_ranges": _over(
+        _timed(ANNOTATED.replace(LOG_LINES, SYSLOG_LINES)),
+        f"SELECT source, {_TIME.format('min(at)')} AS first_event, {_TIME.format('max(at)')} AS last_event,"
+        " count(at) AS timed_lines, count(*) FILTER (behind > 0) AS late_lines, max(behind) AS most_behind"
+        " FROM timed GROUP BY source",
+    ),
+    "severity_rollup": _over(_timed(ANNOTATED.replace(LOG_LINES, SYSLOG_LINES)), _ROLLUP),
+    "severity_by_time": _over(
+        _timed(ANNOTATED),
+        f"SELECT source, {_TIME.format("date_trunc('hour', at)")} AS slice, severity, count(*) AS n FROM"
+        " (SELECT source, severity, at FROM timed UNION ALL"
+        " SELECT source, severity, NULL FROM classified WHERE ts_text IS NULL) GROUP BY 1, 2, 3",
+    ),
+    "similar_sources": _over(_SETS, _PAIRS),
+    "similar_source_classes": _over(
+        _SETS, "SELECT source, name AS first_source FROM sets JOIN classes USING (tokens)"
+    ),
     "clean_lines": _over(ANNOTATED, "SELECT source, line_no, cleaned FROM annotated"),
     "severity_detect": _classified("severity", "severity"),
     "timestamp_extract": _classified("ts_text", "ts_text"),
@@ -589,6 +717,19 @@ ORACLE: dict[str, str] = {
         )
         + " AS text FROM metrics",
     ),
+    "compacted_listing": _over(
+        f"{TEMPLATES.replace(LOG_LINES, SESSION)},\n{SERVICE_REPLIES}",
+        "SELECT source, "
+        + fill(
+            w.LISTING,
+            "source",
+            "total_lines",
+            "unique_lines",
+            "n_error + n_fatal",
+            f"CASE WHEN {_EVEN} AND source IN (SELECT source FROM analyses) THEN '✓' ELSE '✗' END",
+        )
+        + " AS text FROM metrics",
+    ),
     "lines_around": _over(
         LOG_LINES,
         f"SELECT source, line_no, line, line_no = {q.AROUND_LINE} AS is_center FROM log_lines"

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logsift.functions import catalogue as cat
 from logsift.functions import text as tx
-from logsift.operators import drill, semantic
+from logsift.operators import drill, event_time, rollup, semantic, similar
 from logsift.operators import templates as tp
 from logsift.operators import traces as tr
 from logsift.operators.lines import annotate, classify
@@ -19,6 +19,7 @@ from logsift.plans.staging import parquet_stage, scratch_folder
 from logsift.plans.triage import Triage
 from logsift.sources.files import read_log_files
 from logsift.sources.text_column import lines_from_text, rejected_sources
+from logsift.streaming.follow import follow
 from workload import derive
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +32,9 @@ HIT_CONTEXT = 2
 FIRST_LINES = 30
 PART_LINES = 1_000
 SMALL_CHUNK_EVENTS, SMALL_PART_LINES = 200, 3
+APPENDS, FOLLOWED_FILES = 5, 12
+LAST_YEAR = 2030
+SIMILAR = 0.5
 
 
 def on_lines(build: Callable[[DataFrame], DataFrame]) -> Query:
@@ -203,6 +207,79 @@ def _stored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _session(spark, sf_dir)._stored("lines").select("source", "line_no", "line")
 
 
+def _appended(spark: SparkSession, sf_dir: str, **options) -> Triage:
+    """A store to which the log lines were added in five appends."""
+    session = Triage(spark, scratch_folder(spark, "appended"), **options)
+    for part in derive.log_parts(spark, sf_dir, APPENDS):
+        session.add_lines(part)
+    return session
+
+
+def _appended_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tr.trace_summaries(tr.resolve(_appended(spark, sf_dir)._stored("pieces")))
+
+
+def _appended_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tp.templates_of(_appended(spark, sf_dir)._stored("groups"))
+
+
+def _compacted(spark: SparkSession, sf_dir: str) -> Triage:
+    """``_session`` after a compaction, without the files that it replaced."""
+    session = _session(spark, sf_dir)
+    session.compact()
+    session.store.vacuum()
+    return session
+
+
+def _followed(spark: SparkSession, sf_dir: str, **options) -> Triage:
+    """A store that followed a folder for each service, into which the lines came as files."""
+    root = scratch_folder(spark, "follow")
+    lines = derive.log_lines(spark, sf_dir)
+    # Range-partitioned by source and line number, a service's part files follow each other.
+    placed = lines.repartitionByRange(FOLLOWED_FILES, "source", "line_no").sortWithinPartitions("source", "line_no")
+    placed.select("source", F.col("line").alias("value")).write.partitionBy("source").text(f"{root}/text")
+    session = Triage(spark, f"{root}/store", **options)
+    service = F.regexp_extract("_metadata.file_path", r"source=([^/]+)/", 1)
+    follow(session, f"{root}/text/*", f"{root}/checkpoint", label=service).awaitTermination()
+    return session
+
+
+def _followed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _followed(spark, sf_dir)._stored("lines").select("source", "line_no", "line")
+
+
+def _severity_by_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = _appended(spark, sf_dir, slices="hour").severity_by_time()
+    return counts.withColumn("slice", _shown_time(F.col("slice")))
+
+
+def _shown_time(time) -> Column:
+    return F.date_format(time, "yyyy-MM-dd HH:mm:ss")
+
+
+def _event_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = event_time.event_times(derive.syslog_lines(spark, sf_dir), LAST_YEAR).drop("chunk")
+    return found.withColumn("event_time", _shown_time(F.col("event_time")))
+
+
+def _event_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = event_time.event_ranges(event_time.event_times(derive.syslog_lines(spark, sf_dir), LAST_YEAR))
+    return found.withColumns({n: _shown_time(F.col(n)) for n in ("first_event", "last_event")})
+
+
+def _severity_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    timed = event_time.event_times(derive.syslog_lines(spark, sf_dir), LAST_YEAR, keep=("severity",))
+    found = rollup.severity_rollup(timed, "month")
+    return found.withColumn("slice", _shown_time(F.col("slice")))
+
+
+def _similar(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents as sources that hold the same templates."""
+    stage = parquet_stage(spark)
+    groups = stage(tp.line_groups(lines_from_text(derive.document_texts(spark, sf_dir))), "groups")
+    return similar.similar_sources(groups, stage, SIMILAR)
+
+
 def _unknown_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which of the labels svc-<user> that were asked for are not stored."""
     asked = derive.table(spark, sf_dir, "events").selectExpr("concat('svc-', user_id) AS source")
@@ -240,6 +317,13 @@ QUERIES: dict[str, Query] = {
     "log_files": _log_files,
     "stored_lines": _stored_lines,
     "unknown_labels": _unknown_labels,
+    "appended_lines": lambda spark, sf_dir: _appended(spark, sf_dir)._stored("lines").drop("chunk"),
+    "appended_traces": _appended_traces,
+    "appended_templates": _appended_templates,
+    "appended_report": lambda spark, sf_dir: _appended(spark, sf_dir).reports(),
+    "compacted_lines": lambda spark, sf_dir: _compacted(spark, sf_dir)._stored("lines").select("source", "line_no", "line"),
+    "compacted_listing": lambda spark, sf_dir: _compacted(spark, sf_dir).listing(),
+    "followed_lines": _followed_lines,
     # lines
     "clean_lines": on_lines(_cleaned),
     "severity_detect": _column("severity", tx.detect_severity),
@@ -314,6 +398,17 @@ QUERIES: dict[str, Query] = {
         lambda ls: drill.first_matches(ls, PATTERN, "error", FIRST_LINES)
     ),
     "render_lines": on_lines(_rendered),
+    "indexed_search": lambda spark, sf_dir: _appended(spark, sf_dir, index=True).search(
+        PATTERN, max_lines=FIRST_LINES
+    ),
+    # event time
+    "event_times": _event_times,
+    "event_ranges": _event_ranges,
+    "severity_rollup": _severity_rollup,
+    "severity_by_time": _severity_by_time,
+    # sources among each other
+    "similar_sources": lambda spark, sf_dir: _similar(spark, sf_dir)[1],
+    "similar_source_classes": lambda spark, sf_dir: _similar(spark, sf_dir)[0],
     # semantic tables
     "parse_analyses": on_analyses(_parsed),
     "bad_replies": on_replies(semantic.bad_replies),
