@@ -253,6 +253,11 @@ def unpacked(held: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(both[:half]), both[half:]
 
 
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The indices of runs of these sizes, one after the other."""
+    return np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+
+
 class _Numbers(dict):
     """Segments numbered in the order in which they are asked for."""
 
@@ -302,8 +307,9 @@ class _Block:
         sizes = np.array([len(s.groups) for s in found], np.int64)
         segment_of = np.repeat(np.arange(len(found)), sizes)
         per_group = np.array([[len(g.a), len(g.b), 1, len(g.links)] for g in numbers], np.int64).reshape(-1, 4)
-        sums = np.zeros((len(found), 4), np.int64)
-        np.add.at(sums, segment_of, per_group[group_of])
+        upto = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(per_group[group_of], axis=0)])
+        last = np.cumsum(sizes)
+        sums = upto[last] - upto[last - sizes]
         times = np.zeros(len(found), np.int64)
         for row, (numbers_of, times_of) in zip(self.rows, self.held):
             times[numbers_of] += times_of
@@ -313,13 +319,13 @@ class _Block:
         used = times[segment_of] > 0
         group_of, segment_of = group_of[used], segment_of[used]
         pairs: dict[tuple[int, int], int] = {}
-        links = [np.array([pairs.setdefault(pair, len(pairs)) for pair in g.links], np.int32) for g in numbers]
-        link_pair = np.concatenate([links[g] for g in group_of.tolist()]) if len(group_of) else np.zeros(0, np.int32)
-        link_segment = np.repeat(segment_of, per_group[group_of, 3]).astype(np.int32)
+        links = np.array([pairs.setdefault(pair, len(pairs)) for g in numbers for pair in g.links], np.int64)
+        n_links = per_group[:, 3]
+        link_pair = links[_runs((np.cumsum(n_links) - n_links)[group_of], n_links[group_of])]
+        link_segment = np.repeat(segment_of, n_links[group_of])
         # Pairs of groups that are not used are not counted.
         seen, link_pair = np.unique(link_pair, return_inverse=True)
         ids = np.array(list(pairs), np.int32).reshape(-1, 2)[seen]
-        link_pair = link_pair.astype(np.int32)
         totals = np.bincount(link_pair, times[link_segment], len(ids))
         self.rows.append(
             {
@@ -387,8 +393,7 @@ def _summed(group: pa.Table, of_pairs: pa.Table) -> pa.Table:
     values[1, pair] = of_pairs.column("is_best").to_numpy()
     link_segment, link_pair = unpacked(header.column("held")[0].as_py())
     of_segment = np.zeros((2, int(link_segment.max()) + 1 if len(link_segment) else 0), np.int64)
-    for k in range(2):
-        np.add.at(of_segment[k], link_segment, values[k, link_pair])
+    np.add.at(of_segment, (slice(None), link_segment), values[:, link_pair])
     sums = np.zeros((2, docs.num_rows), np.int64)
     for k, held in enumerate(docs.column("held")):
         numbers, times = unpacked(held.as_py())

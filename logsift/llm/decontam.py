@@ -201,3 +201,32 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, pass_words: int = PAS
     rows = docs.select(F.struct("*").alias("row"))
     found = hits(rows, benchmark, F.col("row.text"), pass_words)
     return found.where(F.size("hits.items") == 0).select("row.*")
+
+
+def oracle(window: int = WINDOW_WORDS) -> str:
+    """DuckDB SQL for the contract's query over ``documents`` and ``benchmark``."""
+
+    def words(text: str) -> str:
+        lowered = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+        return f"regexp_extract_all(coalesce({lowered}, ''), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+    return f"""
+WITH b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {words("text")} AS ws FROM benchmark),
+windows AS (
+  SELECT DISTINCT item, least({window}, len(ws)) AS size,
+    array_to_string(list_slice(ws, start, start + least({window}, len(ws)) - 1), ' ') AS w
+  FROM (SELECT item, ws, unnest(range(1, greatest(len(ws) - {window} + 1, 1) + 1)) AS start FROM b WHERE len(ws) > 0)),
+d AS (SELECT row_number() OVER () AS r, doc_id, {words("text")} AS ws FROM documents),
+sizes AS (SELECT DISTINCT size FROM windows),
+places AS (
+  SELECT r, size, start, array_to_string(list_slice(ws, start, start + size - 1), ' ') AS w
+  FROM (SELECT r, ws, size, unnest(range(1, greatest(len(ws) - size + 1, 0) + 1)) AS start FROM d, sizes)),
+found AS (SELECT r, start, p.size, item FROM places p JOIN windows q ON p.w = q.w AND p.size = q.size),
+hit AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(start, start + size)) AS place FROM found) GROUP BY r),
+items AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
+  FROM (SELECT DISTINCT r, item FROM found) GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(listed, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)"""

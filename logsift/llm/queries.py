@@ -178,6 +178,7 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op3_benchmark_decontamination": decontam.oracle(),
     "op6_source_mixing": mixing.oracle(),
     "op7_chat_format": chat.oracle(EXTRA_CONVERSATION_SQL),
     "op12_hard_negatives": hardneg.oracle(),

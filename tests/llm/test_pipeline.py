@@ -8,6 +8,8 @@ from logsift.llm.queries import ORACLE, QUERIES
 from tests.compare import duck_rows, spark_rows, tables
 
 SF_DIR = "/root/testdata/sf0.001"
+FINNISH = "Hyvää huomenta kaikille, tänään menemme yhdessä metsään keräämään sieniä ja marjoja syksyn iloksi. " * 4
+NOISE = "xqzv kjwp zzqx vvkw qpxz jjkq wwzx kqvz pxqj zvkw qqxj kzwv " * 8
 
 
 @pytest.mark.parametrize("name", list(ORACLE))
@@ -32,6 +34,7 @@ def test_stages(spark, documents):
     planted = [
         (10_001, own), (10_002, own), (10_003, own.replace("the and of 7 ", "the and of seven ")),
         (10_004, "before the leak\n" + item), (10_005, "12 34 ??"), (10_006, None),
+        (10_009, FINNISH), (10_010, NOISE),
         (10_007, "the first one has this\n" + passage), (10_008, "and another that has this\n" + passage + "\nthe end"),
     ]
     given = clean.union(spark.createDataFrame([(i, t, None, "p", 0) for i, t in planted], docs.schema))
@@ -44,7 +47,7 @@ def test_stages(spark, documents):
         after.append({r.doc_id: r.text for r in now.collect()})
     language, lines, near, leaks, mixed = after
     ids = {r.doc_id for r in clean.collect()}
-    assert language.keys() == ids | {i for i, _ in planted} - {10_005, 10_006}
+    assert language.keys() == ids | {i for i, _ in planted} - {10_005, 10_006, 10_009, 10_010}
     assert lines.keys() == language.keys()
     assert lines[10_001] == own and lines[10_002] == "" and passage not in lines[10_008]
     assert lines[10_008] == "and another that has this\nthe end" and passage in lines[10_007]
