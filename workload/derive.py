@@ -97,7 +97,7 @@ _LATE = "timestampadd(DAY, IF(event_id % 17 = 0, -40, 0), timestampadd(HOUR, eve
 _STAMP = """CASE WHEN event_id % 40 = 3 THEN 'Foo 31 10:11:12'
   WHEN user_id % 8 = 3 OR event_id % 40 > 2 THEN date_format(t, 'MMM d HH:mm:ss')
   WHEN event_id % 40 = 0 THEN date_format(t, "yyyy-MM-dd'T'HH:mm:ss")
-  WHEN event_id % 40 = 1 THEN date_format(t, '[EEE MMM d HH:mm:ss yyyy]')
+  WHEN event_id % 40 = 1 THEN concat('[', date_format(t, 'EEE MMM d HH:mm:ss yyyy'), ']')
   ELSE date_format(t, 'dd/MMM/yyyy:HH:mm:ss') END"""
 
 

@@ -251,7 +251,8 @@ parts AS (
     CASE WHEN regexp_matches(ts_text, '^[0-9]{{2}}/') THEN substr(ts_text, 1, 2)
       WHEN regexp_matches(ts_text, '^[0-9]{{4}}-') THEN substr(ts_text, 9, 2)
       ELSE regexp_extract(ts_text, '[A-Za-z]{{3}} +([0-9]{{1,2}}) ', 1) END AS day,
-    regexp_extract(ts_text, '[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}', 0) AS clock
+    CASE WHEN regexp_matches(ts_text, '^[0-9]{{2}}/') THEN substr(ts_text, 13, 8)
+      ELSE regexp_extract(ts_text, '[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}', 0) END AS clock
   FROM classified WHERE ts_text IS NOT NULL),
 gaps AS (
   SELECT *, month - last_value(month IGNORE NULLS) OVER {order} UNBOUNDED PRECEDING AND 1 PRECEDING) AS gap FROM parts),
@@ -265,11 +266,11 @@ years AS (
     first_value(fixed IGNORE NULLS) OVER {order} CURRENT ROW AND UNBOUNDED FOLLOWING),
     {q.LAST_YEAR} - last_value(turns) OVER {order} UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))) AS y FROM fixes),
 times AS (
-  SELECT *, try_strptime(concat(CAST(y AS INT), '-', month, '-', day, ' ', clock), '%Y-%-m-%-d %H:%M:%S') AS at
+  SELECT *, try_strptime(concat(CAST(y AS INT), '-', month, '-', CAST(day AS INT), ' ', clock), '%Y-%-m-%-d %H:%M:%S') AS tm
   FROM years),
 timed AS (
-  SELECT *, CASE WHEN at IS NOT NULL THEN CAST(greatest(coalesce(epoch(max(at) OVER {order} UNBOUNDED PRECEDING
-    AND 1 PRECEDING)) - epoch(at), 0), 0) AS BIGINT) END AS behind FROM times)"""
+  SELECT *, CASE WHEN tm IS NOT NULL THEN CAST(greatest(coalesce(epoch(max(tm) OVER {order} UNBOUNDED PRECEDING
+    AND 1 PRECEDING)) - epoch(tm), 0), 0) AS BIGINT) END AS behind FROM times)"""
 
 
 # -- templates and metrics --------------------------------------------------
@@ -526,10 +527,10 @@ SELECT CAST(level AS BIGINT) AS level, folder, sliced,
   strftime(slice, '%Y-%m-%d %H:%M:%S') AS slice, severity, count(*) AS n
 FROM (
   SELECT l.level, array_to_string(list_slice(string_split(source, '/'), 1, l.level), '/') AS folder, s.sliced,
-    CASE WHEN s.sliced THEN date_trunc('month', at) END AS slice, severity
+    CASE WHEN s.sliced THEN date_trunc('month', tm) END AS slice, severity
   FROM timed, (SELECT unnest([1, 2, 3]) AS level) l, (SELECT unnest([true, false]) AS sliced) s
   UNION ALL
-  SELECT 0, NULL, s.sliced, CASE WHEN s.sliced THEN date_trunc('month', at) END, severity
+  SELECT 0, NULL, s.sliced, CASE WHEN s.sliced THEN date_trunc('month', tm) END, severity
   FROM timed, (SELECT unnest([true, false]) AS sliced) s)
 GROUP BY ALL"""
 
@@ -599,19 +600,19 @@ ORACLE: dict[str, str] = {
     ),
     "event_times": _over(
         _timed(ANNOTATED.replace(LOG_LINES, SYSLOG_LINES)),
-        f"SELECT source, line_no, ts_text, {_TIME.format('at')} AS event_time, behind FROM timed",
+        f"SELECT source, line_no, ts_text, {_TIME.format('tm')} AS event_time, behind FROM timed",
     ),
     "event_ranges": _over(
         _timed(ANNOTATED.replace(LOG_LINES, SYSLOG_LINES)),
-        f"SELECT source, {_TIME.format('min(at)')} AS first_event, {_TIME.format('max(at)')} AS last_event,"
-        " count(at) AS timed_lines, count(*) FILTER (behind > 0) AS late_lines, max(behind) AS most_behind"
+        f"SELECT source, {_TIME.format('min(tm)')} AS first_event, {_TIME.format('max(tm)')} AS last_event,"
+        " count(tm) AS timed_lines, count(*) FILTER (behind > 0) AS late_lines, max(behind) AS most_behind"
         " FROM timed GROUP BY source",
     ),
     "severity_rollup": _over(_timed(ANNOTATED.replace(LOG_LINES, SYSLOG_LINES)), _ROLLUP),
     "severity_by_time": _over(
         _timed(ANNOTATED),
-        f"SELECT source, {_TIME.format("date_trunc('hour', at)")} AS slice, severity, count(*) AS n FROM"
-        " (SELECT source, severity, at FROM timed UNION ALL"
+        f"SELECT source, {_TIME.format("date_trunc('hour', tm)")} AS slice, severity, count(*) AS n FROM"
+        " (SELECT source, severity, tm FROM timed UNION ALL"
         " SELECT source, severity, NULL FROM classified WHERE ts_text IS NULL) GROUP BY 1, 2, 3",
     ),
     "similar_sources": _over(_SETS, _PAIRS),

@@ -34,7 +34,7 @@ PART_LINES = 1_000
 SMALL_CHUNK_EVENTS, SMALL_PART_LINES = 200, 3
 APPENDS, FOLLOWED_FILES = 5, 12
 LAST_YEAR = 2030
-SIMILAR = 0.5
+SIMILAR = 0.25
 
 
 def on_lines(build: Callable[[DataFrame], DataFrame]) -> Query:
