@@ -34,7 +34,59 @@ def test_hadamard_is_the_matrix():
 def test_first_probe_is_the_own_bucket():
     rows = np.random.default_rng(1).normal(size=(50, 20))
     hashing = ann.Hashing(20, float(np.linalg.norm(rows, axis=1).max()), lifted=False)
-    assert (hashing.ranking(rows)[:, :, 0] == hashing.buckets(rows)).all()
+    for joined in (1, 2, 3):
+        hashing = ann.Hashing(20, float(np.linalg.norm(rows, axis=1).max()), lifted=False, joined=joined)
+        assert (hashing.probes(rows, 1)[:, :, 0] == hashing.buckets(rows)).all()
+
+
+def test_probes_are_the_nearest_buckets():
+    """Against all pairs of signed axes of both rotations, sorted by the sum of their coordinates."""
+    rows = np.random.default_rng(3).normal(size=(20, 5))
+    hashing = ann.Hashing(5, 9.0, lifted=False, tables=2, joined=2)
+    probes = hashing.probes(rows, 30)
+    for t, (first, second) in enumerate(hashing.rotated(rows, lift=False)):
+        both = [np.stack([x, -x], axis=2).reshape(len(x), -1) for x in (first, second)]
+        sums = (both[0][:, :, None] + both[1][:, None, :]).reshape(len(rows), -1)
+        best = np.sort(sums, axis=1)[:, ::-1][:, :30]
+        assert np.allclose(np.take_along_axis(sums, probes[:, t], axis=1), best)
+        assert all(len(set(p)) == 30 for p in probes[:, t])
+
+
+def clustered(rng, n, dims=64, groups=200, spread=0.25):
+    centres = rng.normal(size=(groups, dims))
+    rows = centres[rng.integers(groups, size=n)] + spread * rng.normal(size=(n, dims))
+    return (rows / np.linalg.norm(rows, axis=1, keepdims=True)).astype(np.float32)
+
+
+def test_clustered_vectors_are_narrowed(spark):
+    """Joined rotations on vectors in groups: few candidates, high recall."""
+    rows = clustered(np.random.default_rng(6), 4_000, groups=40)
+    ids = np.arange(len(rows))
+    data = table(spark, ids.tolist(), rows.tolist())
+    found = ann.search(data, F.col("vec_id") % 20 == 0).collect()
+    want = brute_force(ids, rows, [i for i in ids if i % 20 == 0], 20)
+    assert sum(r.vec_id in want[r.query_id] for r in found) >= 0.9 * sum(map(len, want.values()))
+    vectors = ann.usable(data)
+    chosen = ann.plan(ann.Hashing(64, 1.0, lifted=False), vectors, vectors.where("vec_id % 20 = 0"), 50_000, 0.96, 20)
+    assert chosen.hashing.joined > 1 and chosen.share < 0.1
+
+
+def test_clashing_columns_and_ties_in_a_hot_group(spark):
+    """A third of all vectors are equal, so the twentieth place is a tie of hundreds."""
+    rng = np.random.default_rng(7)
+    rows = rng.normal(size=(300, 16)).astype(np.float32)
+    rows[100:200] = rows[100]
+    ids = rng.permutation(5_000)[:300]
+    names = "vec_id long, embedding array<float>, code string, nv int, nq int, asks string, score string, bunch int"
+    data = [(int(i), [float(x) for x in r], "c", 1, 2, "a", "s", 3) for i, r in zip(ids, rows)]
+    found = ann.search(spark.createDataFrame(data, names), F.col("vec_id") % 4 == 0, chunk=16).collect()
+    want = brute_force(ids, rows, [i for i in ids if i % 4 == 0], 20)
+    got = {}
+    for r in sorted(found, key=lambda r: (r.query_id, r["rank"])):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    equal = {int(i) for i in ids[100:200]}
+    assert all(got[q] == want[q] for q in want if q in equal)
+    assert all(len(got[q]) == 20 for q in want)
 
 
 @pytest.mark.parametrize("chunk", [7, 2048])
