@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from logsift.llm import decontam, queries
@@ -34,8 +35,13 @@ def got(frame):
     return sorted((r.doc_id is None, r.doc_id or 0, r.n_words, r.n_hit, list(r["items"])) for r in frame.collect())
 
 
-@pytest.mark.parametrize("pass_words", [40, 200_000])
-def test_random_texts(spark, documents, pass_words):
+@pytest.mark.parametrize("bits", [2, 24])
+def test_random_texts(spark, documents, monkeypatch, bits):
+    """Also with tables so small that nearly every place has to be compared."""
+    monkeypatch.setattr(decontam, "MOST_SLOT_BITS", max(8, bits))
+    monkeypatch.setattr(decontam, "SLOTS_EACH", bits)
+    monkeypatch.setattr(decontam, "BITS_EACH", bits)
+    monkeypatch.setattr(decontam, "_FLUSH", 7 if bits == 2 else 1 << 14)
     rng = random.Random(3)
     words = ["A", "b", "c-d", "é", "7"]
     some = lambda n: " ".join(rng.choices(words, k=n))
@@ -43,7 +49,7 @@ def test_random_texts(spark, documents, pass_words):
     items = [(k, "z " + t if len(t) < 9 else t) for k, t in items] + [(3, "b b b b b b b b b b b"), (None, "é é é é"), (40, None)]
     docs = [(k, some(rng.randint(0, 60))) for k in range(60)]
     table = spark.createDataFrame(items, "item_id long, text string")
-    found = decontam.contamination(documents(docs), table, pass_words)
+    found = decontam.contamination(documents(docs), table)
     assert got(found) == sorted((False, i, *plain(t, items)) for i, t in docs)
 
 
@@ -66,12 +72,44 @@ def test_clean_documents_keep_their_columns(spark, documents):
     assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["2", "None"]
 
 
-def test_long_items_are_cut_with_all_their_windows(monkeypatch):
-    monkeypatch.setattr(decontam, "PIECE_WORDS", 7)
-    words = [b"%d" % k for k in range(100)]
-    windows = {tuple(words[k : k + 10]) for k in range(91)}
-    pieces = [p.split(b" ") for p in decontam._cut(words)]
-    assert {tuple(p[k : k + 10]) for p in pieces for k in range(len(p) - 9)} == windows
+def test_no_occurrence_is_skipped():
+    """Shifts of blocks that share a slot are the shorter ones, so a small table only slows down."""
+    rng = random.Random(5)
+    words = [b"%d" % rng.randrange(6) for _ in range(3_000)]
+    windows = {b" ".join(words[k : k + 4]) for k in range(0, 400, 7)}
+    for bits in (3, 16):
+        shift, held = np.full(1 << bits, 3, np.uint8), bytearray(1 << 13)
+        for window in windows:
+            slots = decontam.block_slots(decontam.word_codes(window.split(b" ")), 2, bits)
+            for place, slot in enumerate(slots):
+                shift[slot] = min(shift[slot], 2 - place)
+            bit = decontam.crc32(window) & 0xFFFF
+            held[bit >> 3] |= 1 << (bit & 7)
+        tables = decontam.Tables(4, bits, 16, shift.tobytes(), bytes(held))
+        found = {start for start, _ in tables.search(words, decontam.word_codes(words))}
+        assert found >= {k for k in range(len(words) - 3) if b" ".join(words[k : k + 4]) in windows}
+
+
+def test_tables_have_a_fixed_size(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "MOST_SLOT_BITS", 17)
+    monkeypatch.setattr(decontam, "MOST_FILTER_BITS", 20)
+    rows = spark.range(5_000).selectExpr("10 AS size", "cast(concat_ws(' ', transform(sequence(0, 9), k -> id * 7 + k)) AS binary) AS w")
+    table = decontam.tables_of(rows)[0]
+    assert len(table.shift) == 1 << 17 and len(table.filter) <= 1 << 17
+    text = [b"%d" % (7 * 4_321 + k) for k in range(-5, 15)]
+    assert b" ".join(text[5:15]) in {t for _, t in table.search(text, decontam.word_codes(text))}
+
+
+def test_repeated_items_and_rows(spark, documents):
+    """Many copies of an item, with one id and with many, and rows that repeat."""
+    passage = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"
+    items = [(1, passage)] * 500 + [(k, passage) for k in range(100, 120)]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    docs = documents([(1, "x " + passage), (1, "x " + passage), (1, "other"), (None, passage), (None, "clean")])
+    rows = decontam.contamination(docs, table).collect()
+    assert sorted((r.n_hit, r.n_items) for r in rows) == [(0, 0), (0, 0), (11, 21), (11, 21), (11, 21)]
+    kept = decontam.clean_documents(docs, table).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == [("1", "other"), ("None", "clean")]
 
 
 def test_query_equals_brute_force(spark):
