@@ -252,7 +252,8 @@ def fit(docs: DataFrame, fit_chains: int = FIT_CHAINS, lexicon_words: int = LEXI
     """A model of ``docs(doc_id, text, lang)``; rows without text or lang are passed over.
 
     The lexicon counts the words of all rows and holds the ``lexicon_words`` most frequent ones
-    of each language, so that no language fills it alone. The weights are fitted on at most
+    of each language, so that no language fills it alone; ties at the end are drawn by hash, so
+    the number is met about. The weights are fitted on at most
     ``fit_chains`` chains of each language: one chain of each document, drawn by hash.
     """
     scratch = Scratch(docs.sparkSession)
@@ -261,10 +262,18 @@ def fit(docs: DataFrame, fit_chains: int = FIT_CHAINS, lexicon_words: int = LEXI
     languages = sorted(sizes)
     words = known.select("lang", F.explode(F.split(_normal(F.col("text")), " ")).alias("word")).where("word <> ''")
     counts = scratch.table(words.groupBy("lang", "word").agg(F.count("*").alias("n")), "counts")
-    most = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    top = counts.withColumn("rank", F.row_number().over(most)).where(F.col("rank") <= lexicon_words)
+    # Per language the count from which a word belongs to the top, and how many words of just
+    # that count do; they are drawn by hash. Only distinct counts are ordered, no words.
+    sizes_of = counts.groupBy("lang", "n").agg(F.count("*").alias("tied"))
+    falling = Window.partitionBy("lang").orderBy(F.desc("n"))
+    before = F.coalesce(F.sum("tied").over(falling.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bounds = sizes_of.withColumn("room", lexicon_words - before).where("room > 0").groupBy(F.col("lang").alias("of_lang"))
+    bounds = bounds.agg(F.min("n").alias("least"), F.min_by("tied", "n").alias("tied"), F.min_by("room", "n").alias("room"))
+    drawn_tie = (F.col("n") == F.col("least")) & (F.pmod(F.xxhash64("word"), F.col("tied")) < F.col("room"))
+    # One row for each language.
+    top = counts.join(F.broadcast(bounds), F.col("lang") == F.col("of_lang")).where((F.col("n") > F.col("least")) | drawn_tie)
     top = scratch.table(top.select(F.col("word").alias("of")).distinct(), "top")
-    # At most lexicon_words for each language, and a count of each in every language.
+    # About lexicon_words for each language, and a count of each in every language.
     rows = counts.join(top, F.col("word") == F.col("of")).select("word", "lang", "n").orderBy("word", "lang").collect()
     draw = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30))
     share = F.lit(0)

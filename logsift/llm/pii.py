@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -78,21 +79,44 @@ _NUMBER = re.compile(r"[0-9]{1,4}(?:[.,:/-][0-9]{1,4}){0,2}")
 _DIGITS = re.compile(r"[0-9]{5,}")
 _VERSION = re.compile(r"v?[0-9]{1,3}(?:\.[0-9]{1,3}){0,2}")
 
-# Gazetteers: words that name private values, and words before harmless numbers.
-_PRIVATE_WORDS = frozenset(
+#: Words that name private values, unless a caller has others.
+PRIVATE_WORDS = frozenset(
     "password passwd pwd token secret key apikey api_key access_key auth bearer login user "
     "iban account passport ssn card phone tel mobile email mail ip".split()
 )
-_HARMLESS_WORDS = frozenset(
-    "version license licence cc by-nc by by-sa chapter page section figure table no number year part rule step".split()
-)
+#: A word before candidates is harmless if it stands before so many and all but a few of
+#: them are short numbers or versions; at most so many words, the most frequent ones.
+HARMLESS_FROM, HARMLESS_SHARE, HARMLESS_WORDS = 20, 0.95, 5_000
+_WORD_LETTERS = 32
+
+
+@dataclass(frozen=True)
+class Gazetteers:
+    """Lower-case words that stand before private values, and before harmless numbers."""
+
+    private: frozenset[str] = PRIVATE_WORDS
+    harmless: frozenset[str] = frozenset()
+
+
+@dataclass(frozen=True)
+class Model:
+    """Weights of the span classifier, the words that its features know, and per labeler, class
+    and vote, how likely the vote was estimated to be."""
+
+    weights: np.ndarray
+    words: Gazetteers = Gazetteers()
+    reliability: np.ndarray | None = None
+
+    @classmethod
+    def blank(cls) -> Model:
+        return cls(np.zeros(1 + sum(FEATURE_SIZES)))
 
 LABELERS = ("finder", "hex", "key_id", "mixed", "card_digits", "named", "harmless_before", "number", "version", "unchecked")
 VOTES, YES, NO = 3, 1, 2  # a vote is 0 (none), YES or NO
 
 
-def _votes(word: str, before: tuple[str, str], found: bool) -> tuple[int, ...]:
-    named = before[0] in _PRIVATE_WORDS or before[1] in _PRIVATE_WORDS
+def _votes(word: str, before: tuple[str, str], found: bool, words: Gazetteers) -> tuple[int, ...]:
+    named = before[0] in words.private or before[1] in words.private
     digits = _DIGITS.fullmatch(word)
     card = bool(digits) and _is_card(word)
     return (
@@ -102,14 +126,14 @@ def _votes(word: str, before: tuple[str, str], found: bool) -> tuple[int, ...]:
         YES if _LONG_MIXED.fullmatch(word) else 0,
         YES if card else 0,
         YES if named else 0,
-        NO if before[0] in _HARMLESS_WORDS else 0,
+        NO if before[0] in words.harmless else 0,
         NO if _NUMBER.fullmatch(word) and not found else 0,
         NO if _VERSION.fullmatch(word) and not found else 0,
         NO if digits and not card and not found else 0,
     )
 
 
-def _features(word: str, before: tuple[str, str]) -> tuple[int, ...]:
+def _features(word: str, before: tuple[str, str], words: Gazetteers) -> tuple[int, ...]:
     """Buckets of length, digit share, letter cases and signs; what stands before."""
     digits = sum(c.isdigit() for c in word)
     letters = sum(c.isalpha() for c in word)
@@ -118,7 +142,7 @@ def _features(word: str, before: tuple[str, str]) -> tuple[int, ...]:
         4 * digits // len(word),
         (letters > 0) + 2 * (word.upper() == word and letters > 0),
         ("@" in word) + 2 * ("." in word),
-        int(before[0] in _PRIVATE_WORDS or before[1] in _PRIVATE_WORDS) + 2 * int(before[0] in _HARMLESS_WORDS),
+        int(before[0] in words.private or before[1] in words.private) + 2 * int(before[0] in words.harmless),
         int(bool(_DIGITS.fullmatch(word))) + int(_is_card(word)),
     )
 
@@ -126,8 +150,8 @@ def _features(word: str, before: tuple[str, str]) -> tuple[int, ...]:
 FEATURE_SIZES = (7, 5, 4, 4, 4, 3)
 
 
-def candidates(text: str, base: list[tuple[int, str, int]]) -> Iterator[tuple[int, int, bool, tuple, tuple]]:
-    """``(start, end, in a base span, votes, features)`` of every word with a digit or @."""
+def _words_with_signs(text: str, base: list[tuple[int, str, int]]) -> Iterator[tuple[int, int, str, bool, tuple[str, str]]]:
+    """``(start, end, word, in a base span, the two words before)`` of every word with a digit or @."""
     if not _SIGNS.search(text):
         return
     spans = sorted((a, b) for a, _, b in base)
@@ -141,11 +165,42 @@ def candidates(text: str, base: list[tuple[int, str, int]]) -> Iterator[tuple[in
             while k < len(spans) and spans[k][0] < end:
                 reach = max(reach, spans[k][1])
                 k += 1
-            found = reach > start
-            yield start, end, found, _votes(word, before, found), _features(word, before)
+            yield start, end, word, reach > start, before
         before = (word.lower(), before[0])
 
 
+def candidates(
+    text: str, base: list[tuple[int, str, int]], words: Gazetteers
+) -> Iterator[tuple[int, int, bool, tuple, tuple]]:
+    """``(start, end, in a base span, votes, features)`` of every word with a digit or @."""
+    for start, end, word, found, before in _words_with_signs(text, base):
+        yield start, end, found, _votes(word, before, found, words), _features(word, before, words)
+
+
+def _before_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many candidates stand behind each word, and how many of them are short numbers."""
+    for batch in batches:
+        seen: dict[str, list[int]] = {}
+        for text in batch.column(0):
+            value = text.as_py()
+            for _, _, word, found, before in _words_with_signs(value, base_spans(value)):
+                if 0 < len(before[0]) <= _WORD_LETTERS and not _SIGNS.search(before[0]):
+                    counts = seen.setdefault(before[0], [0, 0])
+                    counts[0] += 1
+                    counts[1] += not found and bool(_NUMBER.fullmatch(word) or _VERSION.fullmatch(word))
+        arrays = [pa.array(list(seen), pa.string()), *(pa.array([c[k] for c in seen.values()], pa.int64()) for k in (0, 1))]
+        yield pa.RecordBatch.from_arrays(arrays, ["word", "n", "n_short"])
+
+
+def learned_words(docs: DataFrame, private: frozenset[str] = PRIVATE_WORDS) -> Gazetteers:
+    """The private words, and the harmless ones that all rows of ``docs(text)`` show."""
+    counts = docs.where("text is not null").select("text").mapInArrow(_before_numbers, "word string, n long, n_short long")
+    sums = counts.groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_short").alias("n_short"))
+    sure = sums.where((F.col("n") >= HARMLESS_FROM) & (F.col("n_short") >= HARMLESS_SHARE * F.col("n")))
+    rows = sure.orderBy(F.desc("n"), "word").limit(HARMLESS_WORDS).collect()
+    return Gazetteers(private, frozenset(r.word for r in rows) - private)
+
+
 def estimate(votes: np.ndarray, counts: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
     """Expectation-maximisation over vote patterns: how likely each pattern is private.
 
@@ -186,39 +241,45 @@ def train(features: np.ndarray, private: np.ndarray, counts: np.ndarray) -> np.n
     return w
 
 
-def _pattern_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        seen: Counter = Counter()
-        for text in batch.column(0):
-            value = text.as_py()
-            for _, _, _, votes, features in candidates(value, base_spans(value)):
-                seen["".join(map(str, votes)), "".join(map(str, features))] += 1
-        votes, features = zip(*seen) if seen else ((), ())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(votes, pa.string()), pa.array(features, pa.string()), pa.array(list(seen.values()), pa.int64())],
-            ["votes", "features", "n"],
-        )
-
-
-def fit(docs: DataFrame) -> np.ndarray:
-    """Weights of the span classifier, from the candidates of all rows of ``docs(text)``.
-
-    Candidates are counted by votes and feature buckets before anything is shuffled; there
-    are at most 3 ** labelers times the product of ``FEATURE_SIZES`` such patterns, of which
-    few occur. Estimation and training run on the counts. Without candidates all weights
-    are zero and nothing is added.
+def _pattern_counts(words: Gazetteers):
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: Counter = Counter()
+            for text in batch.column(0):
+                value = text.as_py()
+                for _, _, _, votes, features in candidates(value, base_spans(value), words):
+                    seen["".join(map(str, votes)), "".join(map(str, features))] += 1
+            votes, features = zip(*seen) if seen else ((), ())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(votes, pa.string()), pa.array(features, pa.string()), pa.array(list(seen.values()), pa.int64())],
+                ["votes", "features", "n"],
+            )
+
+    return counted
+
+
+def fit(docs: DataFrame, words: Gazetteers | None = None) -> Model:
+    """The span classifier, from the candidates of all rows of ``docs(text)``.
+
+    Without ``words`` the harmless ones are learned first. Candidates are counted by votes and
+    feature buckets before anything is shuffled; each labeler has a vote that it may cast, so
+    there are at most 2 ** labelers times the product of ``FEATURE_SIZES`` such patterns, of
+    which few occur. Estimation and training run on the counts. Without candidates all
+    weights are zero and nothing is added.
     """
+    words = learned_words(docs) if words is None else words
     texts = docs.where("text is not null").select("text")
-    seen = texts.mapInArrow(_pattern_counts, "votes string, features string, n long")
+    seen = texts.mapInArrow(_pattern_counts(words), "votes string, features string, n long")
     rows = seen.groupBy("votes", "features").agg(F.sum("n").alias("n")).orderBy("votes", "features").collect()
     if not rows:
-        return np.zeros(1 + sum(FEATURE_SIZES))
+        return Model.blank()
     counts = np.array([row.n for row in rows], float)
-    private, _ = estimate(np.array([[int(v) for v in row.votes] for row in rows]), counts)
-    return train(np.array([[int(f) for f in row.features] for row in rows]), private, counts)
+    private, reliability = estimate(np.array([[int(v) for v in row.votes] for row in rows]), counts)
+    weights = train(np.array([[int(f) for f in row.features] for row in rows]), private, counts)
+    return Model(weights, words, reliability)
 
 
-def all_spans(text: str | None, weights: np.ndarray) -> list[tuple[str, int, int, bool]]:
+def all_spans(text: str | None, model: Model) -> list[tuple[str, int, int, bool]]:
     """``(kind, start, end, base)`` by start, then kind as listed.
 
     Base spans all stay. Words that lie in none and that the classifier takes for private
@@ -228,9 +289,9 @@ def all_spans(text: str | None, weights: np.ndarray) -> list[tuple[str, int, int
         return []
     base = base_spans(text)
     found = [(kind, start, end, True) for start, kind, end in base]
-    rest = [(a, b, f) for a, b, inside, _, f in candidates(text, base) if not inside]
+    rest = [(a, b, f) for a, b, inside, _, f in candidates(text, base, model.words) if not inside]
     if rest:
-        private = _design(np.array([f for _, _, f in rest])) @ weights > 0
+        private = _design(np.array([f for _, _, f in rest])) @ model.weights > 0
         found += [("secret", a, b, False) for (a, b, _), yes in zip(rest, private) if yes]
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
@@ -247,14 +308,14 @@ _SPANS = T.ArrayType(
 )
 
 
-def spans(text: Column, weights: np.ndarray) -> Column:
+def spans(text: Column, model: Model) -> Column:
     """Array of structs kind, start, end (code points, end exclusive), base. Null is empty."""
 
     @F.pandas_udf(_SPANS)
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         names = ("kind", "start", "end", "base")
         for batch in batches:
-            yield pd.Series([[dict(zip(names, s)) for s in all_spans(text, weights)] for text in batch])
+            yield pd.Series([[dict(zip(names, s)) for s in all_spans(text, model)] for text in batch])
 
     return found(text)
 

@@ -98,7 +98,7 @@ def test_no_language_fills_the_lexicon(spark):
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = langid.fit(table, lexicon_words=30)
     words = langid.Words.of(" donaudampfschifffahrt kapitänsmütze".encode())
-    assert np.isin(words.hashes, model.lexicon).all() and len(model.lexicon) == 32
+    assert np.isin(words.hashes, model.lexicon).all() and 17 <= len(model.lexicon) <= 52
     assert model.lexicon_of(words).argmax(axis=1).tolist() == [1, 1]
 
 

@@ -135,3 +135,12 @@ def test_moved_and_repeated_passages_go(spark, documents):
     later = [[k + 3] for k in range(4)] + [[k] for k in range(3)]
     gapped = [[2 * k] for k in range(4)] + [[8 + 2 * k] for k in range(3)]
     assert linededup.blocks_to_drop([1] * 7, [11] * 7, later, gapped, 20) == list(range(7))
+
+
+def test_a_long_text_of_one_repeated_pair_of_lines_ends():
+    """Every pass aligns a block of its own, so the passes are at most the words by the least block."""
+    pair = ["alpha beta gamma delta epsilon zeta", "eta theta iota kappa lambda mu"]
+    earlier = [list(range(0, 4_000, 2)), list(range(1, 4_000, 2))]
+    later = [list(range(0, 3_000, 2)), list(range(1, 3_000, 2))]
+    dropped = linededup.blocks_to_drop([1, 1], [len(x.split()) for x in pair], later, earlier, 20)
+    assert dropped == list(range(3_000))
