@@ -50,13 +50,14 @@ def state(triage, label=None):
 
 
 def test_five_appends_equal_one_ingest(spark, triage, tmp_path):
-    for part in PARTS:
-        report = triage.append(log_text=part, label="a").collect()
-        assert [r.source for r in report] == ["a"]
-    triage.append(log_text="INFO other", label="b")
+    for part in PARTS[:-1]:
+        triage.add_lines(lines(spark, a=part))
+    report = triage.append(log_text=PARTS[-1], label="a").collect()
+    assert [r.source for r in report] == ["a"]
+    triage.add_lines(lines(spark, b="INFO other"))
     whole = Triage(spark, str(tmp_path / "whole"))
     text = whole.ingest(log_text="\n".join(PARTS), label="a").first().report
-    whole.ingest(log_text="INFO other", label="b")
+    whole.store_lines(lines(spark, b="INFO other"))
     assert state(triage) == state(whole)
     assert report[0].report == text
     assert "Stack Traces (2 found)" in text
@@ -83,11 +84,11 @@ def test_append_after_append_to_many_sources(spark, triage, tmp_path):
 
 
 def test_replace_after_append_and_append_after_replace(spark, triage, tmp_path):
-    for part in PARTS:
-        triage.append(log_text=part, label="a")
-    triage.ingest(log_text="INFO new", label="a")
+    for part in PARTS[:3]:
+        triage.add_lines(lines(spark, a=part))
+    triage.store_lines(lines(spark, a="INFO new"))
     assert triage._stored("lines", "a").count() == 1
-    triage.append(log_text="INFO more\nINFO most", label="a")
+    triage.add_lines(lines(spark, a="INFO more\nINFO most"))
     assert sorted(r.line_no for r in triage._stored("lines", "a").collect()) == [1, 2, 3]
     assert triage.get_lines_text("a", around_line=99).startswith("Lines 94-3 ")
 
@@ -112,9 +113,9 @@ def test_append_of_nothing_and_of_a_new_source(spark, triage):
 # -- versions ------------------------------------------------------------------
 
 
-def test_ten_ingests_leave_one_live_batch(triage, tmp_path):
+def test_ten_ingests_leave_one_live_batch(spark, triage, tmp_path):
     for k in range(10):
-        triage.ingest(log_text=f"INFO {k}\nERROR {k}", label="a")
+        triage.store_lines(lines(spark, a=f"INFO {k}\nERROR {k}"))
     assert len(triage.store.version().batches) == 10
     before = state(triage)
     triage.compact()
@@ -127,12 +128,12 @@ def test_ten_ingests_leave_one_live_batch(triage, tmp_path):
 
 
 def test_compaction_merges_appends_and_keeps_whole_batches(spark, triage):
-    triage.ingest(log_text="INFO apart", label="z")
+    triage.store_lines(lines(spark, z="INFO apart"))
     apart = triage.store.version().batches[0][0]
     for part in PARTS:
-        triage.append(log_text=part, label="a")
+        triage.add_lines(lines(spark, a=part))
     triage.store_lines(lines(spark, b="ERROR b", c="ERROR c"))
-    triage.ingest(log_text="ERROR again", label="c")
+    triage.store_lines(lines(spark, c="ERROR again"))
     replies = [(s, f'{{"primary_issue": "of {s}"}}') for s in "abz"]
     for row in replies:
         triage.add_replies(spark.createDataFrame([row], "source string, reply string"))
@@ -147,7 +148,7 @@ def test_compaction_merges_appends_and_keeps_whole_batches(spark, triage):
     triage.store.vacuum()
     assert state(triage) == before
     assert triage.compact() == triage.store.version() and triage.store.version() == version
-    triage.append(log_text="INFO after", label="a")
+    triage.add_lines(lines(spark, a="INFO after"))
     assert triage.get_lines("a").agg(F.max("line_no")).first()[0] == 15
 
 
@@ -156,9 +157,9 @@ def test_compacting_an_empty_store(triage):
 
 
 def test_old_versions_stay_readable_until_vacuum(spark, triage):
-    triage.ingest(log_text="INFO one", label="a")
+    triage.store_lines(lines(spark, a="INFO one"))
     first = triage.store.version().number
-    triage.ingest(log_text="INFO two\nINFO three", label="a")
+    triage.store_lines(lines(spark, a="INFO two\nINFO three"))
     old = Triage(spark, triage.store.root, at=first)
     assert [r.line for r in old.get_lines("a").collect()] == ["INFO one"]
     assert triage.get_lines("a").count() == 2
@@ -171,13 +172,13 @@ def test_old_versions_stay_readable_until_vacuum(spark, triage):
 
 
 def test_second_of_two_appends_fails(spark, triage, monkeypatch):
-    triage.ingest(log_text="INFO one", label="a")
+    triage.store_lines(lines(spark, a="INFO one"))
     other = Triage(spark, triage.store.root)
     write = Store.write
 
     def slow(self, df, table, batch):
         if self is triage.store and table == "lines":
-            other.append(log_text="INFO of the other", label="a")
+            other.add_lines(lines(spark, a="INFO of the other"))
         return write(self, df, table, batch)
 
     monkeypatch.setattr(Store, "write", slow)
@@ -192,7 +193,7 @@ def test_second_of_two_appends_fails(spark, triage, monkeypatch):
 def test_writers_of_other_sources_both_succeed(spark, triage):
     other = Store(spark, triage.store.root)
     seen = triage.store.version()
-    triage.append(log_text="INFO a", label="a")
+    triage.add_lines(lines(spark, a="INFO a"))
     batch = other.new_batch()
     rows = spark.createDataFrame([("b", 1, 1, 0)], "source string, n_lines long, last_line long, last_chunk long")
     version = other.publish(rows, batch, APPEND, seen)
@@ -201,16 +202,16 @@ def test_writers_of_other_sources_both_succeed(spark, triage):
 
 
 def test_a_taken_number_is_not_overwritten(spark, triage):
-    triage.ingest(log_text="INFO a", label="a")
+    triage.store_lines(lines(spark, a="INFO a"))
     assert triage.store._put(Version(1, ())) is False
     assert len(triage.store.version().batches) == 1
 
 
 def test_compaction_fails_beside_another_writer(spark, triage, monkeypatch):
     for k in range(2):
-        triage.ingest(log_text=f"INFO {k}\nINFO two", label="a")
+        triage.store_lines(lines(spark, a=f"INFO {k}\nINFO two"))
     triage.store_lines(lines(spark, a="INFO a", b="INFO b"))
-    triage.ingest(log_text="INFO c", label="a")
+    triage.store_lines(lines(spark, a="INFO c"))
     other, publish = Triage(spark, triage.store.root), Store.publish
 
     def late(self, *args, **kwargs):
@@ -225,16 +226,16 @@ def test_compaction_fails_beside_another_writer(spark, triage, monkeypatch):
     assert sorted(r.source for r in triage.list_sources().collect()) == ["a", "b", "late"]
 
 
-def test_clock_that_runs_back_changes_nothing(triage, monkeypatch):
-    triage.ingest(log_text="INFO one", label="a")
+def test_clock_that_runs_back_changes_nothing(spark, triage, monkeypatch):
+    triage.store_lines(lines(spark, a="INFO one"))
     monkeypatch.setattr(time, "time_ns", lambda: 0)
     monkeypatch.setattr(time, "time", lambda: 0.0)
-    triage.ingest(log_text="INFO two", label="a")
+    triage.store_lines(lines(spark, a="INFO two"))
     assert [r.line for r in triage.get_lines("a").collect()] == ["INFO two"]
 
 
 def test_vacuum_leaves_what_writers_have_put_down(spark, triage, tmp_path):
-    triage.ingest(log_text="INFO one", label="a")
+    triage.store_lines(lines(spark, a="INFO one"))
     batch = triage.store.new_batch()
     triage.store.write(lines(spark, a="INFO x"), "lines", batch)
     assert triage.store.vacuum() == []
