@@ -76,14 +76,16 @@ class Triage:
         file_path: str | list[str] | None = None,
         label: str = "default",
         enable_semantic: bool = True,
+        strip: bool = False,
     ) -> DataFrame:
         """Store one log under a label and return its report ``(source, report)``.
 
         A text wins over a path. A list of paths, a folder or a glob is stored per file,
         under the files' addresses. A new log has no analysis yet; ``enable_semantic``
-        makes the report say so.
+        makes the report say so. ``strip`` takes white space off both ends of a text first,
+        which shifts the numbers of its lines.
         """
-        return self.ingest_lines(self._input(log_text, file_path, label), enable_semantic)
+        return self.ingest_lines(self._input(log_text, file_path, label, strip), enable_semantic)
 
     def append(
         self,
@@ -91,17 +93,20 @@ class Triage:
         file_path: str | list[str] | None = None,
         label: str = "default",
         enable_semantic: bool = True,
+        strip: bool = False,
     ) -> DataFrame:
         """``ingest`` that goes on where the stored log ends, or starts one; its whole report."""
-        return self.append_lines(self._input(log_text, file_path, label), enable_semantic)
+        return self.append_lines(self._input(log_text, file_path, label, strip), enable_semantic)
 
-    def _input(self, log_text: str | None, file_path: str | list[str] | None, label: str) -> DataFrame:
+    def _input(
+        self, log_text: str | None, file_path: str | list[str] | None, label: str, strip: bool
+    ) -> DataFrame:
         check_label(label)
         if log_text:
             if not log_text.strip():
                 raise ValueError("Log input is empty.")
             texts = self.spark.createDataFrame([(label, log_text)], "source string, text string")
-            return lines_from_text(texts)
+            return lines_from_text(texts, strip)
         many = not isinstance(file_path, str) or (
             any(c in file_path for c in "*?[{") or os.path.isdir(os.path.expanduser(file_path))
         )

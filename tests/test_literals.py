@@ -91,8 +91,8 @@ def test_very_long_line(spark):
     assert literals.grep_indexed(lines, grams, "nothing like it").count() == 0
 
 
-def test_a_rare_pattern_reads_few_rows(spark, tmp_path):
-    """Of a stored log, only the row groups of runs that may match are read."""
+def test_a_rare_pattern_and_a_window_read_few_rows(spark, tmp_path):
+    """Of a stored log, only the row groups of runs that may match, or of a window, are read."""
     text = spark.range(1, 60_001).selectExpr(
         "'big' AS source", "0L AS chunk", "id AS line_no",
         "concat(IF(id = 31234, 'needle ', 'INFO '), repeat(md5(string(id)), 4)) AS line",
@@ -111,6 +111,9 @@ def test_a_rare_pattern_reads_few_rows(spark, tmp_path):
     plan = found._jdf.queryExecution().executedPlan()
     read = _rows_read(spark, plan)
     assert 0 < read < 30_000
+    window = triage.get_lines("big", around_line=45_000)
+    assert sorted(r.line_no for r in window.collect()) == list(range(44_995, 45_006))
+    assert 0 < _rows_read(spark, window._jdf.queryExecution().executedPlan()) < 30_000
 
 
 def _rows_read(spark, plan):

@@ -202,6 +202,13 @@ def test_empty_store(triage, spark):
     assert [r.reason for r in bad.collect()] == ["unknown source"]
 
 
+def test_stripped_text(triage):
+    triage.ingest(log_text="\n \n ERROR x\nINFO y \n\n", label="a", strip=True)
+    triage.ingest(log_text="\nERROR x", label="b")
+    assert [(r.line_no, r.line) for r in triage.get_lines("a").collect()] == [(1, "ERROR x"), (2, "INFO y")]
+    assert [r.line_no for r in triage.get_lines("b", severity="error").collect()] == [2]
+
+
 def test_empty_input(triage, tmp_path):
     blank = tmp_path / "blank.log"
     blank.write_text(" \n\t\n")
