@@ -42,23 +42,28 @@ def _prefix(similarity: float) -> Column:
 
 
 def similar_pairs(a: list[np.ndarray], similarity: float, split: np.ndarray | None = None) -> list[tuple[int, int, float]]:
-    """Index pairs of sorted arrays whose Jaccard similarity is high enough.
+    """Index pairs of sets, as arrays, whose Jaccard similarity is high enough.
 
-    With ``split`` only pairs of which one has it and the other has not.
+    A set is held against all others at once, by the tokens that they share with it. With
+    ``split`` only pairs of which one has it and the other has not.
     """
+    if not a:
+        return []
     sizes = np.array([len(x) for x in a])
-    order = np.argsort(sizes, kind="stable")
-    found = []
-    for place, i in enumerate(order):
-        for j in order[place + 1 :]:
-            if sizes[i] < similarity * sizes[j] - 1e-9:
-                break
-            if split is not None and split[i] == split[j]:
-                continue
-            common = len(np.intersect1d(a[i], a[j], assume_unique=True))
-            alike = common / (sizes[i] + sizes[j] - common)
-            if alike >= similarity - 1e-12:
-                found.append((int(i), int(j), float(alike)))
+    values, flat = np.unique(np.concatenate(a), return_inverse=True)
+    owner = np.repeat(np.arange(len(a)), sizes)
+    own = np.split(flat, np.cumsum(sizes)[:-1])
+    marked, found = np.zeros(len(values), bool), []
+    for i, mine in enumerate(own):
+        marked[mine] = True
+        common = np.bincount(owner[marked[flat]], minlength=len(a))
+        marked[mine] = False
+        alike = common / (sizes + sizes[i] - common)
+        hits = alike >= similarity - 1e-12
+        hits[: i + 1] = False
+        if split is not None:
+            hits &= split != split[i]
+        found += [(i, int(j), float(alike[j])) for j in np.flatnonzero(hits)]
     return found
 
 
@@ -85,7 +90,7 @@ def similar_sources(
     dealt = dealt.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "class", "tokens", "own")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        sets = [np.sort(np.asarray(x)) for x in rows["tokens"]]
+        sets = [np.asarray(x) for x in rows["tokens"]]
         # Pairs within a chunk are found in the group of that chunk with itself.
         split = None if rows["i"].iloc[0] == rows["j"].iloc[0] else rows["own"].to_numpy()
         names = rows["class"].to_numpy()
