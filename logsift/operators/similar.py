@@ -25,7 +25,8 @@ def template_sets(groups: DataFrame, stage: Stage, levels: list[str] | None = No
     templates = templates_of(groups)
     chosen = templates if levels is None else templates.where(F.col("severity").isin(levels))
     held = stage(chosen.select("source", F.xxhash64("template").alias("token")).distinct(), "held")
-    sizes = held.groupBy("token").agg(F.count("*").alias("n_sources"))
+    # Written, the sizes are a plain side of the join, so that Spark splits a template of all sources.
+    sizes = stage(held.groupBy("token").agg(F.count("*").alias("n_sources")), "token-sizes")
     ranked = held.join(sizes, "token")
     ordered = F.sort_array(F.collect_list(F.struct("n_sources", "token")))
     sets = ranked.groupBy("source").agg(ordered.getField("token").alias("tokens"))
