@@ -81,6 +81,7 @@ def test_inside_never_follows_outside():
     assert all(b != 2 or a != 0 for a, b in zip([0, *tags], tags))
 
 
+ALPHABET = secrets.Alphabet()
 WORDS = "the of and house water river stone morning paper garden window yellow seven bridge table".split()
 CODES = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
@@ -180,6 +181,36 @@ def test_same_chain_and_long_chains(model):
     assert all(len(c.tokens) <= secrets.CHAIN_TOKENS for c in chains)
 
 
+def test_every_token_is_tagged():
+    """Also of words without a digit, short ones, and ones far from both."""
+    value = "Qx-Kd/Zp"
+    text = " ".join(WORDS * 40) + f"\n\n  pwd: {value} then " + " ".join(WORDS)
+    tokens = [t for c in secrets.chains_of(text) for t in c.tokens]
+    assert tokens == [m.span() for m in secrets._TOKEN.finditer(text)]
+    tagged = []
+    for k, word in enumerate(WORDS):
+        line = f"{word} pwd: {value} {word}"
+        chain = secrets.Chain(line, [m.span() for m in secrets._TOKEN.finditer(line)], (0, 0, 0))
+        start = line.index(value)
+        tagged.append((chain, secrets.tags_of(chain, [(start, start + len(value))])))
+        line = " ".join(WORDS[k:] + WORDS[:k])
+        chain = secrets.Chain(line, [m.span() for m in secrets._TOKEN.finditer(line)], (0, 0, 0))
+        tagged.append((chain, secrets.tags_of(chain, [])))
+    start = text.index(value)
+    assert secrets.tagged_spans(["", text, None], secrets.train(tagged)) == [[], [(start, start + len(value))], []]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(max_size=30) | st.sampled_from(["a_b-1", "\n", " \x1c\x85", "\U0001f511Z9\U00010400"]), max_size=4))
+def test_tokens_of_texts_side_by_side(texts):
+    tokens = secrets.Tokens(texts, ALPHABET)
+    found = zip(tokens.text.tolist(), (tokens.start - tokens.offsets[tokens.text]).tolist(), (tokens.end - tokens.offsets[tokens.text]).tolist())
+    assert list(found) == [(k, *m.span()) for k, t in enumerate(texts) for m in secrets._TOKEN.finditer(t)]
+    together = tokens.features(np.zeros((len(texts), 3), int))
+    alone = [secrets.Tokens([t], ALPHABET).features(np.zeros((1, 3), int)) for t in texts]
+    assert np.array_equal(together, np.concatenate([np.zeros((15, 0), int), *alone], axis=1))
+
+
 def test_fit_without_secrets_or_rows(spark, documents):
     for rows in ([], [(1, None)], [(1, "")], [(1, "nothing here 2024-10-11 to learn")]):
         blank = secrets.fit(documents(rows))
