@@ -25,6 +25,10 @@ SEVERITY_STEMS = {
     "debug": ["DEBUG", "TRACE", "VERBOSE"],
 }
 
+# Of the letters beyond ASCII that match one of a stem when case is ignored, the one that is no
+# such letter in capitals, and that letter.
+FOLDED = ("İ", "I")
+
 # Lines that belong to a stack trace, matched at line start.
 STACK = [
     r"^\s+at\s+",
@@ -64,6 +68,7 @@ CLOCK = r"\d{2}:\d{2}:\d{2}"
 UUID = r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"  # any case
 ADDRESS = r"0x[0-9a-f]+"  # any case
 NUMBER = r"\b\d{4,}\b"
+DIGITS = r"\d{4}"  # what every such number holds
 MARK_TIMESTAMP, MARK_UUID, MARK_ADDRESS, MARK_NUMBER = "<TS>", "<UUID>", "<ADDR>", "<NUM>"
 
 # What is left out when a line is shown.

@@ -3,9 +3,11 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from logsift.functions import catalogue as cat
 from logsift.functions import text as tx
-from logsift.functions.dialect import user_match
+from logsift.functions.dialect import unicode_form, user_match
 from tests import plain
 
 
@@ -197,3 +199,19 @@ def test_classification_of_a_stream(spark, tmp_path):
         query.stop()
     rows = spark.table("classified").select("cleaned", "severity").collect()
     assert sorted(map(tuple, rows)) == [("ERROR x", "error"), ("plain", "unknown")]
+
+
+def test_plain_searches_stand_ahead_of_regexes_beyond_ascii(spark):
+    """Also of letters that only match in some case, and of words that only begin with a stem."""
+    texts = ["crİt é", "CRıT é", "ınfo é", "İNFO é", "NOTıce", "notİce é", "éERROR", "x errors é", "a warnıng", "ß err", "trace_é", "\u212aerr err"]
+    texts += [f"{t} 12:34:56 0Xab٣٤٥٦ 1234 é12345 [ ]" for t in texts] + ["é١٢٣٤ ١٢٣٤ x", "é-0x1F -"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    plain = F
+    for level, pattern in cat.SEVERITY:
+        plain = plain.when(t.rlike(unicode_form(pattern, True)), level)
+    shown = tx.detect_severity(t)
+    found = rows.select("t", shown.alias("found"), plain.otherwise("unknown").alias("plain")).collect()
+    assert [(r.t, r.found) for r in found] == [(r.t, r.plain) for r in found]
+    in_unicode = str(shown._jc).split("(?iUd)")
+    assert all(before.count("contains(") for before in in_unicode[:-1]) and all(after.startswith("(?=") for after in in_unicode[1:])
