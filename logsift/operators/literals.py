@@ -45,14 +45,13 @@ def run_of(line_no: Column) -> Column:
 def line_grams(lines: DataFrame) -> DataFrame:
     """``(source, run, gram)``: the distinct ASCII grams of every run of ``RUN_LINES`` line numbers.
 
-    A line is cut into characters once, so a long line costs in proportion to its length.
+    One pass of a regex cuts all grams of a line, so a long line costs in proportion to its length.
     Grams of a task's lines are combined before they are shuffled by source, run and gram.
     """
-    chars = lines.select("source", run_of(F.col("line_no")).alias("run"), F.split(folded(F.col("line")), "").alias("c"))
-    at = F.sequence(F.lit(1), F.size("c") - (GRAM - 1))
-    gram = F.transform(at, lambda i: F.concat(*[F.element_at("c", i + k) for k in range(GRAM)]))
-    grams = chars.where(F.size("c") >= GRAM).select("source", "run", F.explode(F.array_distinct(gram)).alias("gram"))
-    return grams.where(F.octet_length("gram") == GRAM).distinct()
+    # Nothing is consumed, so a gram is found at every character.
+    gram = F.regexp_extract_all(folded(F.col("line")), F.lit(rf"(?=([\x00-\x7f]{{{GRAM}}}))"), F.lit(1))
+    runs = lines.select("source", run_of(F.col("line_no")).alias("run"), F.explode(F.array_distinct(gram)).alias("gram"))
+    return runs.distinct()
 
 
 def required_literals(pattern: str) -> list[list[str]] | None:
