@@ -42,11 +42,14 @@ def _prefix(similarity: float) -> Column:
     return F.slice("tokens", 1, F.least(kept, F.col("size")).cast("int"))
 
 
-def similar_pairs(a: list[np.ndarray], similarity: float, split: np.ndarray | None = None) -> list[tuple[int, int, float]]:
+def similar_pairs(
+    a: list[np.ndarray], similarity: float, split: np.ndarray | None = None, token: int | None = None
+) -> list[tuple[int, int, float]]:
     """Index pairs of sets, as arrays, whose Jaccard similarity is high enough.
 
     A set is held against all others at once, by the tokens that they share with it. With
-    ``split`` only pairs of which one has it and the other has not.
+    ``split`` only pairs of which one has it and the other has not. With ``token``, which all
+    sets hold, only pairs that share none ahead of it; sets then have one order of tokens.
     """
     if not a:
         return []
@@ -55,6 +58,10 @@ def similar_pairs(a: list[np.ndarray], similarity: float, split: np.ndarray | No
     owner = np.repeat(np.arange(len(a)), sizes)
     own = np.split(flat, np.cumsum(sizes)[:-1])
     marked, found = np.zeros(len(values), bool), []
+    if token is not None:
+        place = [int(np.flatnonzero(x == token)[0]) for x in a]
+        ahead = [mine[:k] for mine, k in zip(own, place)]
+        ahead_flat, ahead_owner = np.concatenate(ahead), np.repeat(np.arange(len(a)), place)
     for i, mine in enumerate(own):
         marked[mine] = True
         common = np.bincount(owner[marked[flat]], minlength=len(a))
@@ -64,6 +71,10 @@ def similar_pairs(a: list[np.ndarray], similarity: float, split: np.ndarray | No
         hits[: i + 1] = False
         if split is not None:
             hits &= split != split[i]
+        if token is not None and place[i]:
+            marked[ahead[i]] = True
+            hits[ahead_owner[marked[ahead_flat]]] = False
+            marked[ahead[i]] = False
         found += [(i, int(j), float(alike[j])) for j in np.flatnonzero(hits)]
     return found
 
@@ -76,32 +87,32 @@ def similar_sources(
     Sources with equal sets of templates are one class, named by its first source. Pairs are
     classes whose sets have a Jaccard similarity of at least ``similarity``, ``a`` before ``b``.
     Two such sets share one of their rarest templates, as many as may be missing and one more;
-    only sets that do are compared. A template of many sets is dealt out as pairs of chunks,
+    only sets that do are compared, and a pair is given by the first one that they share, so
+    nothing is left to join or to drop over the pairs. A template of many sets is dealt out as pairs of chunks,
     each compared in a group of its own, so one that all sources share is no hot key, and it
     is among the rarest of a set only where the set has little else.
     """
     members, classes = template_sets(groups, stage, levels)
-    placed = classes.select("class", "tokens", F.explode(_prefix(similarity)).alias("token"))
+    placed = classes.select("class", "first_source", "tokens", F.explode(_prefix(similarity)).alias("token"))
     sizes = placed.groupBy("token").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"), F.count("*").alias("n"))
     sizes = stage(sizes.where("n > 1").select(F.col("token").alias("of"), "chunks"), "sizes")
     own = F.pmod(F.xxhash64("class", F.lit(3)), F.col("chunks")).cast("int")
     dealt = placed.join(sizes, F.col("token") == F.col("of")).select(
-        "token", "class", "tokens", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
+        "token", "first_source", "tokens", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
     )
-    dealt = dealt.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "class", "tokens", "own")
+    i, j = F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
+    dealt = dealt.select("token", i, j, "first_source", "tokens", "own")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         sets = [np.asarray(x) for x in rows["tokens"]]
         # Pairs within a chunk are found in the group of that chunk with itself.
         split = None if rows["i"].iloc[0] == rows["j"].iloc[0] else rows["own"].to_numpy()
-        names = rows["class"].to_numpy()
-        found = [(*sorted((names[i], names[j])), alike) for i, j, alike in similar_pairs(sets, similarity, split)]
-        return pd.DataFrame(found, columns=["a", "b", "similarity"]).astype({"a": "int64", "b": "int64", "similarity": "float64"})
+        names = rows["first_source"].to_numpy()
+        found = similar_pairs(sets, similarity, split, rows["token"].iloc[0])
+        columns = [names[np.array([f[0] for f in found], int)], names[np.array([f[1] for f in found], int)], [f[2] for f in found]]
+        return pd.DataFrame(dict(zip(("x", "y", "similarity"), columns))).astype({"similarity": "float64"})
 
-    pairs = dealt.groupBy("token", "i", "j").applyInPandas(compare, "a long, b long, similarity double")
-    # A pair that shares several rare templates is found with each.
-    pairs = pairs.dropDuplicates(["a", "b"])
+    pairs = dealt.groupBy("token", "i", "j").applyInPandas(compare, "x string, y string, similarity double")
     firsts = classes.select("class", "first_source")
-    named = pairs.join(firsts.toDF("a", "x"), "a").join(firsts.toDF("b", "y"), "b")
     members = members.join(firsts, "class").select("source", "first_source")
-    return members, named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
+    return members, pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")

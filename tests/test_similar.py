@@ -102,3 +102,21 @@ def test_on_line_groups(spark, lines_of):
     groups = tp.line_groups(lines_of(a="ERROR x 12345\nINFO y", b="INFO y\nERROR x 99999", c="INFO z"))
     members, _ = similar.similar_sources(groups, parquet_stage(spark))
     assert {r.source: r.first_source for r in members.collect()} == {"a": "a", "b": "a", "c": "c"}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_pairs_come_once_with_the_first_token_they_share(seed):
+    rng = np.random.default_rng(seed)
+    sets = [np.sort(rng.choice(30, rng.integers(2, 9), replace=False)) for _ in range(60)]
+    found = []
+    for token in range(30):
+        at = [k for k, x in enumerate(sets) if token in x]
+        found += [(at[i], at[j], alike) for i, j, alike in similar.similar_pairs([sets[k] for k in at], 0.2, token=token)]
+    assert sorted(found) == sorted(similar.similar_pairs(sets, 0.2)) and found
+
+
+def test_pairs_leave_the_comparison_without_another_shuffle(spark):
+    lines = spark.createDataFrame([(f"s{k}", 1, f"same line {k % 2}") for k in range(4)], "source string, line_no long, line string")
+    _, pairs = similar.similar_sources(tp.line_groups(lines), lambda df, name: df, 0.5)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan.split("FlatMapGroupsInPandas")[0] and "Aggregate" not in plan.split("FlatMapGroupsInPandas")[0]
