@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import json
 import os
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
-from itertools import accumulate, count
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -27,8 +27,10 @@ from logsift.llm.scratch import Scratch
 BLOCK_CHARS = 8_000_000
 #: Blocks whose pairs are summed first, so that a pair of all blocks is no hot key.
 SPAN_BLOCKS = 256
-#: Characters that are encoded at once, and half of the segments that a task remembers.
-_CALL_CHARS, _KNOWN = 250_000, 300_000
+#: Characters of the texts that are cut at once, and of segments that are encoded as one text.
+_CALL_CHARS, _JOINT_CHARS = 1_000_000, 4_000
+#: Bytes of written groups beyond which a task ends a block and forgets the segments that it has met.
+_KNOWN_BYTES = 24_000_000
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _BESIDE = re.compile(r" [^\S ]|[^\S ] ")
 
@@ -100,65 +102,91 @@ class Pieces:
         return lambda texts: model.encode(texts, num_threads=1), [piece(i) for i in range(model.get_piece_size())]
 
 
+@dataclass(frozen=True)
+class Overlaps:
+    """Two rows of tokens laid over the same bytes."""
+
+    #: Byte offsets where tokens of both sides end, and how many tokens of each side lie before them.
+    ends: np.ndarray
+    at_a: np.ndarray
+    at_b: np.ndarray
+    #: For every two tokens that overlap the byte offset where that ends, and their places.
+    link_ends: np.ndarray
+    link_a: np.ndarray
+    link_b: np.ndarray
+
+
+def overlaps(size_a: np.ndarray, size_b: np.ndarray) -> Overlaps:
+    """Shared ends and overlapping tokens of two rows of tokens with these sizes in bytes."""
+    end_a, end_b = np.cumsum(size_a), np.cumsum(size_b)
+    marks = np.zeros(1 + max(end_a.max(initial=0), end_b.max(initial=0)), np.uint8)
+    marks[end_a] = 1
+    marks[end_b] |= 2
+    # Between one end and the next, whichever side's, one token of each side lies.
+    ends, link_ends = np.flatnonzero(marks == 3), 1 + np.flatnonzero(marks[1:])
+    link_ends = link_ends[link_ends <= min(end_a.max(initial=0), end_b.max(initial=0))]
+    return Overlaps(
+        ends, np.searchsorted(end_a, ends, "right"), np.searchsorted(end_b, ends, "right"),
+        link_ends, np.searchsorted(end_a, link_ends), np.searchsorted(end_b, link_ends),
+    )
+
+
 def slices_of(
     a: list[int], b: list[int], len_a: list[int], len_b: list[int]
 ) -> tuple[list[int], list[tuple[tuple, tuple]]]:
     """Byte offsets where tokens of both sides end, and the id lists cut there."""
-    end_a = dict(zip(accumulate(map(len_a.__getitem__, a)), count(1)))
-    end_b = dict(zip(accumulate(map(len_b.__getitem__, b)), count(1)))
-    ends = sorted(end_a.keys() & end_b.keys())
-    at_a, at_b = (list(map(end.__getitem__, ends)) for end in (end_a, end_b))
+    found = overlaps(np.array(len_a)[a], np.array(len_b)[b])
+    at_a, at_b = found.at_a.tolist(), found.at_b.tolist()
     a, b = tuple(a), tuple(b)
-    return ends, [(a[i:k], b[j:m]) for i, k, j, m in zip([0, *at_a], at_a, [0, *at_b], at_b)]
+    return found.ends.tolist(), [(a[i:k], b[j:m]) for i, k, j, m in zip([0, *at_a], at_a, [0, *at_b], at_b)]
 
 
 def links_of(a: tuple, b: tuple, len_a: list[int], len_b: list[int]) -> list[tuple[int, int]]:
     """Id pairs of the tokens of one slice whose byte ranges overlap."""
-    found, i, j = [], 0, 0
-    start_a = start_b = 0
-    while i < len(a) and j < len(b):
-        end_a, end_b = start_a + len_a[a[i]], start_b + len_b[b[j]]
-        if min(end_a, end_b) > max(start_a, start_b):
-            found.append((a[i], b[j]))
-        if end_a <= end_b:
-            i, start_a = i + 1, end_a
-        if end_b <= end_a:
-            j, start_b = j + 1, end_b
-    return found
+    found = overlaps(np.array(len_a)[list(a)], np.array(len_b)[list(b)])
+    return [(a[i], b[j]) for i, j in zip(found.link_a.tolist(), found.link_b.tolist())]
 
 
 def written(a: tuple, b: tuple) -> str:
     return f"{','.join(map(str, a))}|{','.join(map(str, b))}"
 
 
-class Group:
-    """The ids of both sides between two shared ends, their links and how they are written."""
-
-    __slots__ = ("a", "b", "links", "name")
-
-    def __init__(self, a: tuple, b: tuple, len_a: list[int], len_b: list[int]) -> None:
-        self.a, self.b, self.links, self.name = a, b, links_of(a, b, len_a, len_b), written(a, b)
-
-
-class Segment:
-    """What a run of text between two cuts is under both tokenizers, one space before it."""
+def read_groups(text: str) -> list[dict[str, list[int]]]:
+    """The id lists of groups that are written and joined by semicolons."""
+    return [
+        {side: [int(i) for i in ids.split(",")] for side, ids in zip("ab", group.split("|"))} for group in text.split(";")
+    ]
 
-    __slots__ = ("groups", "name")
 
-    def __init__(self, groups: list[Group]) -> None:
-        self.groups, self.name = groups, ";".join([g.name for g in groups])
+def _values(array: pa.LargeBinaryArray) -> tuple[np.ndarray, memoryview]:
+    """Where the values of an array that is not sliced begin and end, and their bytes, one after the other."""
+    if not len(array):
+        return np.zeros(1, np.int64), memoryview(b"")
+    _, offsets, data = array.buffers()
+    return np.frombuffer(offsets, np.int64, len(array) + 1), memoryview(data or b"").cast("B")
 
 
 class _Segments:
-    """Segments that a task has met of late; those not met again are forgotten in turn."""
+    """Segments that a task has met, numbered, with their tokens, groups and links under both tokenizers."""
 
     def __init__(self, a: ByteLevel | Pieces, b: ByteLevel | Pieces) -> None:
-        (self.encode_a, self.bytes_a), (self.encode_b, self.bytes_b) = a.load(), b.load()
-        self.len_a, self.len_b = list(map(len, self.bytes_a)), list(map(len, self.bytes_b))
-        self.cuts = a.cuts_at_spaces(self.bytes_a) and b.cuts_at_spaces(self.bytes_b)
-        self.known: dict[str, Segment | None] = {}
-        self.older: dict[str, Segment | None] = {}
-        self.groups: dict[tuple[tuple, tuple], Group] = {}
+        (encode_a, bytes_a), (encode_b, bytes_b) = a.load(), b.load()
+        self.cuts = a.cuts_at_spaces(bytes_a) and b.cuts_at_spaces(bytes_b)
+        self.sides = [(encode_a, pa.array(bytes_a, pa.large_binary())), (encode_b, pa.array(bytes_b, pa.large_binary()))]
+        #: Every id with what may follow it in writing.
+        ids = range(max(len(bytes_a), len(bytes_b)))
+        self.written = pa.array([f"{i}{after}".encode() for i in ids for after in ",|;"], pa.large_binary())
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers: dict[str, int] = {}
+        #: The groups of each segment, written, with a semicolon behind each; nothing if it has no tokens.
+        self.names = pa.array([], pa.large_binary())
+        #: Tokens of both sides, groups and links of each segment.
+        self.sums = np.zeros((0, 4), np.int64)
+        #: Numbers of the linked id pairs, one segment behind the other.
+        self.links = np.zeros(0, np.int32)
+        self.pairs: dict[int, int] = {}
 
     def of(self, text: str) -> list[str]:
         """A text cut at each space between two characters that are none, where tokens of both
@@ -171,54 +199,84 @@ class _Segments:
             return _CUT.split(text)
         return parts
 
-    def learn(self, segments: set[str]) -> None:
-        if len(self.known) > _KNOWN:
-            self.known, self.older = {}, self.known
-            self.groups = {}
-        fresh = []
-        for s in segments - self.known.keys():
-            if s in self.older:
-                self.known[s] = self.older[s]
-            else:
-                fresh.append(s)
+    def learn(self, segments: Iterable[str]) -> None:
+        """Segments, each given once; those that the task has not met are encoded."""
         # Joined again, segments without white space at their ends are cut at the same places.
-        joint, size = [], 0
-        for s in fresh:
-            if not self.cuts or not s.strip() == s:
-                self._learn([s])
-                continue
-            joint.append(s)
-            size += len(s)
-            if size >= _CALL_CHARS:
-                self._learn(joint)
-                joint, size = [], 0
+        joints, joint, chars, size = [], [], 0, 0
+        for s in [s for s in segments if s not in self.numbers]:
+            chars += len(s)
+            if self.cuts and s.strip() == s:
+                joint.append(s)
+                size += len(s)
+                if size >= _JOINT_CHARS:
+                    joints.append(joint)
+                    joint, size = [], 0
+            else:
+                joints.append([s])
+            if chars >= _CALL_CHARS:
+                self._learn([*joints, joint] if joint else joints)
+                joints, joint, chars, size = [], [], 0, 0
         if joint:
-            self._learn(joint)
-
-    def _learn(self, segments: list[str]) -> None:
-        text = " ".join(segments)
-        (a,), (b,), whole = self.encode_a([text]), self.encode_b([text]), b" " + text.encode()
-        if any(b"".join(map(t.__getitem__, ids)) != whole for t, ids in ((self.bytes_a, a), (self.bytes_b, b))):
+            joints.append(joint)
+        if joints:
+            self._learn(joints)
+
+    def _learn(self, joints: list[list[str]]) -> None:
+        texts = [" ".join(joint) for joint in joints]
+        given, found = np.ones(len(texts), bool), []
+        for encode, pieces in self.sides:
+            ids = encode(texts)
+            sizes = np.array(list(map(len, ids)), np.int64)
+            flat = np.fromiter(chain.from_iterable(ids), np.int64, sizes.sum())
+            offsets, data = _values(pieces.take(pa.array(flat)))
+            stops = np.cumsum(sizes)
+            for k, (text, start, stop) in enumerate(zip(texts, offsets[stops - sizes], offsets[stops])):
+                given[k] &= data[start:stop] == b" " + text.encode()
+            found.append((flat, np.diff(offsets), sizes))
+        if not given.all():
             # A character that a tokenizer does not give back: find the segments that hold it.
-            if len(segments) == 1:
-                self.known[text] = None
-            else:
-                half = len(segments) // 2
-                self._learn(segments[:half])
-                self._learn(segments[half:])
-            return
-        ends, slices = slices_of(a, b, self.len_a, self.len_b)
-        held, groups = self.groups, []
-        for key in slices:
-            if (group := held.get(key)) is None:
-                group = held[key] = Group(*key, self.len_a, self.len_b)
-            groups.append(group)
-        # The end of every segment is one of both sides.
-        place, start = dict(zip(ends, count(1))), 0
-        for name, end in zip(segments, accumulate(1 + len(s.encode()) for s in segments)):
-            stop = place[end]
-            self.known[name] = Segment(groups[start:stop])
-            start = stop
+            found = [(flat[kept], lengths[kept], sizes) for flat, lengths, sizes in found for kept in [np.repeat(given, sizes)]]
+            lost = [joint for joint, whole in zip(joints, given) if not whole]
+            self._without_tokens([joint[0] for joint in lost if len(joint) == 1])
+            if parts := [[s] for joint in lost if len(joint) > 1 for s in joint]:
+                self._learn(parts)
+            joints = [joint for joint, whole in zip(joints, given) if whole]
+        if joints:
+            (a, size_a, _), (b, size_b, _) = found
+            self._add(list(chain.from_iterable(joints)), a, b, overlaps(size_a, size_b))
+
+    def _without_tokens(self, segments: list[str]) -> None:
+        none = np.zeros(len(segments), np.int64)
+        self._keep(segments, pa.array([b""] * len(segments), pa.large_binary()), np.stack([none] * 4, axis=1), none[:0])
+
+    def _add(self, segments: list[str], a: np.ndarray, b: np.ndarray, found: Overlaps) -> None:
+        lengths = pc.binary_length(pa.array(segments, pa.large_string())).to_numpy()
+        ends = np.cumsum(1 + lengths)
+        groups, links = np.searchsorted(found.ends, ends, "right"), np.searchsorted(found.link_ends, ends, "right")
+        if not np.array_equal(found.ends[groups - 1], ends):
+            raise ValueError("A token spans two segments")
+        # Ids in the order in which they are written: those of a group's one side, then those of its other side.
+        sizes_a, sizes_b = np.diff(found.at_a, prepend=0), np.diff(found.at_b, prepend=0)
+        codes_a, codes_b = 3 * a, 3 * b
+        codes_a[found.at_a - 1] += 1
+        codes_b[found.at_b - 1] += 2
+        codes = np.empty(len(a) + len(b), np.int64)
+        codes[np.arange(len(a)) + np.repeat(found.at_b - sizes_b, sizes_a)] = codes_a
+        codes[np.arange(len(b)) + np.repeat(found.at_a, sizes_b)] = codes_b
+        at = [np.concatenate([[0], x])[groups] for x in (found.at_a, found.at_b)]
+        taken = self.written.take(pa.array(codes))
+        starts = np.concatenate([[0], _values(taken)[0][at[0] + at[1]]])
+        names = pa.Array.from_buffers(pa.large_binary(), len(segments), [None, pa.py_buffer(starts), taken.buffers()[2]])
+        pairs, links_of_pairs = np.unique(a[found.link_a] << 32 | b[found.link_b], return_inverse=True)
+        pairs = np.array([self.pairs.setdefault(p, len(self.pairs)) for p in pairs.tolist()], np.int32)
+        sums = np.stack([np.diff(x, prepend=0) for x in (*at, groups, links)], axis=1)
+        self._keep(segments, names, sums, pairs[links_of_pairs])
+
+    def _keep(self, segments: list[str], names: pa.Array, sums: np.ndarray, links: np.ndarray) -> None:
+        self.numbers.update(zip(segments, count(len(self.numbers))))
+        self.names = pa.concat_arrays([self.names, names])
+        self.sums = np.concatenate([self.sums, sums])
+        self.links = np.concatenate([self.links, links.astype(np.int32)])
 
 
 _IDS = pa.list_(pa.int32())
@@ -258,85 +316,76 @@ def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
 
 
-class _Numbers(dict):
-    """Segments numbered in the order in which they are asked for."""
-
-    def __init__(self, segments: _Segments) -> None:
-        super().__init__()
-        self.segments, self.found = segments, []
-        self.bad: set[int] = set()
-
-    def __missing__(self, text: str) -> int:
-        number = self[text] = len(self.found)
-        segment = self.segments.known[text]
-        if segment is None:
-            self.bad.add(number)
-        self.found.append(segment or Segment([]))
-        return number
-
-
 class _Block:
     """Documents whose distinct segments and pairs are numbered together."""
 
     def __init__(self, number: int, with_groups: bool, segments: _Segments) -> None:
-        self.number, self.with_groups = number, with_groups
-        self.numbers = _Numbers(segments)
+        self.number, self.with_groups, self.segments = number, with_groups, segments
         self.rows: list[dict] = []
+        #: Of each document its segments, ascending, and how often it has them.
         self.held: list[tuple[np.ndarray, np.ndarray]] = []
         self.chars = 0
 
-    def add(self, doc_id: int | None, segments: list[str], chars: int) -> None:
-        at = [self.numbers[s] for s in segments]
-        if self.numbers.bad and not self.numbers.bad.isdisjoint(at):
-            at = []
-        found = self.numbers.found
-        text = ";".join([found[k].name for k in at])
+    def add(self, doc_id: int | None, numbers: np.ndarray, groups: memoryview, chars: int) -> None:
+        """A document by its segments and how their groups are written; both are empty without tokens."""
+        numbers_of, times_of = np.unique(numbers, return_counts=True)
         row = {"block": self.number, "is_doc": True, "doc_id": doc_id}
-        row["groups_sha256"] = hashlib.sha256(text.encode()).hexdigest() if at else ""
+        row["n_a"], row["n_b"], row["n_groups"], row["n_links"] = (times_of @ self.segments.sums[numbers_of]).tolist()
+        row["groups_sha256"] = hashlib.sha256(groups).hexdigest() if groups else ""
         if self.with_groups:
-            row["groups"] = [{"a": g.a, "b": g.b} for k in at for g in found[k].groups]
+            row["groups"] = read_groups(groups.tobytes().decode()) if groups else []
         self.rows.append(row)
-        self.held.append(np.unique(np.array(at, np.int64), return_counts=True))
+        self.held.append((numbers_of, times_of))
         self.chars += chars
 
     def batch(self) -> pa.RecordBatch:
-        found = self.numbers.found
-        # How many tokens, groups and links each segment has, from those of its distinct groups.
-        numbers: dict[Group, int] = {}
-        group_of = np.array([numbers.setdefault(g, len(numbers)) for s in found for g in s.groups], np.int64)
-        sizes = np.array([len(s.groups) for s in found], np.int64)
-        segment_of = np.repeat(np.arange(len(found)), sizes)
-        per_group = np.array([[len(g.a), len(g.b), 1, len(g.links)] for g in numbers], np.int64).reshape(-1, 4)
-        upto = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(per_group[group_of], axis=0)])
-        last = np.cumsum(sizes)
-        sums = upto[last] - upto[last - sizes]
-        times = np.zeros(len(found), np.int64)
-        for row, (numbers_of, times_of) in zip(self.rows, self.held):
+        known = self.segments
+        times = np.zeros(len(known.sums), np.int64)
+        for numbers_of, times_of in self.held:
             times[numbers_of] += times_of
-            row["n_a"], row["n_b"], row["n_groups"], row["n_links"] = (times_of @ sums[numbers_of]).tolist()
-            row["held"] = packed(numbers_of, times_of)
-        # Segments that only documents without tokens hold link nothing.
-        used = times[segment_of] > 0
-        group_of, segment_of = group_of[used], segment_of[used]
-        pairs: dict[tuple[int, int], int] = {}
-        links = np.array([pairs.setdefault(pair, len(pairs)) for g in numbers for pair in g.links], np.int64)
-        n_links = per_group[:, 3]
-        link_pair = links[_runs((np.cumsum(n_links) - n_links)[group_of], n_links[group_of])]
-        link_segment = np.repeat(segment_of, n_links[group_of])
-        # Pairs of groups that are not used are not counted.
-        seen, link_pair = np.unique(link_pair, return_inverse=True)
-        ids = np.array(list(pairs), np.int32).reshape(-1, 2)[seen]
-        totals = np.bincount(link_pair, times[link_segment], len(ids))
+        # The block's own numbers of its segments.
+        used = np.flatnonzero(times)
+        place = np.cumsum(times > 0) - 1
+        for row, (numbers_of, times_of) in zip(self.rows, self.held):
+            row["held"] = packed(place[numbers_of], times_of)
+        n_links = known.sums[:, 3]
+        link_pair = known.links[_runs((np.cumsum(n_links) - n_links)[used], n_links[used])]
+        link_segment = np.repeat(np.arange(len(used)), n_links[used])
+        # Pairs of segments that are not used are not counted; small numbers for frequent pairs pack well.
+        n_of = np.bincount(link_pair, minlength=len(known.pairs))
+        seen = np.argsort(-n_of, kind="stable")[: np.count_nonzero(n_of)]
+        number = np.empty(len(n_of), np.int64)
+        number[seen] = np.arange(len(seen))
+        link_pair = number[link_pair]
+        ids = np.fromiter(known.pairs, np.int64, len(known.pairs))[seen]
+        totals = np.bincount(link_pair, times[used][link_segment], len(ids))
         self.rows.append(
             {
                 "block": self.number, "is_doc": False, "held": packed(link_segment, link_pair),
-                "a": ids[:, 0], "b": ids[:, 1], "n": totals.astype(np.int64),
+                "a": (ids >> 32).astype(np.int32), "b": ids.astype(np.int32), "n": totals.astype(np.int64),
             }
         )
         columns = [pa.array([row.get(f.name) for row in self.rows], f.type) for f in _BLOCK_ROW]
         return pa.RecordBatch.from_arrays(columns, schema=_BLOCK_ROW)
 
 
+def _documents(known: _Segments, texts: list[str]) -> Iterator[tuple[np.ndarray, memoryview]]:
+    """Of each text its segments and how their groups are written; both are empty without tokens."""
+    cut = [known.of(text) for text in texts]
+    known.learn(dict.fromkeys(chain.from_iterable(cut)))
+    stops = np.cumsum(list(map(len, cut)))
+    numbers = np.fromiter(map(known.numbers.__getitem__, chain.from_iterable(cut)), np.int64, stops[-1])
+    offsets, data = _values(known.names.take(pa.array(numbers)))
+    # Where segments without tokens are, the whole text has none.
+    lost = np.searchsorted(stops, np.flatnonzero(np.diff(offsets) == 0), "right")
+    kept = np.ones(len(texts), bool)
+    kept[lost] = False
+    for start, stop, whole in zip([0, *stops.tolist()], stops.tolist(), kept.tolist()):
+        stop = stop if whole else start
+        # Without the last semicolon.
+        yield numbers[start:stop], data[offsets[start] : max(offsets[start], offsets[stop] - 1)]
+
+
 def _calls(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
     """Ids and texts in runs of about ``_CALL_CHARS`` characters."""
     ids, texts, chars = [], [], 0
@@ -357,26 +406,22 @@ def _blocks(docs: DataFrame, a: ByteLevel | Pieces, b: ByteLevel | Pieces, with_
     sent_a, sent_b = (docs.sparkSession.sparkContext.broadcast(x) for x in (a, b))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # many small objects, none in cycles
-        try:
-            yield from encoded(batches)
-        finally:
-            gc.enable()
-
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Segments(sent_a.value, sent_b.value)
         numbers = count(TaskContext.get().partitionId() << 32)
         block = None
         for batch in batches:
             for ids, texts in _calls(batch):
-                cut = [known.of(text) for text in texts]
-                known.learn(set().union(*cut))
-                for doc_id, text, segments in zip(ids, texts, cut):
+                for doc_id, text, found in zip(ids, texts, _documents(known, texts)):
                     block = block or _Block(next(numbers), with_groups, known)
-                    block.add(doc_id, segments, len(text) + 1)
+                    block.add(doc_id, *found, len(text) + 1)
                     if block.chars >= block_chars:
                         yield block.batch()
                         block = None
+                if known.names.nbytes > _KNOWN_BYTES:
+                    if block:
+                        yield block.batch()
+                        block = None
+                    known.forget()
         if block:
             yield block.batch()
 
@@ -385,7 +430,7 @@ def _blocks(docs: DataFrame, a: ByteLevel | Pieces, b: ByteLevel | Pieces, with_
 
 def _summed(group: pa.Table, of_pairs: pa.Table) -> pa.Table:
     """The sums of each document of a block from the corpus-wide values of the block's pairs."""
-    header = group.filter(pa.compute.invert(group.column("is_doc")))
+    header = group.filter(pc.invert(group.column("is_doc")))
     docs = group.filter(group.column("is_doc"))
     pair = of_pairs.column("pair").to_numpy()
     values = np.zeros((2, len(pair)), np.int64)

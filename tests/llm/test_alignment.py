@@ -1,9 +1,12 @@
 from __future__ import annotations
 
 import hashlib
+import sys
 from collections import Counter
+from types import SimpleNamespace
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -119,6 +122,56 @@ def test_texts_a_tokenizer_does_not_give_back_have_no_tokens(documents, tokenize
     assert (row.n_a, row.n_b, row.n_links, row.groups_sha256) == (0, 0, 0, "")
 
 
+def test_one_such_character_among_many_words(documents, tokenizers):
+    rows = [(i, " ".join(f"w{i}x{k * k}" for k in range(60))) for i in range(40)]
+    rows[17] = (17, rows[17][1] + " a▁b w3x4")
+    rows.append((40, "a▁b"))
+    found = alignment.align(documents(rows), *tokenizers).documents.select(COLUMNS).collect()
+    assert sorted(map(tuple, found)) == sorted(brute_force(rows)[0])
+
+
+def test_forgetting_segments_changes_nothing(documents, tokenizers, monkeypatch):
+    monkeypatch.setattr(alignment, "_KNOWN_BYTES", 1)
+    monkeypatch.setattr(alignment, "_CALL_CHARS", 40)
+    rows = ODD + [(i, f"again and again w{i % 3} \t x{i} ") for i in range(20, 40)]
+    found = alignment.align(documents(rows).coalesce(1), *tokenizers).documents.select(COLUMNS).collect()
+    as_key = lambda r: tuple(map(str, r))
+    assert sorted(map(tuple, found), key=as_key) == sorted(brute_force(rows)[0], key=as_key)
+
+
+def test_new_words_take_few_calls_of_python(spark, tokenizers, monkeypatch):
+    class Docs:
+        """Takes the function that tasks run over Arrow batches."""
+
+        sparkSession = SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda x: SimpleNamespace(value=x)))
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, encode, _):
+            return encode
+
+    monkeypatch.setattr(alignment, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    encode = alignment._blocks(Docs(), *tokenizers, False, alignment.BLOCK_CHARS)
+
+    def calls(n_words):
+        texts = [" ".join(f"{7919 * i:x}q" for i in range(at, at + 500)) for at in range(0, n_words, 500)]
+        batch, made = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts}), 0
+
+        def count(_, event, __):
+            nonlocal made
+            made += event in ("call", "c_call")
+
+        sys.setprofile(count)
+        try:
+            assert sum(b.num_rows for b in encode(iter([batch]))) == len(texts) + 1
+        finally:
+            sys.setprofile(None)
+        return made
+
+    assert calls(12_000) - calls(2_000) < 10 * 10_000
+
+
 def test_long_text(documents, tokenizers):
     text = " ".join(f"w{i % 977}" for i in range(60_000))
     found = alignment.align(documents([(1, text), (2, "w1")]), *tokenizers).documents.orderBy("doc_id").collect()
